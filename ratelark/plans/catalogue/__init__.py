@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import curves, portfolio  # noqa: E402,F401
+from . import curves, features, portfolio, splits  # noqa: E402,F401
