@@ -292,22 +292,23 @@ def fit_levels(df: DataFrame, by: list[str], columns: list[str],
     level = [*by, "column"]
     counts = (tall(df, by, columns, "string").where(F.col("value").isNotNull())
               .groupBy(*level, "value").agg(F.count(F.lit(1)).alias("n")))
-    names = Window.partitionBy(*level)
-    counts = counts.withColumns({
-        "_i": F.row_number().over(names.orderBy("value")),
-        "_levels": F.count(F.lit(1)).over(names), "_rows": F.sum("n").over(names)})
     wanted = F.element_at(F.create_map(*[F.lit(x) for kv in reference.items() for x in kv]),
                           F.col("column")) if reference else F.lit(None).cast("string")
+    # one row per part and column
+    facts = counts.groupBy(*level).agg(
+        F.count(F.lit(1)).alias("_levels"), F.sum("n").alias("_rows"),
+        F.min("value").alias("_first"),
+        F.max((F.col("value") == wanted).cast("int")).alias("_seen"))
+    counts = counts.join(F.broadcast(facts), level)
+    checked = F.when(wanted.isNotNull() & (F.col("_seen") == 0), F.raise_error(
+        F.concat(F.lit("reference level never seen in "), F.col("column"))).cast("boolean"))
+    first = F.col("value") == F.col("_first")
     dropped = F.when(wanted.isNotNull(), F.col("value") == wanted)
     if drop_first:
-        dropped = dropped.otherwise(F.col("_i") == 1)
+        dropped = dropped.otherwise(first)
     elif drop_binary:
-        dropped = dropped.otherwise((F.col("_levels") == 2) & (F.col("_i") == 1))
-    counts = counts.withColumn("_drop", F.coalesce(dropped, F.lit(False)))
-    seen = F.max((F.col("value") == wanted).cast("int")).over(names)
-    checked = F.when(wanted.isNotNull() & (seen == 0), F.raise_error(
-        F.concat(F.lit("reference level never seen in "), F.col("column"))).cast("boolean"))
-    counts = counts.withColumn("_drop", F.coalesce(checked, F.col("_drop")))
+        dropped = dropped.otherwise((F.col("_levels") == 2) & first)
+    counts = counts.withColumn("_drop", F.coalesce(checked, dropped, F.lit(False)))
     rare = F.lit(False)
     if min_frequency is not None:
         limit = F.col("_rows") * min_frequency if isinstance(min_frequency, float) else \
@@ -315,12 +316,15 @@ def fit_levels(df: DataFrame, by: list[str], columns: list[str],
         rare = F.col("n") < limit
     counts = counts.withColumn("_rare", rare & ~F.col("_drop"))
     if max_categories is not None:
-        n_rare = F.sum(F.col("_rare").cast("int")).over(names)
-        n_now = F.sum((~F.col("_drop")).cast("int")).over(names) - n_rare + (n_rare > 0).cast("int")
-        place = F.row_number().over(
-            Window.partitionBy(*level, "_drop").orderBy(F.col("n").desc(), F.col("value").desc()))
-        counts = counts.withColumns({"_place": place, "_now": n_now})
-        late = (F.col("_now") > max_categories) & (F.col("_place") > max_categories - 1)
+        live = counts.groupBy(*level).agg(
+            F.count_if("_rare").alias("_n_rare"), F.count_if(~F.col("_drop")).alias("_n_live"))
+        place = Window.partitionBy(*level).orderBy(F.col("n").desc(), F.col("value").desc())
+        top = (counts.where(~F.col("_drop")).withColumn("_k", F.row_number().over(place))
+               .where(F.col("_k") <= max_categories - 1)
+               .select(*level, "value", F.lit(True).alias("_top")))
+        counts = counts.join(F.broadcast(live), level).join(top, [*level, "value"], "left")
+        shown = F.col("_n_live") - F.col("_n_rare") + (F.col("_n_rare") > 0).cast("int")
+        late = (shown > max_categories) & F.col("_top").isNull()
         counts = counts.withColumn("_rare", ~F.col("_drop") & (F.col("_rare") | late))
     return counts.select(*level, F.col("value").alias("level"),
                          (~F.col("_drop") & ~F.col("_rare")).alias("kept"),

@@ -208,3 +208,56 @@ def rank_lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str,
     light = table.where(~is_hot).drop(weight, total)
     cold_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rows.join(hot, keys).unionByName(cold_rows.join(light, keys))
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], max_hot: int = 1000) -> DataFrame:
+    """Inner join to a one-row-per-key ``table`` when the row counts per key are not known yet.
+
+    Keys holding more than ``1/max_hot`` of all rows (at most ``max_hot`` of
+    them) are looked up by broadcast, the others by an ordinary join.
+    """
+    limit = rows.count() / max_hot
+    hot_keys = F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                           .where(F.col("_n") > limit).select(*keys))
+    hot_table = F.broadcast(table.join(hot_keys, keys, "left_semi"))
+    cold = rows.join(hot_keys, keys, "left_anti").join(table, keys)
+    return rows.join(hot_table, keys).unionByName(cold)
+
+
+def nearest_value(queries: DataFrame, table: DataFrame, by: list[str], at: str, value: str,
+                  rows_per_bucket: int | None = None) -> DataFrame:
+    """For each distinct ``at`` of ``queries`` the ``value`` of the nearest ``at`` in ``table``.
+
+    Both sides are merged in value order; the nearest table row is either the
+    last one before or the first one after.  The smaller ``at`` wins a draw.
+    """
+    entry = F.struct(F.col(at).alias("at"), F.col(value).alias("v"))
+    merged = (table.select(*by, F.col(at).alias("_at"), entry.alias("_e"), F.lit(False).alias("_q"))
+              .unionByName(queries.select(*by, F.col(at).alias("_at"),
+                                          F.lit(None).cast(_entry_type(table, at, value)).alias("_e"),
+                                          F.lit(True).alias("_q")).distinct())
+              .groupBy(*by, "_at").agg(F.max("_e").alias("_e"), F.max("_q").alias("_q")))
+    buckets = plan_buckets(merged, "_at", [*by, "_at"], rows_per_bucket)
+    keyed = assign_bucket(merged, "_at", None, buckets, "_bkt", "_sub")
+    inner = Window.partitionBy(*by, "_bkt").orderBy("_at")
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    onward = inner.rowsBetween(0, Window.unboundedFollowing)
+    keyed = keyed.withColumns({"_prev": F.last("_e", ignorenulls=True).over(upto),
+                               "_next": F.first("_e", ignorenulls=True).over(onward)})
+    ends = keyed.groupBy(*by, "_bkt").agg(F.max("_e").alias("_hi"), F.min("_e").alias("_lo"))
+    order = Window.partitionBy(*by).orderBy("_bkt")
+    ends = ends.select(
+        *by, "_bkt",
+        F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("_lo").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    found = keyed.where("_q").join(ends, [*by, "_bkt"])
+    prev = F.coalesce(F.col("_prev"), F.col("_before"))
+    nxt = F.coalesce(F.col("_next"), F.col("_after"))
+    pick = F.when(prev.isNull(), nxt["v"]).when(nxt.isNull(), prev["v"]).when(
+        F.col("_at") - prev["at"] <= nxt["at"] - F.col("_at"), prev["v"]).otherwise(nxt["v"])
+    return found.select(*by, F.col("_at").alias(at), pick.alias(value))
+
+
+def _entry_type(table: DataFrame, at: str, value: str):
+    return table.select(F.struct(F.col(at).alias("at"), F.col(value).alias("v")).alias("e")) \
+        .schema["e"].dataType
