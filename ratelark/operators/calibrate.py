@@ -185,14 +185,16 @@ class GlmCalibration:
 # --- local regressions ----------------------------------------------------------------
 
 def nearest_windows(ranked: DataFrame, centers: DataFrame, by: list[str], k_share: float,
-                    rows_per_bucket: int | None = None) -> DataFrame:
+                    rows_per_bucket: int | None = None, at_low: dict | None = None,
+                    at_high: dict | None = None) -> DataFrame:
     """For each centre ``c`` its window of the ``k = ceil(k_share*n)`` nearest rows.
 
     ``ranked`` has ``x``, ``rank`` and ``n``.  In value order a window is a run
     of k rows; the run starting at l+1 is nearer than the one at l exactly when
     c lies above the midpoint of x_l and x_{l+k}.  So the start is one plus the
     number of midpoints below c, found by merging both in value order.  Returns
-    ``(*by, c, lo, hi, h)`` with ranks and the largest distance.
+    ``(*by, c, lo, hi, h)`` with ranks and the largest distance, and the columns
+    asked for from the first and the last row of the window.
     """
     k = F.ceil(F.col("n") * k_share).cast("long")
     left = ranked.select(*by, "rank", F.col("x").alias("xl"), "n")
@@ -206,14 +208,18 @@ def nearest_windows(ranked: DataFrame, centers: DataFrame, by: list[str], k_shar
     placed = ordered_prefix(merged, by, "v", sums={"below": "m"}, rank=None,
                             rows_per_bucket=rows_per_bucket).where("is_c")
     sizes = ranked.groupBy(*by).agg(F.max("n").alias("n"))
-    starts = placed.join(F.broadcast(sizes), by).select(
+    starts = stage(placed.join(F.broadcast(sizes), by).select(
         *by, F.col("v").alias("c"), (F.col("below") - F.col("m") + 1).cast("long").alias("lo"),
-        (F.col("below") - F.col("m") + k).cast("long").alias("hi"))
-    low = ranked.select(*by, F.col("rank").alias("lo"), F.col("x").alias("x_lo"))
-    high = ranked.select(*by, F.col("rank").alias("hi"), F.col("x").alias("x_hi"))
-    spans = hot_join(hot_join(starts, low, [*by, "lo"]), high, [*by, "hi"])
+        (F.col("below") - F.col("m") + k).cast("long").alias("hi")), "windows")
+    low = ranked.select(*by, F.col("rank").alias("lo"), F.col("x").alias("x_lo"),
+                        *[c.alias(n) for n, c in (at_low or {}).items()])
+    high = ranked.select(*by, F.col("rank").alias("hi"), F.col("x").alias("x_hi"),
+                         *[c.alias(n) for n, c in (at_high or {}).items()])
+    # many centres may share an end of the data, hence the joins that split hot ranks
+    opened = stage(hot_join(starts, low, [*by, "lo"]), "windows")
+    spans = hot_join(opened, high, [*by, "hi"])
     reach = F.greatest(F.col("c") - F.col("x_lo"), F.col("x_hi") - F.col("c"))
-    return spans.select(*by, "c", "lo", "hi", "x_lo", "x_hi", reach.alias("h"))
+    return stage(spans.withColumn("h", reach), "windows")
 
 
 def _ranked_xy(df: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
@@ -258,14 +264,11 @@ class LocalMean:
         # running sums through the last row of each distinct prediction
         at = ranked.groupBy("part", F.col("x").alias("c")).agg(
             *[F.max_by(s, "rank").alias(f"{s}_c") for s in sums])
-        win = nearest_windows(ranked, at.select("part", "c"), by, self.frac, self.rows_per_bucket)
-        first = ranked.select("part", F.col("rank").alias("lo"), *[
-            (F.col(s) - F.col(v)).alias(f"{s}_a")
-            for s, v in zip(sums, ("w", "wx", "wy", "wxy"))])
-        last = ranked.select("part", F.col("rank").alias("hi"),
-                             *[F.col(s).alias(f"{s}_b") for s in sums])
-        rows = hot_join(hot_join(win, first, ["part", "lo"]), last, ["part", "hi"]).join(
-            at, ["part", "c"])
+        before = {f"{s}_a": F.col(s) - F.col(v)
+                  for s, v in zip(sums, ("w", "wx", "wy", "wxy"))}
+        through = {f"{s}_b": F.col(s) for s in sums}
+        rows = nearest_windows(ranked, at.select("part", "c"), by, self.frac,
+                               self.rows_per_bucket, before, through).join(at, ["part", "c"])
 
         def flat(s):
             return F.col(f"{s}_b") - F.col(f"{s}_a")
@@ -301,9 +304,9 @@ class LocalMean:
 
     def transform(self, df: DataFrame) -> DataFrame:
         rows = df.withColumn("_p", plain_zero(F.col("pred")))
-        looked = nearest_value(
+        looked = stage(nearest_value(
             rows.select("part", F.col("_p").alias("pred")), self.table, ["part"], "pred", OUT,
-            self.rows_per_bucket).withColumnRenamed("pred", "_p")
+            self.rows_per_bucket).withColumnRenamed("pred", "_p"), "nearest")
         return hot_join(rows, looked, ["part", "_p"]).select(*df.columns, OUT)
 
 

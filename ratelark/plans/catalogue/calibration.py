@@ -120,9 +120,11 @@ kw AS (SELECT part, c, y, sd / (CASE WHEN h > 0 THEN h ELSE 1 END) AS u,
 s AS (SELECT part, c, sum(kw) AS s0, sum(kw * u) AS s1, sum(kw * u * u) AS s2,
         sum(kw * u * u * u) AS s3, sum(kw * u * u * u * u) AS s4, sum(kw * y) AS t0,
         sum(kw * u * y) AS t1, sum(kw * u * u * y) AS t2 FROM kw GROUP BY part, c),
-v AS (SELECT part, c, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3)
-        + s2 * (t1 * s3 - t2 * s2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3)
-        + s2 * (s1 * s3 - s2 * s2)) AS v FROM s)
+d AS (SELECT *, s0 * s2 - s1 * s1 AS d1, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3)
+        + s2 * (s1 * s3 - s2 * s2) AS d2 FROM s),
+v AS (SELECT part, c, CASE WHEN d2 > 1e-12 * s0 * s0 * s0
+          THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / d2
+        WHEN d1 > 1e-12 * s0 * s0 THEN (t0 * s2 - t1 * s1) / d1 ELSE t0 / s0 END AS v FROM d)
 SELECT t.part, IDpol, round(v, 6) AS calibrated
 FROM t JOIN v ON t.part = v.part AND t.pred = v.c""")
 def loess(spark, sf):
