@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import calibration, curves, features, portfolio, splits  # noqa: E402,F401
+from . import calibration, curves, features, models, portfolio, splits  # noqa: E402,F401
