@@ -26,7 +26,7 @@ OUT = "calibrated"
 
 def pool_tails(df: DataFrame, by: list[str], low: float = 0.0, high: float = 0.0,
                force_positive: bool = True, y: str = "y", x: str = "pred", w: str = "w",
-               key: str = "IDpol", rows_per_bucket: int | None = None) -> DataFrame:
+               key: str = "IDpol", rows_per_bucket: float | None = None) -> DataFrame:
     """Replace the target of the lowest and highest predictions by their weighted means.
 
     With ``force_positive`` the low pool reaches at least to the first positive
@@ -185,7 +185,7 @@ class GlmCalibration:
 # --- local regressions ----------------------------------------------------------------
 
 def nearest_windows(ranked: DataFrame, centers: DataFrame, by: list[str], k_share: float,
-                    rows_per_bucket: int | None = None, at_low: dict | None = None,
+                    rows_per_bucket: float | None = None, at_low: dict | None = None,
                     at_high: dict | None = None) -> DataFrame:
     """For each centre ``c`` its window of the ``k = ceil(k_share*n)`` nearest rows.
 
@@ -222,7 +222,7 @@ def nearest_windows(ranked: DataFrame, centers: DataFrame, by: list[str], k_shar
     return stage(spans.withColumn("h", reach), "windows")
 
 
-def _ranked_xy(df: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
+def _ranked_xy(df: DataFrame, rows_per_bucket: float | None = None) -> DataFrame:
     """Rows in prediction order with running sums of w, wx, wy and wxy."""
     base = df.select("part", "y", "w", plain_zero(F.col("pred")).alias("x"),
                      tie_hash("IDpol").alias("tie")).withColumns({
@@ -247,7 +247,7 @@ class LocalMean:
     frac: float = 0.2
     kernel: str = "gaussian"
     nodes: int = 200
-    rows_per_bucket: int | None = None
+    rows_per_bucket: float | None = None
     table: DataFrame | None = None
 
     def fit(self, df: DataFrame, parts: list[str]) -> "LocalMean":
@@ -310,7 +310,7 @@ class LocalMean:
         return hot_join(rows, looked, ["part", "_p"]).select(*df.columns, OUT)
 
 
-def quantile_nodes(df: DataFrame, nodes: int, rows_per_bucket: int | None = None) -> DataFrame:
+def quantile_nodes(df: DataFrame, nodes: int, rows_per_bucket: float | None = None) -> DataFrame:
     """At most ``nodes`` distinct values per part: all of them, or evenly spaced ones."""
     values = df.select("part", plain_zero(F.col("pred")).alias("c")).distinct()
     ranked = ordered_prefix(values, ["part"], "c", rank="r", count="n",
@@ -337,7 +337,7 @@ class LocalPolynomial:
     span: float = 0.5
     degree: int = 2
     nodes: int = 101
-    rows_per_bucket: int | None = None
+    rows_per_bucket: float | None = None
     table: DataFrame | None = None
 
     def fit(self, df: DataFrame, parts: list[str]) -> "LocalPolynomial":

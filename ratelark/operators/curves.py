@@ -27,7 +27,7 @@ def grouped_by_value(df: DataFrame, by: list[str], value: str, y: str, w: str,
 
 def concentration_segments(df: DataFrame, by: list[str], y: str = "y", x: str = "pred",
                            w: str = "w", step: bool = False,
-                           rows_per_bucket: int | None = None) -> DataFrame:
+                           rows_per_bucket: float | None = None) -> DataFrame:
     """CC(y; x): equal ``x`` merged, cumulative weight share against cumulative ``w*y`` share.
 
     With ``step`` each piece runs flat at its end height.
@@ -54,7 +54,7 @@ def oracle_segments(df: DataFrame, by: list[str], y: str = "y", w: str = "w", **
 
 
 def pair_segments(df: DataFrame, by: list[str], y: str = "y", x: str = "pred", w: str = "w",
-                  rows_per_bucket: int | None = None) -> DataFrame:
+                  rows_per_bucket: float | None = None) -> DataFrame:
     """CC(y; x) and CC(x; x) on their common abscissas, in one ordered pass."""
     grouped = grouped_by_value(df, by, x, y, w).withColumn("_wx", F.col("_w") * F.col("_v"))
     ranked = ordered_prefix(grouped, by, "_v",
@@ -71,7 +71,7 @@ def pair_segments(df: DataFrame, by: list[str], y: str = "y", x: str = "pred", w
 
 
 def ordered_rows(df: DataFrame, by: list[str], key: str = "IDpol", y: str = "y", x: str = "pred",
-                 w: str = "w", rows_per_bucket: int | None = None) -> DataFrame:
+                 w: str = "w", rows_per_bucket: float | None = None) -> DataFrame:
     """Rows in prediction order (ties by hashed key) with rank and running sums.
 
     Adds ``rank``, ``n``, running ``cum_w, cum_wy, cum_wx`` and totals ``tot_w, tot_wy,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GROUP_BINS
-from .ordered import exact_quantiles, ordered_prefix, plain_zero, tie_hash
+from .ordered import bucket_size, exact_quantiles, ordered_prefix, plain_zero, tie_hash
 
 GROUP_QUANTILES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
 AVERAGED = ["n_obs", "mean_pred", "mean_target", "std_pred", "std_target",
@@ -30,7 +30,7 @@ def with_groups(ranked: DataFrame, bins: list[int] = GROUP_BINS) -> DataFrame:
 
 
 def weighted_quantiles(df: DataFrame, by: list[str], value: str, w: str, probs: list[float],
-                       key: str = "IDpol", rows_per_bucket: int | None = None) -> DataFrame:
+                       key: str = "IDpol", rows_per_bucket: float | None = None) -> DataFrame:
     """Weighted quantiles ``(*by, prob, quantile)``: values interpolated at ``(cum_w - w/2)/sum_w``.
 
     Rows of equal value only matter through the first and the last of them in
@@ -70,8 +70,9 @@ def weighted_quantiles(df: DataFrame, by: list[str], value: str, w: str, probs:
 def group_statistics(ranked: DataFrame, by: list[str], bins: list[int] = GROUP_BINS,
                      groups: list[int] | None = None, round_digits: int | None = None,
                      as_int: bool = False, y: str = "y", x: str = "pred", w: str = "w",
-                     key: str = "IDpol", rows_per_bucket: int | None = None) -> DataFrame:
+                     key: str = "IDpol", rows_per_bucket: float | None = None) -> DataFrame:
     """Statistics of each strict bin, for all bin counts from one ranked frame."""
+    rows_per_bucket = bucket_size(ranked, rows_per_bucket, len(bins))
     rows = with_groups(ranked.select(*by, key, y, x, w, "rank", "n"), bins)
     if groups is not None:
         rows = rows.where(F.col("group").isin(groups))
@@ -151,7 +152,7 @@ def simple_lift_table(stats: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, by: list[str], value: str, n_bins: int,
-                   rows_per_bucket: int | None = None) -> DataFrame:
+                   rows_per_bucket: float | None = None) -> DataFrame:
     """Distinct quantile edges per ``by`` as one sorted array of at most ``n_bins + 1``."""
     probs = [i / n_bins for i in range(n_bins + 1)]
     return (exact_quantiles(df, by, value, probs, rows_per_bucket)
@@ -164,7 +165,7 @@ def right_closed_bin(value: Column, edges: Column) -> Column:
 
 
 def auto_calibration(df: DataFrame, by: list[str], n_bins: int, y: str = "y", x: str = "pred",
-                     w: str = "w", rows_per_bucket: int | None = None) -> DataFrame:
+                     w: str = "w", rows_per_bucket: float | None = None) -> DataFrame:
     """Quantile bins of the prediction: weighted means and prediction range."""
     edges = quantile_edges(df, by, x, n_bins, rows_per_bucket)
     wt = F.col(w)

@@ -16,7 +16,7 @@ from ..functions.columns import (gamma_deviance, no_nan, poisson_deviance, tweed
                                  weighted_mean)
 from .curves import concentration_segments, on_grid, ordered_rows, pair_segments
 from .groups import bin_bias
-from .ordered import ordered_prefix, plain_zero, rank_lookup
+from .ordered import bucket_size, ordered_prefix, plain_zero, rank_lookup
 
 CURVE_GRID = 4999
 GINI_ZERO = 1e-5
@@ -92,7 +92,7 @@ def pointwise_metrics(df: DataFrame, by: list[str], names: list[str] | None = No
 
 
 def mid_ranks(pairs: DataFrame, by: list[str], value: str, out: str,
-              rows_per_bucket: int | None = None) -> DataFrame:
+              rows_per_bucket: float | None = None) -> DataFrame:
     """Weighted mid-rank of each distinct value: ``(*by, value, out, _n, _total)``.
 
     ``pairs`` carries row counts ``n`` and weights ``w``.
@@ -107,7 +107,7 @@ def mid_ranks(pairs: DataFrame, by: list[str], value: str, out: str,
 
 
 def weighted_spearman(df: DataFrame, by: list[str], y: str = "y", x: str = "pred", w: str = "w",
-                      rows_per_bucket: int | None = None) -> DataFrame:
+                      rows_per_bucket: float | None = None) -> DataFrame:
     """Weighted Pearson correlation of weighted mid-ranks.
 
     Rows are merged to distinct (y, pred) pairs first.  Zero targets pair with
@@ -138,7 +138,7 @@ def gini_of(segments: DataFrame, by: list[str], name: str) -> DataFrame:
 
 def gini_indices(df: DataFrame, by: list[str], y: str = "y", x: str = "pred", w: str = "w",
                  pairs: DataFrame | None = None,
-                 rows_per_bucket: int | None = None) -> DataFrame:
+                 rows_per_bucket: float | None = None) -> DataFrame:
     """Lorenz Gini, concentration Gini, and the latter relative to a perfect order."""
     pairs = pairs if pairs is not None else pair_segments(df, by, y, x, w, rows_per_bucket)
     dx = F.col("x1") - F.col("x0")
@@ -186,7 +186,7 @@ def bin_metrics(bias: DataFrame, by: list[str], bins: list[int] = GROUP_BINS) ->
 def evaluate(df: DataFrame, by: list[str], names: list[str], weighting: Weighting = Weighting.ONE,
              key: str = "IDpol", y: str = "y", x: str = "pred", w: str = "w",
              keys: DataFrame | None = None, ranked: DataFrame | None = None,
-             rows_per_bucket: int | None = None) -> DataFrame:
+             rows_per_bucket: float | None = None) -> DataFrame:
     """Named metrics as a long table ``(*by, metric, value)``; undefined ones are null.
 
     A key restriction is applied first, to every metric alike.  ``df`` (and
@@ -196,6 +196,7 @@ def evaluate(df: DataFrame, by: list[str], names: list[str], weighting: Weightin
         df = df.join(keys, keys.columns, "left_semi")
         ranked = None
     wanted = set(names)
+    rows_per_bucket = bucket_size(df, rows_per_bucket)
     frames = []
     point = [n for n in names if n in ("MAE", "RMSE", "R2", "MBD", "MPD", "MGD", "MAE_plain")
              or n.startswith("MTD(")]

@@ -46,13 +46,15 @@ class Buckets:
 
 
 def plan_buckets(df: DataFrame, value: str, mix: list[str],
-                 rows_per_bucket: int | None = None) -> Buckets:
+                 rows_per_bucket: float | None = None) -> Buckets:
     """Choose bucket edges from a deterministic sample of at most ~100 rows per bucket.
 
     ``mix`` names the columns hashed for sampling; together they should be
     (nearly) unique so that heavy values are sampled in proportion.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    if rows_per_bucket == math.inf:
+        return Buckets()
     n = df.count()
     n_buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
     if n_buckets <= 1:
@@ -82,6 +84,15 @@ def plan_buckets(df: DataFrame, value: str, mix: list[str],
     return Buckets(splits + [math.inf], shares)
 
 
+def bucket_size(df: DataFrame, rows_per_bucket: float | None = None, factor: int = 1) -> float:
+    """Infinity when ``factor`` times ``df`` fits one bucket, else the given size.
+
+    Saves the counting of frames derived from a small one.
+    """
+    limit = rows_per_bucket or ROWS_PER_BUCKET
+    return math.inf if limit == math.inf or df.count() * factor <= limit else limit
+
+
 def assign_bucket(df: DataFrame, value: str, tie: str | None, buckets: Buckets,
                   bucket_col: str, sub_col: str) -> DataFrame:
     if buckets.single:
@@ -106,7 +117,7 @@ def ordered_prefix(
     totals: dict[str, str] | None = None,
     rank: str | None = "rank",
     count: str | None = None,
-    rows_per_bucket: int | None = None,
+    rows_per_bucket: float | None = None,
 ) -> DataFrame:
     """Rank and running sums of each row inside ``by``, ascending in ``(value, tie)``.
 
@@ -163,7 +174,7 @@ def ordered_prefix(
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float],
-                    rows_per_bucket: int | None = None) -> DataFrame:
+                    rows_per_bucket: float | None = None) -> DataFrame:
     """Linear-interpolation quantiles per ``by``: rows ``(*by, prob, quantile)``.
 
     Equal values are counted together first, so no task ever holds a whole group.
@@ -225,7 +236,7 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], max_hot: int =
 
 
 def nearest_value(queries: DataFrame, table: DataFrame, by: list[str], at: str, value: str,
-                  rows_per_bucket: int | None = None) -> DataFrame:
+                  rows_per_bucket: float | None = None) -> DataFrame:
     """For each distinct ``at`` of ``queries`` the ``value`` of the nearest ``at`` in ``table``.
 
     Both sides are merged in value order; the nearest table row is either the

@@ -52,7 +52,7 @@ def _deal_head(amounts: list[tuple[int, float]], sums: list[float],
 def balanced_labels(df: DataFrame, key: str, target: str, proportions: list[float],
                     w: str | None = None, seed: int = 0, by: list[str] | None = None,
                     label: str = "label", head_rows: int = HEAD_ROWS,
-                    rows_per_bucket: int | None = None) -> DataFrame:
+                    rows_per_bucket: float | None = None) -> DataFrame:
     """Bin label per row so that bins share the sum of ``target*w`` in the given proportions.
 
     Only the ``head_rows`` largest rows of each group decide the balance one by
@@ -132,7 +132,7 @@ def _as_role(label: Column, names: list[str]) -> Column:
 
 def split_train_test(df: DataFrame, key: str, target: str, test_size: float | int,
                      w: str | None = None, seed: int = 0, by: list[str] | None = None,
-                     rows_per_bucket: int | None = None) -> DataFrame:
+                     rows_per_bucket: float | None = None) -> DataFrame:
     """``(*by, key, role)`` with roles train and test."""
     share = test_size if isinstance(test_size, float) else size_proportion(test_size, df.count())
     if not 0 < share < 1:
@@ -165,7 +165,7 @@ def with_shared_calib(assignment: DataFrame) -> DataFrame:
 
 def stratified_sample(df: DataFrame, key: str, target: str, size: float | int,
                       w: str | None = None, seed: int = 0,
-                      rows_per_bucket: int | None = None) -> DataFrame:
+                      rows_per_bucket: float | None = None) -> DataFrame:
     """Keys of a target-balanced sample; all keys when the size covers the data."""
     share = size if isinstance(size, float) else size_proportion(size, df.count())
     if share >= 1:
@@ -182,7 +182,7 @@ def balanced_folds(df: DataFrame, key: str, target: str, k: int, w: str | None =
 
 
 def block_folds(df: DataFrame, key: str, target: str, k: int, seed: int = 1,
-                shuffle: bool = True, rows_per_bucket: int | None = None) -> DataFrame:
+                shuffle: bool = True, rows_per_bucket: float | None = None) -> DataFrame:
     """Fold labels by dealing each block of k neighbours in target order to k folds."""
     base = df.select(key, plain_zero(-F.col(target).cast("double")).alias("_neg"),
                      tie_hash(key).alias("_tie"))
@@ -280,7 +280,7 @@ def _merge_small_bins(edges: list[float], counts: dict[int, int], least: int) ->
 
 
 def quantile_bins(df: DataFrame, target: str, n_bins: int, least: int = 2,
-                  rows_per_bucket: int | None = None) -> DataFrame:
+                  rows_per_bucket: float | None = None) -> DataFrame:
     """``df`` with a ``bin``: right-closed quantile bins, small ones merged.
 
     ``n_bins`` edges and counts pass through the driver.
@@ -304,7 +304,7 @@ def quantile_bins(df: DataFrame, target: str, n_bins: int, least: int = 2,
 
 def quantile_split(df: DataFrame, key: str, target: str, test_size: float, n_bins: int,
                    calib_size: float | None = None, seed: int = 0,
-                   rows_per_bucket: int | None = None) -> DataFrame:
+                   rows_per_bucket: float | None = None) -> DataFrame:
     """``(key, role)``: each quantile bin is split in the same shares, in hash order."""
     rows = quantile_bins(df, target, n_bins, rows_per_bucket=rows_per_bucket).select(
         key, "bin", F.lit(0.0).alias("_v"), tie_hash(key, seed).alias("_tie"))

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import query
-from .curves import (ABC_SQL, CCI_SQL, GINI_SQL, POINT, SPEARMAN_SQL, staged_predictions,
+from .curves import (ABC_SQL, CCI_SQL, GINI_SQL, POINT_SQL, SPEARMAN_SQL, staged_predictions,
                      strict_groups)
 from .. import oracle as o
 from ..jobs import Run
 from ...config import (Calibration, Features, Job, Sampling, Split, Target, Tuning, Weighting)
 from ...functions.columns import rounded
 from ...operators import boost, glm
+from ...operators import features as ft
 from ...operators import metrics as m
 from ...operators import selection as sel
 from ...operators import tuning as tn
+from ...operators.pca import PrincipalComponents
 from ...session import new_folder, stage
 from ...sources.portfolio_views import claims_view, policies_view, prepared_view
 from ...sources.stages import StageStore
@@ -73,6 +75,41 @@ glm_query("glm_tweedie_ridge", glm.GlmSpec("tweedie", "log", 1.5, l2=0.1, target
 glm_query("glm_elastic_net", glm.elastic_net_spec("poisson", 0.5, 0.02))
 
 
+def saturated_query(name, target, y, w, spec):
+    """With one indicator per area a GLM of any family and link fits the weighted area means."""
+    digits = 3 if target is Target.PURE_PREMIUM else 5
+    keep = f"WHERE {y} > 0" if target is Target.SEVERITY else ""
+
+    @query(name, f"""WITH {o.PREPARED}, z AS (SELECT * FROM prep {keep}),
+a AS (SELECT part, Area, sum({y} * {w}) / sum({w}) AS v FROM z GROUP BY part, Area)
+SELECT z.part, IDpol, round(v, {digits}) AS pred FROM z JOIN a ON z.part = a.part AND z.Area = a.Area""")
+    def run(spark, sf):
+        base = prepared_view(spark, sf)
+        base = base.where(f"{y} > 0") if target is Target.SEVERITY else base
+        rows = stage(base.select("part", "IDpol", "Area", F.expr(y).cast("double").alias("y"),
+                                 F.expr(w).cast("double").alias("w")), "areas", ["part"])
+        levels = ft.fit_levels(rows, ["part"], ["Area"], drop_first=True).collect()
+        coded = ft.one_hot(rows, ["part"], levels)
+        names = [c for c in coded.columns if c.startswith("Area_")]
+        models = glm.fit_parts(coded, PARTS, names, "y", "w", spec)
+        return models.predict(coded).select("part", "IDpol",
+                                            F.round("pred", digits).alias("pred"))
+    return run
+
+
+FREQUENCY = (Target.FREQUENCY, "ClaimFreq_TRG", "Exposure")
+SEVERITY = (Target.SEVERITY, "ClaimSeverity_TRG", "greatest(ClaimCountWeight, 1)")
+PREMIUM = (Target.PURE_PREMIUM, "ClaimPurePremium_TRG", "Exposure")
+saturated_query("glm_areas_gaussian", *FREQUENCY, glm.GlmSpec("gaussian", "identity"))
+saturated_query("glm_areas_poisson", *FREQUENCY, glm.GlmSpec("poisson", tol=1e-12))
+saturated_query("glm_areas_gamma_log", *SEVERITY, glm.GlmSpec("gamma", "log", tol=1e-12))
+saturated_query("glm_areas_gamma_inverse", *SEVERITY, glm.GlmSpec(
+    "gamma", "inverse", target_divisor="mean", floor_at_min=False, tol=1e-14))
+saturated_query("glm_areas_tweedie_log", *PREMIUM, glm.GlmSpec("tweedie", "log", 1.5, tol=1e-12))
+saturated_query("glm_areas_tweedie_power", *PREMIUM, glm.GlmSpec(
+    "tweedie", "power", 1.5, target_divisor="mean", tol=1e-14))
+
+
 @query("boosted_poisson")
 def boosted_poisson(spark, sf):
     rows = model_rows(spark, sf)
@@ -191,9 +228,6 @@ def all_metrics_sql() -> str:
     def sub(body: str) -> str:
         return f"(WITH {o.predictions('pred_signal')}, {body})"
 
-    point = ", ".join(p.replace("(", "_").replace(")", "").replace(".", "_") for p in POINT)
-    del point
-    from .curves import POINT_SQL
     bins = f"""{strict_groups()} SELECT part, n_bins, max(abs(mt - mp)) AS MAB,
         max(greatest(mt, mp) - mt) AS MOP, max(mt - least(mt, mp)) AS MUP
         FROM gm GROUP BY part, n_bins"""
@@ -213,7 +247,7 @@ def all_metrics_sql() -> str:
            for q, ns in pieces for n in ns]
     out += [f"SELECT part, '{n}_' || n_bins || 'B' AS metric, {n} AS value FROM {sub(bins)}"
             for n in ("MAB", "MOP", "MUP")]
-    return "\nUNION ALL\n".join(out)
+    return "\nUNION ALL\n".join(out).replace(", 6)", ", 13)")
 
 
 def by_part_metrics(spark, sf):
@@ -221,25 +255,25 @@ def by_part_metrics(spark, sf):
     return m.evaluate(rows, ["part"], NAMES, Weighting.EXPOSURE)
 
 
-@query("metrics_by_part", f"""SELECT part, metric, round(value, 5) + 0.0 AS value
+@query("metrics_by_part", f"""SELECT part, metric, round(value, 6) + 0.0 AS value
 FROM ({all_metrics_sql()})""")
 def metrics_by_part(spark, sf):
-    return by_part_metrics(spark, sf).withColumn("value", rounded(F.col("value"), 5))
+    return by_part_metrics(spark, sf).withColumn("value", rounded(F.col("value")))
 
 
-@query("metrics_cv", f"""SELECT metric, round(avg(value), 5) + 0.0 AS cv_mean,
-       round(stddev_samp(value), 5) + 0.0 AS cv_std FROM ({all_metrics_sql()}) GROUP BY metric""")
+@query("metrics_cv", f"""SELECT metric, round(avg(value), 6) + 0.0 AS cv_mean,
+       round(stddev_samp(value), 6) + 0.0 AS cv_std FROM ({all_metrics_sql()}) GROUP BY metric""")
 def metrics_cv(spark, sf):
     out = m.cv_summary(by_part_metrics(spark, sf), [])
-    return out.select("metric", *[rounded(F.col(c), 5).alias(c) for c in ("cv_mean", "cv_std")])
+    return out.select("metric", *[rounded(F.col(c)).alias(c) for c in ("cv_mean", "cv_std")])
 
 
 @query("metrics_wide", f"""SELECT metric, {', '.join(
-    f'''round(max(value) FILTER (WHERE part = '{p}'), 5) + 0.0 AS "{p}"''' for p in PARTS)}
+    f'''round(max(value) FILTER (WHERE part = '{p}'), 6) + 0.0 AS "{p}"''' for p in PARTS)}
 FROM ({all_metrics_sql()}) GROUP BY metric""")
 def metrics_wide(spark, sf):
     out = m.metrics_wide(by_part_metrics(spark, sf), [], PARTS)
-    return out.select("metric", *[rounded(F.col(f"`{p}`"), 5).alias(p) for p in PARTS])
+    return out.select("metric", *[rounded(F.col(f"`{p}`")).alias(p) for p in PARTS])
 
 
 def small_job() -> Job:
@@ -252,6 +286,18 @@ def small_job() -> Job:
         calibration=Calibration(model="equal_bins_means", rebalance="scale"))
 
 
+@query("pca_variance_pair", f"""WITH {o.PREPARED},
+m AS (SELECT var_samp(VehAge) AS a, var_samp(VehPower) AS c, covar_samp(VehAge, VehPower) AS b
+      FROM prep),
+e AS (SELECT (a + c) AS s, sqrt((a - c) * (a - c) + 4 * b * b) AS d FROM m)
+SELECT 'PC0' AS component, round((s + d) / 2 / s, 6) AS explained_variance FROM e
+UNION ALL SELECT 'PC1', round((s - d) / 2 / s, 6) FROM e""")
+def pca_variance_pair(spark, sf):
+    rows = stage(prepared_view(spark, sf).select("VehAge", "VehPower"), "pair")
+    out = PrincipalComponents.fit(rows, ["VehAge", "VehPower"], 2).explained_variance(spark)
+    return out.select("component", F.round("explained_variance", 6).alias("explained_variance"))
+
+
 @query("score_and_evaluate")
 def score_and_evaluate(spark, sf):
     """Preparation to calibrated test metrics, two folds."""
