@@ -46,8 +46,14 @@ def no_nan(value: Column) -> Column:
     return F.when(F.isnan(value), F.lit(None)).otherwise(value)
 
 
+def ratio(value: Column, by: Column) -> Column:
+    """Quotient, null for a zero divisor."""
+    return F.try_divide(value, by)
+
+
 def weighted_mean(value: Column, w: Column) -> Column:
-    return F.sum(value * w) / F.sum(w)
+    """Null when the weights sum to zero."""
+    return ratio(F.sum(value * w), F.sum(w))
 
 
 def kernel_weight(distance: Column, bandwidth: Column, kernel: str) -> Column:
@@ -65,11 +71,11 @@ def kernel_weight(distance: Column, bandwidth: Column, kernel: str) -> Column:
 
 def poisson_deviance(y: Column, x: Column) -> Column:
     """Unit deviance; the logarithmic term vanishes at y = 0."""
-    return 2 * (F.when(y > 0, y * F.log(y / x)).otherwise(F.lit(0.0)) - y + x)
+    return 2 * (F.when(y > 0, y * F.log(ratio(y, x))).otherwise(F.lit(0.0)) - y + x)
 
 
 def gamma_deviance(y: Column, x: Column) -> Column:
-    return 2 * (F.log(x / y) + y / x - 1)
+    return 2 * (F.log(ratio(x, y)) + ratio(y, x) - 1)
 
 
 def tweedie_deviance(y: Column, x: Column, power: float) -> Column:

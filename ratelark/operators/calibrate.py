@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import kernel_weight, step_bin
+from ..functions.columns import kernel_weight, ratio, step_bin, weighted_mean
 from ..session import stage
 from .glm import GlmSpec, PartModels, fit_parts, for_parts
 from .groups import quantile_edges
@@ -50,8 +50,8 @@ def pool_tails(df: DataFrame, by: list[str], low: float = 0.0, high: float = 0.0
     in_high = F.col("_rank") > F.col("_n") - F.col("_n_high")
 
     def pooled(inside):
-        return (F.sum(F.when(inside, F.col(y) * F.col(w)))
-                / F.sum(F.when(inside, F.col(w))))
+        return ratio(F.sum(F.when(inside, F.col(y) * F.col(w))),
+                     F.sum(F.when(inside, F.col(w))))
 
     means = rows.groupBy(*by).agg(pooled(in_low).alias("_low_mean"),
                                   pooled(in_high).alias("_high_mean"))
@@ -87,7 +87,7 @@ class EqualBinsMeans:
             .otherwise(F.array().cast("array<double>")).alias("inner"))
         binned = df.join(F.broadcast(edges), "part").withColumn(
             "_bin", step_bin(F.col("pred"), F.col("inner")))
-        mean = F.sum(F.col("y") * F.col("w")) / F.sum("w")
+        mean = weighted_mean(F.col("y"), F.col("w"))
         means = binned.groupBy("part", "_bin").agg(mean.alias("_mean"))
         lookup = means.groupBy("part").agg(
             F.map_from_entries(F.collect_list(F.struct("_bin", "_mean"))).alias("means"))
@@ -105,7 +105,7 @@ class EqualBinsMeans:
 def _by_value(df: DataFrame, y: str) -> DataFrame:
     """Equal predictions merged; the isotonic fit only needs their weighted mean."""
     return df.groupBy("part", plain_zero(F.col("pred")).alias("x")).agg(
-        (F.sum(F.col(y) * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("w"))
+        weighted_mean(F.col(y), F.col("w")).alias("y"), F.sum("w").alias("w"))
 
 
 @dataclass(frozen=True)
@@ -274,7 +274,7 @@ class LocalMean:
             return F.col(f"{s}_b") - F.col(f"{s}_a")
 
         if self.kernel == "rectangular":
-            value = flat("cwy") / flat("cw")
+            value = ratio(flat("cwy"), flat("cw"))
         else:
             # the centre's own rows count to the left side, at distance zero; when the
             # window ends inside or before them the cut moves to the window's end
@@ -290,8 +290,8 @@ class LocalMean:
                 right = (1 + c / h) * side(s, "b", "c") - side(sx, "b", "c") / h
                 return F.when(cut_low, whole).otherwise(left + right)
 
-            value = F.when(h > 0, tri("cwy", "cwxy") / F.nullif(tri("cw", "cwx"), F.lit(0.0)))
-            value = F.coalesce(value, flat("cwy") / flat("cw"))
+            value = F.when(h > 0, ratio(tri("cwy", "cwxy"), tri("cw", "cwx")))
+            value = F.coalesce(value, ratio(flat("cwy"), flat("cw")))
         return rows.select("part", F.col("c").alias("pred"), value.alias(OUT))
 
     def _by_nodes(self, df: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ class LocalMean:
         near = _rows_in_windows(ranked, win)
         kernel = kernel_weight(F.abs(F.col("x") - F.col("c")), F.col("h"), self.kernel) * F.col("w")
         return near.groupBy("part", F.col("c").alias("pred")).agg(
-            (F.sum(kernel * F.col("y")) / F.sum(kernel)).alias(OUT))
+            weighted_mean(F.col("y"), kernel).alias(OUT))
 
     def transform(self, df: DataFrame) -> DataFrame:
         rows = df.withColumn("_p", plain_zero(F.col("pred")))
@@ -363,7 +363,7 @@ class LocalPolynomial:
         """Value at the node: the constant term of the weighted normal equations."""
         s = [F.col(f"s{i}") for i in range(5)]
         t = [F.col(f"t{i}") for i in range(3)]
-        flat = t[0] / s[0]
+        flat = ratio(t[0], s[0])
         det1 = s[0] * s[2] - s[1] * s[1]
         line = F.when(det1 > 1e-12 * s[0] * s[0], (t[0] * s[2] - t[1] * s[1]) / det1)
         det2 = (s[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (s[1] * s[4] - s[2] * s[3])
@@ -409,12 +409,12 @@ class Rebalanced:
 def balance(df: DataFrame, method: str, by: list[str] = ["part"], y: str = "y", x: str = OUT,
             w: str = "w") -> DataFrame:
     """One factor or shift per part that makes the weighted means equal."""
-    target = F.sum(F.col(y) * F.col(w)) / F.sum(w)
-    pred = F.sum(F.col(x) * F.col(w)) / F.sum(w)
+    target = weighted_mean(F.col(y), F.col(w))
+    pred = weighted_mean(F.col(x), F.col(w))
     if method not in ("scale", "shift"):
         raise ValueError(f"unknown rebalancing method {method!r}")
     return df.groupBy(*by).agg(
-        (target / pred if method == "scale" else target - pred).alias("_balance"))
+        (ratio(target, pred) if method == "scale" else target - pred).alias("_balance"))
 
 
 def apply_balance(df: DataFrame, table: DataFrame, method: str, by: list[str] = ["part"],

@@ -8,15 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import ratio
 from .ordered import ordered_prefix, plain_zero, tie_hash
 
 GRID_EPS = 1e-9
 
 
-def share(value: Column, total: Column) -> Column:
-    return value / F.when(total != 0, total)
-
-
 def grouped_by_value(df: DataFrame, by: list[str], value: str, y: str, w: str,
                      extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per distinct ``value``: ``(*by, _v, _w, _wy, ...)``."""
@@ -36,12 +33,12 @@ def concentration_segments(df: DataFrame, by: list[str], y: str = "y", x: str =
                             sums={"_cw": "_w", "_cg": "_wy"},
                             totals={"_tw": "_w", "_tg": "_wy"},
                             rank="seg_id", rows_per_bucket=rows_per_bucket)
-    y1 = share(F.col("_cg"), F.col("_tg"))
-    y0 = y1 if step else share(F.col("_cg") - F.col("_wy"), F.col("_tg"))
+    y1 = ratio(F.col("_cg"), F.col("_tg"))
+    y0 = y1 if step else ratio(F.col("_cg") - F.col("_wy"), F.col("_tg"))
     return ranked.select(
         *by, "seg_id", F.col("_v").alias("value"),
-        share(F.col("_cw") - F.col("_w"), F.col("_tw")).alias("x0"), y0.alias("y0"),
-        share(F.col("_cw"), F.col("_tw")).alias("x1"), y1.alias("y1"))
+        ratio(F.col("_cw") - F.col("_w"), F.col("_tw")).alias("x0"), y0.alias("y0"),
+        ratio(F.col("_cw"), F.col("_tw")).alias("x1"), y1.alias("y1"))
 
 
 def lorenz_segments(df: DataFrame, by: list[str], x: str = "pred", w: str = "w",
@@ -61,12 +58,12 @@ def pair_segments(df: DataFrame, by: list[str], y: str = "y", x: str = "pred", w
                             sums={"_cw": "_w", "_cg": "_wy", "_cl": "_wx"},
                             totals={"_tw": "_w", "_tg": "_wy", "_tl": "_wx"},
                             rank=None, rows_per_bucket=rows_per_bucket)
-    cols = {"x0": share(F.col("_cw") - F.col("_w"), F.col("_tw")),
-            "x1": share(F.col("_cw"), F.col("_tw")),
-            "cc0": share(F.col("_cg") - F.col("_wy"), F.col("_tg")),
-            "cc1": share(F.col("_cg"), F.col("_tg")),
-            "lc0": share(F.col("_cl") - F.col("_wx"), F.col("_tl")),
-            "lc1": share(F.col("_cl"), F.col("_tl"))}
+    cols = {"x0": ratio(F.col("_cw") - F.col("_w"), F.col("_tw")),
+            "x1": ratio(F.col("_cw"), F.col("_tw")),
+            "cc0": ratio(F.col("_cg") - F.col("_wy"), F.col("_tg")),
+            "cc1": ratio(F.col("_cg"), F.col("_tg")),
+            "lc0": ratio(F.col("_cl") - F.col("_wx"), F.col("_tl")),
+            "lc1": ratio(F.col("_cl"), F.col("_tl"))}
     return ranked.select(*by, *[c.alias(n) for n, c in cols.items()])
 
 
@@ -91,10 +88,10 @@ def cumulative_calibration_segments(ranked: DataFrame, by: list[str],
     """Cumulative ``w*pred`` share against cumulative ``w*y`` share, row by row."""
     return ranked.select(
         *by, key, F.col("rank").alias("seg_id"),
-        share(F.col("cum_wx") - F.col("wx"), F.col("tot_wx")).alias("x0"),
-        share(F.col("cum_wy") - F.col("wy"), F.col("tot_wy")).alias("y0"),
-        share(F.col("cum_wx"), F.col("tot_wx")).alias("x1"),
-        share(F.col("cum_wy"), F.col("tot_wy")).alias("y1"))
+        ratio(F.col("cum_wx") - F.col("wx"), F.col("tot_wx")).alias("x0"),
+        ratio(F.col("cum_wy") - F.col("wy"), F.col("tot_wy")).alias("y0"),
+        ratio(F.col("cum_wx"), F.col("tot_wx")).alias("x1"),
+        ratio(F.col("cum_wy"), F.col("tot_wy")).alias("y1"))
 
 
 def polyline(segments: DataFrame, by: list[str]) -> DataFrame:
@@ -159,7 +156,7 @@ def calibration_sides(grid: DataFrame, by: list[str], m: int, height: str = "h")
                       ((F.col("i") + 1) / m).alias("x1"), F.lead(height).over(w).alias("y1"))
     pts = pts.where(F.col("y1").isNotNull())
     f0, f1 = F.col("y0") - F.col("x0"), F.col("y1") - F.col("x1")
-    t = f0 / (f0 - f1)
+    t = ratio(f0, f0 - f1)
     cut = F.col("x0") + t * (F.col("x1") - F.col("x0"))
 
     def piece(a: Column, b: Column, c: Column, d: Column, height_above: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import weighted_mean
+
 MAX_ITER = 50
 TOLERANCE = 1e-8
 POWER = {"gaussian": 0.0, "poisson": 1.0, "gamma": 2.0}
@@ -136,7 +138,7 @@ def fit_glm(df: DataFrame, features: list[str], y: str, w: str | None = None,
     rows = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features],
                      label.alias("_y"), wt.alias("_w"))
     facts = rows.agg(F.avg("_y").alias("mean"), F.min("_y").alias("low"),
-                     (F.sum(F.col("_y") * F.col("_w")) / F.sum("_w")).alias("wmean"),
+                     weighted_mean(F.col("_y"), F.col("_w")).alias("wmean"),
                      F.sum("_w").alias("sw")).first()
     divisor = facts["mean"] if spec.target_divisor == "mean" else float(spec.target_divisor)
     constant = facts["mean"] if spec.intercept_scale == "mean" else float(spec.intercept_scale)
@@ -297,5 +299,5 @@ def fit_parts(df: DataFrame, parts: list[str], features: list[str], y: str, w: s
 
 def mean_predictor(df: DataFrame, by: list[str], y: str, w: str | None = None) -> DataFrame:
     """The (weighted) mean target of each part."""
-    value = F.avg(y) if w is None else F.sum(F.col(y) * F.col(w)) / F.sum(w)
+    value = F.avg(y) if w is None else weighted_mean(F.col(y), F.col(w))
     return df.groupBy(*by).agg(value.alias("pred"))

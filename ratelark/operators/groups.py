@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GROUP_BINS
+from ..functions.columns import ratio, weighted_mean
 from .ordered import bucket_size, exact_quantiles, ordered_prefix, plain_zero, tie_hash
 
 GROUP_QUANTILES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
@@ -45,8 +46,8 @@ def weighted_quantiles(df: DataFrame, by: list[str], value: str, w: str, probs:
                             rank=None, rows_per_bucket=rows_per_bucket)
     placed = ranked.select(
         *by, "_v",
-        ((F.col("_cum") - F.col("_w") + F.col("_wf") / 2) / F.col("_tot")).alias("_p0"),
-        ((F.col("_cum") - F.col("_wl") / 2) / F.col("_tot")).alias("_p1"))
+        ratio(F.col("_cum") - F.col("_w") + F.col("_wf") / 2, F.col("_tot")).alias("_p0"),
+        ratio(F.col("_cum") - F.col("_wl") / 2, F.col("_tot")).alias("_p1"))
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     # the nearest position at or below p, and the nearest at or above p
     below = F.max(F.when(F.col("_p0") <= F.col("p"),
@@ -59,7 +60,7 @@ def weighted_quantiles(df: DataFrame, by: list[str], value: str, w: str, probs:
              .groupBy(*by, F.col("p").alias("prob")).agg(below.alias("b"), above.alias("a")))
     # inside a run of equal values both sides agree
     x0, x1 = F.col("b.end"), F.col("a.start")
-    slope = (F.col("prob") - x0) / (x1 - x0)
+    slope = ratio(F.col("prob") - x0, x1 - x0)
     inner = F.when((F.col("b.v") == F.col("a.v")) | (x1 <= x0), F.col("b.v")).otherwise(
         F.col("b.v") + slope * (F.col("a.v") - F.col("b.v")))
     value_at = F.when(F.col("b").isNull(), F.col("a.v")).when(
@@ -80,14 +81,14 @@ def group_statistics(ranked: DataFrame, by: list[str], bins: list[int] = GROUP_B
     wt = F.col(w)
     means = rows.groupBy(*level).agg(
         F.count(F.lit(1)).alias("n_obs"), F.sum(wt).alias("sum_w"),
-        (F.sum(F.col(x) * wt) / F.sum(wt)).alias("mean_pred"),
-        (F.sum(F.col(y) * wt) / F.sum(wt)).alias("mean_target"))
+        weighted_mean(F.col(x), wt).alias("mean_pred"),
+        weighted_mean(F.col(y), wt).alias("mean_target"))
     # second pass around the means, so that near-constant bins keep their digits
     spread = rows.join(F.broadcast(means.select(*level, "mean_pred", "mean_target")), level) \
         .groupBy(*level).agg(
-            F.sqrt(F.sum(wt * F.pow(F.col(x) - F.col("mean_pred"), 2)) / F.sum(wt))
+            F.sqrt(weighted_mean(F.pow(F.col(x) - F.col("mean_pred"), 2), wt))
             .alias("std_pred"),
-            F.sqrt(F.sum(wt * F.pow(F.col(y) - F.col("mean_target"), 2)) / F.sum(wt))
+            F.sqrt(weighted_mean(F.pow(F.col(y) - F.col("mean_target"), 2), wt))
             .alias("std_target"))
     quantiles = weighted_quantiles(rows, level, y, w, GROUP_QUANTILES, key, rows_per_bucket)
     wide = quantiles.groupBy(*level).agg(
@@ -121,8 +122,8 @@ def bin_bias(ranked: DataFrame, by: list[str], bins: list[int] = GROUP_BINS, y:
     rows = with_groups(ranked.select(*by, y, x, w, "rank", "n"), bins)
     wt = F.col(w)
     return with_bias(rows.groupBy(*by, "n_bins", "group").agg(
-        (F.sum(F.col(x) * wt) / F.sum(wt)).alias("mean_pred"),
-        (F.sum(F.col(y) * wt) / F.sum(wt)).alias("mean_target")))
+        weighted_mean(F.col(x), wt).alias("mean_pred"),
+        weighted_mean(F.col(y), wt).alias("mean_target")))
 
 
 def average_statistics(stats: DataFrame, labels: list[str]) -> DataFrame:
@@ -172,6 +173,6 @@ def auto_calibration(df: DataFrame, by: list[str], n_bins: int, y: str = "y", x:
     rows = df.join(F.broadcast(edges), by).withColumn(
         "bin", right_closed_bin(F.col(x), F.col("edges")))
     return rows.groupBy(*by, "bin").agg(
-        (F.sum(F.col(x) * wt) / F.sum(wt)).alias("mean_pred"),
-        (F.sum(F.col(y) * wt) / F.sum(wt)).alias("mean_target"),
+        weighted_mean(F.col(x), wt).alias("mean_pred"),
+        weighted_mean(F.col(y), wt).alias("mean_target"),
         F.min(x).alias("min_pred"), F.max(x).alias("max_pred"))

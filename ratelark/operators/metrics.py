@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GROUP_BINS, TWEEDIE_POWERS, Target, Weighting
-from ..functions.columns import (gamma_deviance, no_nan, poisson_deviance, tweedie_deviance,
-                                 weighted_mean)
+from ..functions.columns import (gamma_deviance, no_nan, poisson_deviance, ratio,
+                                 tweedie_deviance, weighted_mean)
 from .curves import concentration_segments, on_grid, ordered_rows, pair_segments
 from .groups import bin_bias
 from .ordered import bucket_size, ordered_prefix, plain_zero, rank_lookup
@@ -68,7 +68,7 @@ def pointwise_metrics(df: DataFrame, by: list[str], names: list[str] | None = No
     t, p, wt = F.col(y).cast("double"), F.col(x).cast("double"), F.col(w).cast("double")
     err = t - p
     mae = weighted_mean(F.abs(err), wt)
-    mean = F.sum(wt * t) / F.sum(wt)
+    mean = weighted_mean(t, wt)
     spread = F.sum(wt * t * t) - mean * F.sum(wt * t)
     ok_pois = F.bool_and((t >= 0) & (p > 0))
     ok_gam = F.bool_and((t > 0) & (p > 0))
@@ -125,9 +125,9 @@ def weighted_spearman(df: DataFrame, by: list[str], y: str = "y", x: str = "pred
         F.sum(F.col("w") * F.col("rx") * F.col("rx")).alias("sxx"),
         F.sum(F.col("w") * F.col("ry") * F.col("ry")).alias("syy"),
         F.sum(F.col("w") * F.col("rx") * F.col("ry")).alias("sxy"))
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("s")
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("s")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("s")
+    vx = F.col("sxx") - ratio(F.col("sx") * F.col("sx"), F.col("s"))
+    vy = F.col("syy") - ratio(F.col("sy") * F.col("sy"), F.col("s"))
+    cov = F.col("sxy") - ratio(F.col("sx") * F.col("sy"), F.col("s"))
     return sums.select(*by, F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("SC"))
 
 
@@ -147,9 +147,9 @@ def gini_indices(df: DataFrame, by: list[str], y: str = "y", x: str = "pred", w:
         (1 - F.sum(dx * (F.col("cc0") + F.col("cc1")))).alias("CCGI"))
     best = gini_of(concentration_segments(df, by, y, y, w, rows_per_bucket=rows_per_bucket),
                    by, "_best")
-    ratio = F.when(F.abs("_best") <= GINI_ZERO, F.lit(0.0)).otherwise(
-        F.col("CCGI") / F.col("_best"))
-    return own.join(best, by).select(*by, "LCGI", "CCGI", ratio.alias("NCCGI"))
+    relative = F.when(F.abs("_best") <= GINI_ZERO, F.lit(0.0)).otherwise(
+        ratio(F.col("CCGI"), F.col("_best")))
+    return own.join(best, by).select(*by, "LCGI", "CCGI", relative.alias("NCCGI"))
 
 
 def abc_sdcl(pairs: DataFrame, by: list[str], m: int = CURVE_GRID) -> DataFrame:
@@ -162,10 +162,11 @@ def abc_sdcl(pairs: DataFrame, by: list[str], m: int = CURVE_GRID) -> DataFrame:
 
 def calibration_indices(ranked: DataFrame, by: list[str]) -> DataFrame:
     """CCI, COI and CUI: trapezoids at the rows of the cumulative calibration curve."""
-    d1, c1 = F.col("cum_wx") / F.col("tot_wx"), F.col("cum_wy") / F.col("tot_wy")
-    d0 = (F.col("cum_wx") - F.col("wx")) / F.col("tot_wx")
-    c0 = (F.col("cum_wy") - F.col("wy")) / F.col("tot_wy")
-    dd = F.col("wx") / F.col("tot_wx")
+    d1 = ratio(F.col("cum_wx"), F.col("tot_wx"))
+    c1 = ratio(F.col("cum_wy"), F.col("tot_wy"))
+    d0 = ratio(F.col("cum_wx") - F.col("wx"), F.col("tot_wx"))
+    c0 = ratio(F.col("cum_wy") - F.col("wy"), F.col("tot_wy"))
+    dd = ratio(F.col("wx"), F.col("tot_wx"))
     over = dd * ((d0 - F.least(c0, d0)) + (d1 - F.least(c1, d1))) / 2
     under = dd * ((F.greatest(c0, d0) - d0) + (F.greatest(c1, d1) - d1)) / 2
     return ranked.groupBy(*by).agg(

@@ -10,6 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import weighted_mean
 from ..session import stage
 from .ordered import exact_quantiles, ordered_prefix, plain_zero, tie_hash
 
@@ -233,7 +234,7 @@ def split_report(df: DataFrame, by: list[str], target: str, w: str) -> DataFrame
     y, wt = F.col(target).cast("double"), F.col(w).cast("double")
     base = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"),
-        (F.sum(y * wt) / F.sum(wt)).alias("weighted_mean"), F.min(y).alias("min"))
+        weighted_mean(y, wt).alias("weighted_mean"), F.min(y).alias("min"))
     quantiles = exact_quantiles(df, by, target, REPORT_QUANTILES).groupBy(*by).agg(
         *[F.max(F.when(F.col("prob") == q, F.col("quantile"))).alias(_q_name(q))
           for q in REPORT_QUANTILES])
