@@ -17,7 +17,7 @@ from ..functions.columns import kernel_weight, ratio, step_bin, weighted_mean
 from ..session import stage
 from .glm import GlmSpec, PartModels, fit_parts, for_parts
 from .groups import quantile_edges
-from .ordered import hot_join, nearest_value, ordered_prefix, plain_zero, tie_hash
+from .ordered import derived, hot_join, nearest_value, ordered_prefix, plain_zero, tie_hash
 
 OUT = "calibrated"
 
@@ -205,6 +205,7 @@ def nearest_windows(ranked: DataFrame, centers: DataFrame, by: list[str], k_shar
               .unionByName(centers.select(*by, F.col("c").alias("v"), F.lit(0).cast("long").alias("m"),
                                           F.lit(True).alias("is_c")))
               .groupBy(*by, "v").agg(F.sum("m").alias("m"), F.max("is_c").alias("is_c")))
+    merged = derived(merged, rows_per_bucket)
     placed = ordered_prefix(merged, by, "v", sums={"below": "m"}, rank=None,
                             rows_per_bucket=rows_per_bucket).where("is_c")
     sizes = ranked.groupBy(*by).agg(F.max("n").alias("n"))
@@ -312,7 +313,8 @@ class LocalMean:
 
 def quantile_nodes(df: DataFrame, nodes: int, rows_per_bucket: float | None = None) -> DataFrame:
     """At most ``nodes`` distinct values per part: all of them, or evenly spaced ones."""
-    values = df.select("part", plain_zero(F.col("pred")).alias("c")).distinct()
+    values = derived(df.select("part", plain_zero(F.col("pred")).alias("c")).distinct(),
+                     rows_per_bucket)
     ranked = ordered_prefix(values, ["part"], "c", rank="r", count="n",
                             rows_per_bucket=rows_per_bucket)
     gaps = F.greatest(F.col("n") - 1, F.lit(1))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from .ordered import ordered_prefix, plain_zero, tie_hash
+from .ordered import bucket_size, derived, ordered_prefix, plain_zero, tie_hash
 
 GRID_EPS = 1e-9
 
@@ -29,7 +29,8 @@ def concentration_segments(df: DataFrame, by: list[str], y: str = "y", x: str =
 
     With ``step`` each piece runs flat at its end height.
     """
-    ranked = ordered_prefix(grouped_by_value(df, by, x, y, w), by, "_v",
+    rows_per_bucket = bucket_size(df, rows_per_bucket)
+    ranked = ordered_prefix(derived(grouped_by_value(df, by, x, y, w), rows_per_bucket), by, "_v",
                             sums={"_cw": "_w", "_cg": "_wy"},
                             totals={"_tw": "_w", "_tg": "_wy"},
                             rank="seg_id", rows_per_bucket=rows_per_bucket)
@@ -53,7 +54,9 @@ def oracle_segments(df: DataFrame, by: list[str], y: str = "y", w: str = "w", **
 def pair_segments(df: DataFrame, by: list[str], y: str = "y", x: str = "pred", w: str = "w",
                   rows_per_bucket: float | None = None) -> DataFrame:
     """CC(y; x) and CC(x; x) on their common abscissas, in one ordered pass."""
-    grouped = grouped_by_value(df, by, x, y, w).withColumn("_wx", F.col("_w") * F.col("_v"))
+    rows_per_bucket = bucket_size(df, rows_per_bucket)
+    grouped = derived(grouped_by_value(df, by, x, y, w), rows_per_bucket).withColumn(
+        "_wx", F.col("_w") * F.col("_v"))
     ranked = ordered_prefix(grouped, by, "_v",
                             sums={"_cw": "_w", "_cg": "_wy", "_cl": "_wx"},
                             totals={"_tw": "_w", "_tg": "_wy", "_tl": "_wx"},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import GROUP_BINS
 from ..functions.columns import ratio, weighted_mean
-from .ordered import bucket_size, exact_quantiles, ordered_prefix, plain_zero, tie_hash
+from .ordered import bucket_size, derived, exact_quantiles, ordered_prefix, plain_zero, tie_hash
 
 GROUP_QUANTILES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
 AVERAGED = ["n_obs", "mean_pred", "mean_target", "std_pred", "std_target",
@@ -39,9 +39,9 @@ def weighted_quantiles(df: DataFrame, by: list[str], value: str, w: str, probs:
     """
     tied = df.select(*by, plain_zero(F.col(value)).alias("_v"), F.col(w).alias("_w0"),
                      tie_hash(key).alias("_t"))
-    per_value = tied.groupBy(*by, "_v").agg(
+    per_value = derived(tied.groupBy(*by, "_v").agg(
         F.sum("_w0").alias("_w"), F.min_by("_w0", "_t").alias("_wf"),
-        F.max_by("_w0", "_t").alias("_wl"))
+        F.max_by("_w0", "_t").alias("_wl")), rows_per_bucket)
     ranked = ordered_prefix(per_value, by, "_v", sums={"_cum": "_w"}, totals={"_tot": "_w"},
                             rank=None, rows_per_bucket=rows_per_bucket)
     placed = ranked.select(

@@ -16,7 +16,7 @@ from ..functions.columns import (gamma_deviance, no_nan, poisson_deviance, ratio
                                  tweedie_deviance, weighted_mean)
 from .curves import concentration_segments, on_grid, ordered_rows, pair_segments
 from .groups import bin_bias
-from .ordered import bucket_size, ordered_prefix, plain_zero, rank_lookup
+from .ordered import bucket_size, derived, ordered_prefix, plain_zero, rank_lookup
 
 CURVE_GRID = 4999
 GINI_ZERO = 1e-5
@@ -97,8 +97,9 @@ def mid_ranks(pairs: DataFrame, by: list[str], value: str, out: str,
 
     ``pairs`` carries row counts ``n`` and weights ``w``.
     """
-    per_value = pairs.groupBy(*by, value).agg(F.sum("n").alias("_n"), F.sum("w").alias("_gw"),
-                                              F.count(F.lit(1)).alias("_pairs"))
+    per_value = derived(pairs.groupBy(*by, value).agg(
+        F.sum("n").alias("_n"), F.sum("w").alias("_gw"), F.count(F.lit(1)).alias("_pairs")),
+        rows_per_bucket)
     ranked = ordered_prefix(per_value, by, value, sums={"_cum": "_gw"},
                             totals={"_total": "_pairs"}, rank=None,
                             rows_per_bucket=rows_per_bucket)
@@ -113,8 +114,11 @@ def weighted_spearman(df: DataFrame, by: list[str], y: str = "y", x: str = "pred
     Rows are merged to distinct (y, pred) pairs first.  Zero targets pair with
     nearly every prediction, so ranks are attached through a hot-key join.
     """
-    pairs = df.groupBy(*by, plain_zero(F.col(y)).alias("_y"), plain_zero(F.col(x)).alias("_x")) \
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(w).cast("double")).alias("w"))
+    rows_per_bucket = bucket_size(df, rows_per_bucket)
+    pairs = derived(
+        df.groupBy(*by, plain_zero(F.col(y)).alias("_y"), plain_zero(F.col(x)).alias("_x"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(w).cast("double")).alias("w")),
+        rows_per_bucket)
     rx = mid_ranks(pairs, by, "_x", "rx", rows_per_bucket)
     ry = mid_ranks(pairs, by, "_y", "ry", rows_per_bucket)
     both = rank_lookup(pairs, rx, [*by, "_x"], "_pairs", "_total")

@@ -17,7 +17,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 50_000
+from ..session import stage
+
+ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 16_384
 SAMPLE_PER_BUCKET = 100
 _SAMPLE_GRAIN = 1 << 24
@@ -87,7 +89,7 @@ def plan_buckets(df: DataFrame, value: str, mix: list[str],
 def bucket_size(df: DataFrame, rows_per_bucket: float | None = None, factor: int = 1) -> float:
     """Infinity when ``factor`` times ``df`` fits one bucket, else the given size.
 
-    Saves the counting of frames derived from a small one.
+    Saves the counting and staging of frames derived from a small one.
     """
     limit = rows_per_bucket or ROWS_PER_BUCKET
     return math.inf if limit == math.inf or df.count() * factor <= limit else limit
@@ -108,6 +110,14 @@ def assign_bucket(df: DataFrame, value: str, tie: str | None, buckets: Buckets,
     return out.withColumn(sub_col, F.shiftright(lead * share, 32).cast("int"))
 
 
+def derived(df: DataFrame, rows_per_bucket: float | None) -> DataFrame:
+    """An aggregated frame as a stage table, since ordering reads it several times.
+
+    Left as it is when known to fit one bucket.
+    """
+    return df if rows_per_bucket == math.inf else stage(df, "derived")
+
+
 def ordered_prefix(
     df: DataFrame,
     by: list[str],
@@ -179,11 +189,11 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
 
     Equal values are counted together first, so no task ever holds a whole group.
     """
-    counted = (
+    rows_per_bucket = bucket_size(df, rows_per_bucket)
+    counted = derived(
         df.where(F.col(value).isNotNull())
         .select(*by, plain_zero(F.col(value)).alias("_v"))
-        .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    )
+        .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), rows_per_bucket)
     ranked = ordered_prefix(counted, by, "_v", sums={"_cum": "_n"}, totals={"_tot": "_n"},
                             rank=None, rows_per_bucket=rows_per_bucket)
     first, last = F.col("_cum") - F.col("_n"), F.col("_cum") - 1
@@ -248,6 +258,7 @@ def nearest_value(queries: DataFrame, table: DataFrame, by: list[str], at: str,
                                           F.lit(None).cast(_entry_type(table, at, value)).alias("_e"),
                                           F.lit(True).alias("_q")).distinct())
               .groupBy(*by, "_at").agg(F.max("_e").alias("_e"), F.max("_q").alias("_q")))
+    merged = derived(merged, rows_per_bucket)
     buckets = plan_buckets(merged, "_at", [*by, "_at"], rows_per_bucket)
     keyed = assign_bucket(merged, "_at", None, buckets, "_bkt", "_sub")
     inner = Window.partitionBy(*by, "_bkt").orderBy("_at")

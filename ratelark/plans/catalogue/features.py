@@ -11,7 +11,7 @@ from ...operators import features as ft
 from ...operators.pca import PrincipalComponents
 from ...operators.targets import LogTarget, PowerTarget
 from ...session import stage
-from ...sources.portfolio_views import prepared_view
+from ...sources.portfolio_views import prepared_view, read_table
 
 BY = ["part"]
 
@@ -165,7 +165,7 @@ mp AS (SELECT "column", old, CASE WHEN i > 4 OR n < 30 THEN 'other_kinds' ELSE
 
 
 def part_rows(spark, sf):
-    return spark.read.parquet(f"{sf}/part.parquet").select(
+    return read_table(spark, sf, "part").select(
         F.col("p_partkey").cast("long").alias("id"), "p_brand", "p_type")
 
 
@@ -188,7 +188,7 @@ def category_reduce(spark, sf):
   regexp_replace(regexp_replace(regexp_replace(strip_accents(p_name || ' Ćma-é #' || p_type),
   '[- ]', '_', 'g'), '[^a-zA-Z0-9_]', '', 'g'), '_+', '_', 'g') AS name FROM part""")
 def escape_names(spark, sf):
-    return spark.read.parquet(f"{sf}/part.parquet").select(
+    return read_table(spark, sf, "part").select(
         F.col("p_partkey").cast("long").alias("id"),
         escape_name(F.concat("p_name", F.lit(" Ćma-é #"), "p_type")).alias("name"))
 

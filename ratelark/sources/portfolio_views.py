@@ -9,27 +9,36 @@ from ..config import TARGET_COLUMN, Target, Weighting
 from ..operators.prep import join_claims, modelling_task, weight_column, with_targets
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# The columns read from each table; a given schema saves a look at the files.
+SCHEMAS = {
+    "orders": "o_orderkey long, o_custkey long",
+    "lineitem": "l_orderkey long, l_extendedprice double, l_discount double, l_returnflag string",
+    "customer": "c_custkey long, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string",
+}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def claims_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned lines are claims."""
-    return (_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    return (read_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
             .select(F.col("l_orderkey").cast("long").alias("IDpol"),
                     (F.col("l_extendedprice").cast("double") * F.col("l_discount").cast("double"))
                     .alias("ClaimAmount")))
 
 
-def policies_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One policy per order; the declared claim number is sometimes one too high."""
+def _policy_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, cust = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
-    returned = claims_view(spark, sf_dir).groupBy("IDpol").agg(F.count(F.lit(1)).alias("_nb"))
-    region = (_table(spark, sf_dir, "nation").join(
-        _table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    region = (read_table(spark, sf_dir, "nation").join(
+        read_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("n_nationkey", F.col("r_name").alias("Region")))
-    base = (_table(spark, sf_dir, "orders")
-            .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return (read_table(spark, sf_dir, "orders")
+            .join(read_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
             .join(region, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
                 order.alias("IDpol"),
@@ -42,16 +51,29 @@ def policies_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.col("c_mktsegment").alias("Brand"), "Region",
                 ((order % 25).cast("double") / 20).alias("Exposure"),
                 (order % 5).cast("string").alias("part")))
-    number = (F.coalesce(F.col("_nb"), F.lit(0))
-              + F.when(F.col("IDpol") % 97 == 0, F.lit(1)).otherwise(F.lit(0)))
-    return base.join(returned, "IDpol", "left").withColumn(
-        "ClaimNb", number.cast("long")).drop("_nb")
+
+
+def _declared(count):
+    """The declared claim number: sometimes one too high."""
+    extra = F.when(F.col("IDpol") % 97 == 0, F.lit(1)).otherwise(F.lit(0))
+    return (F.coalesce(count, F.lit(0)) + extra).cast("long")
+
+
+def policies_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One policy per order, with its declared claim number."""
+    returned = claims_view(spark, sf_dir).groupBy("IDpol").agg(F.count(F.lit(1)).alias("_nb"))
+    return (_policy_facts(spark, sf_dir).join(returned, "IDpol", "left")
+            .withColumn("ClaimNb", _declared(F.col("_nb"))).drop("_nb"))
 
 
 def prepared_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prepared portfolio; claim sums are settled to the four decimals the amounts carry."""
-    joined = join_claims(policies_view(spark, sf_dir), claims_view(spark, sf_dir))
-    settled = joined.withColumn("claim_sum", F.round("claim_sum", 4))
+    """Prepared portfolio; claim sums are settled to the four decimals the amounts carry.
+
+    The declared number follows from the same claim counts, so claims are read once.
+    """
+    joined = join_claims(_policy_facts(spark, sf_dir), claims_view(spark, sf_dir))
+    settled = joined.withColumns({"claim_sum": F.round("claim_sum", 4),
+                                  "ClaimNb": _declared(F.col("claim_count"))})
     return with_targets(settled).withColumn("cust6", F.ascii("Area") - 65)
 
 
