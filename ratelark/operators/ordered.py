@@ -261,17 +261,18 @@ def nearest_value(queries: DataFrame, table: DataFrame, by: list[str], at: str,
     merged = derived(merged, rows_per_bucket)
     buckets = plan_buckets(merged, "_at", [*by, "_at"], rows_per_bucket)
     keyed = assign_bucket(merged, "_at", None, buckets, "_bkt", "_sub")
-    inner = Window.partitionBy(*by, "_bkt").orderBy("_at")
-    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    onward = inner.rowsBetween(0, Window.unboundedFollowing)
+    # looking ahead is looking back in descending order: frames that only grow stay linear
+    bucket = Window.partitionBy(*by, "_bkt")
+    upto = bucket.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    onward = bucket.orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, 0)
     keyed = keyed.withColumns({"_prev": F.last("_e", ignorenulls=True).over(upto),
-                               "_next": F.first("_e", ignorenulls=True).over(onward)})
+                               "_next": F.last("_e", ignorenulls=True).over(onward)})
     ends = keyed.groupBy(*by, "_bkt").agg(F.max("_e").alias("_hi"), F.min("_e").alias("_lo"))
-    order = Window.partitionBy(*by).orderBy("_bkt")
-    ends = ends.select(
-        *by, "_bkt",
-        F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.min("_lo").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    order = Window.partitionBy(*by)
+    earlier = order.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    later = order.orderBy(F.col("_bkt").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "_bkt", F.max("_hi").over(earlier).alias("_before"),
+                       F.min("_lo").over(later).alias("_after"))
     found = keyed.where("_q").join(ends, [*by, "_bkt"])
     prev = F.coalesce(F.col("_prev"), F.col("_before"))
     nxt = F.coalesce(F.col("_next"), F.col("_after"))

@@ -6,11 +6,12 @@ import importlib
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.boost import Booster, BoostSpec, fit_booster
 from ..operators.glm import GlmFit, GlmSpec, elastic_net_spec, fit_glm
+from ..session import stage
 
 
 @dataclass(frozen=True)
@@ -19,6 +20,9 @@ class MeanModel:
 
     mean: float
 
+    def expression(self) -> Column:
+        return F.lit(self.mean)
+
     def predict_frame(self, df: DataFrame, out: str) -> DataFrame:
         return df.withColumn(out, F.lit(self.mean))
 
@@ -30,6 +34,9 @@ class MeanModel:
 class GlmModel:
     fit: GlmFit
 
+    def expression(self) -> Column:
+        return self.fit.predict()
+
     def predict_frame(self, df: DataFrame, out: str) -> DataFrame:
         return df.withColumn(out, self.fit.predict())
 
@@ -39,6 +46,8 @@ class GlmModel:
 
 @dataclass(frozen=True)
 class BoostModel:
+    """Trees have no column expression; they transform a frame."""
+
     fit: Booster
 
     def predict_frame(self, df: DataFrame, out: str) -> DataFrame:
@@ -48,6 +57,21 @@ class BoostModel:
         return self.fit.importance()
 
 
+def predict_parts(models: dict[str, object], rows: DataFrame, out: str = "pred") -> DataFrame:
+    """Scores of all parts: one pass when every model is an expression, else part by part."""
+    if all(hasattr(m, "expression") for m in models.values()):
+        pred = F.lit(None).cast("double")
+        for part, model in models.items():
+            pred = F.when(F.col("part") == part, model.expression()).otherwise(pred)
+        return rows.withColumn(out, pred)
+    rows = stage(rows, "score_rows", ["part"])
+    done = None
+    for part, model in models.items():
+        mine = model.predict_frame(rows.where(F.col("part") == part), out)
+        done = mine if done is None else done.unionByName(mine)
+    return done
+
+
 @dataclass(frozen=True)
 class ModelKind:
     """How to fit a model and which metric tunes it."""

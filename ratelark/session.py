@@ -50,6 +50,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/ratelark/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the intermediate tables; frames built on them can no longer be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/ratelark")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
