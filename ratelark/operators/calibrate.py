@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import kernel_weight, ratio, step_bin, weighted_mean
+from ..functions.lookup import resolve
 from ..session import stage
 from .glm import GlmSpec, PartModels, fit_parts, for_parts
 from .groups import quantile_edges
@@ -438,7 +439,7 @@ CALIBRATORS = {
 
 
 def make_calibrator(name: str, params: dict | None = None, rebalance: str | None = None):
-    model = CALIBRATORS[name](**(params or {}))
+    model = resolve(name, CALIBRATORS)(**(params or {}))
     return Rebalanced(model, rebalance) if rebalance else model
 
 

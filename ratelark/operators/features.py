@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import escape_name, interval_label
+from ..functions.lookup import resolve
 from .ordered import exact_quantiles
 
 INF = math.inf
@@ -88,7 +89,8 @@ def unknown_levels(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
 
 def apply_custom(df: DataFrame, names: list[str]) -> DataFrame:
     """New columns replace columns of the same name; all read the original values."""
-    return df.withColumns({CUSTOM_FEATURES[n][0]: CUSTOM_FEATURES[n][1]() for n in names})
+    chosen = [resolve(n, CUSTOM_FEATURES) for n in names]
+    return df.withColumns({column: make() for column, make in chosen})
 
 
 def split_types(df: DataFrame, skip: list[str]) -> tuple[list[str], list[str]]:

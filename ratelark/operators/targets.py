@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.lookup import resolve
+
 
 @dataclass(frozen=True)
 class LogTarget:
@@ -41,6 +43,6 @@ TRANSFORMERS = {"log": LogTarget, "power": PowerTarget}
 def make_target_transform(name: str, params: dict):
     """Every parameter of a transformation must be given."""
     try:
-        return TRANSFORMERS[name](**params)
+        return resolve(name, TRANSFORMERS)(**params)
     except TypeError as missing:
         raise ValueError(f"target transformation {name!r}: {missing}") from None

@@ -211,7 +211,7 @@ def random_search(spark, sf):
     def evaluate(part, params, fold):
         mine = rows.where(F.col("part") == part)
         fit = glm.fit_glm(mine.where("NOT is_val"), NUMERIC, "y", "w",
-                          glm.GlmSpec("poisson", **params))
+                          glm.GlmSpec("poisson", l2=params["alpha"]))
         out = m.pointwise_metrics(mine.withColumn("pred", fit.predict()), ["is_val"], ["MPD"])
         scores = {r["is_val"]: r["MPD"] for r in out.collect()}
         return scores[False], scores[True]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lookup import resolve
 from ..operators.boost import Booster, BoostSpec, fit_booster
 from ..operators.glm import GlmFit, GlmSpec, elastic_net_spec, fit_glm
 from ..session import stage
@@ -141,9 +141,4 @@ MODELS: dict[str, ModelKind] = {
 
 def model_kind(name: str) -> ModelKind:
     """A registered name, or the path ``module:attribute`` of a :class:`ModelKind`."""
-    if name in MODELS:
-        return MODELS[name]
-    if ":" not in name:
-        raise KeyError(f"unknown model {name!r}")
-    module, attribute = name.split(":")
-    return getattr(importlib.import_module(module), attribute)
+    return resolve(name, MODELS)

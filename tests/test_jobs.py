@@ -113,6 +113,12 @@ def test_run_end_to_end(spark, sf, tmp_path):
         "sample_train", "sample_valid", "calib", "train", "test"}
     for table in ("curves", "lift", "auto_calibration", "mean_calibration_curves"):
         assert store.read(table).count() > 0
+    before = {(r.dataset, r.IDpol): r.pred for r in stored.where("dataset = 'test'").collect()}
+    fresh = Run(job, store)
+    fresh.run(start="test", stop="test")
+    after = {(r.dataset, r.IDpol): r.pred for r in store.read_predictions("test").collect()}
+    assert after.keys() == before.keys()
+    assert all(abs(after[k] - v) < 1e-9 for k, v in before.items())
     again, _ = recompute_metrics(store, job)
     redone = {(r.dataset, r.prefix, r.metric): r.value for r in again.collect()}
     assert redone.keys() == value.keys()
@@ -131,4 +137,5 @@ def test_tuned_run_with_folds(spark, sf, tmp_path):
     run = Run(job, store)
     run.run(policies_view(spark, sf).drop("part"), claims_view(spark, sf), stop="model")
     assert store.read("trials").count() == 2 * 2 * 2 * 2
+    assert store.read("hyper_parameters").where("param = 'alpha'").count() == 2
     assert set(run.fitted.models) == {"0", "1"}
