@@ -37,7 +37,7 @@ def pool_tails(df: DataFrame, by: list[str], low: float = 0.0, high: float = 0.0
         raise ValueError("tail shares must lie in [0, 1] and sum to at most 1")
     base = df.withColumns({"_x": plain_zero(F.col(x)), "_tie": tie_hash(key)})
     ranked = stage(ordered_prefix(base, by, "_x", "_tie", rank="_rank", count="_n",
-                                  rows_per_bucket=rows_per_bucket), "tails")
+                                  rows_per_bucket=rows_per_bucket, key=key), "tails")
     n_low = F.floor(F.col("_n") * low)
     facts = ranked.groupBy(*by).agg(
         F.max(n_low).alias("_n_low"), F.max(F.floor(F.col("_n") * high)).alias("_n_high"),
@@ -226,13 +226,13 @@ def nearest_windows(ranked: DataFrame, centers: DataFrame, by: list[str], k_shar
 
 def _ranked_xy(df: DataFrame, rows_per_bucket: float | None = None) -> DataFrame:
     """Rows in prediction order with running sums of w, wx, wy and wxy."""
-    base = df.select("part", "y", "w", plain_zero(F.col("pred")).alias("x"),
+    base = df.select("part", "IDpol", "y", "w", plain_zero(F.col("pred")).alias("x"),
                      tie_hash("IDpol").alias("tie")).withColumns({
         "wx": F.col("w") * F.col("x"), "wy": F.col("w") * F.col("y"),
         "wxy": F.col("w") * F.col("x") * F.col("y")})
     return ordered_prefix(base, ["part"], "x", "tie", sums={
         "cw": "w", "cwx": "wx", "cwy": "wy", "cwxy": "wxy"}, rank="rank", count="n",
-        rows_per_bucket=rows_per_bucket)
+        rows_per_bucket=rows_per_bucket, key="IDpol")
 
 
 @dataclass(frozen=True)

@@ -83,7 +83,7 @@ def ordered_rows(df: DataFrame, by: list[str], key: str = "IDpol", y: str = "y",
     return ordered_prefix(base, by, x, "tie",
                           sums={"cum_w": w, "cum_wy": "wy", "cum_wx": "wx"},
                           totals={"tot_w": w, "tot_wy": "wy", "tot_wx": "wx"},
-                          rank="rank", count="n", rows_per_bucket=rows_per_bucket)
+                          rank="rank", count="n", rows_per_bucket=rows_per_bucket, key=key)
 
 
 def cumulative_calibration_segments(ranked: DataFrame, by: list[str],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import GROUP_BINS
 from ..functions.columns import ratio, weighted_mean
+from ..session import stage
 from .ordered import bucket_size, derived, exact_quantiles, ordered_prefix, plain_zero, tie_hash
 
 GROUP_QUANTILES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
@@ -24,10 +25,35 @@ def strict_bin(rank: Column, n: Column, n_bins: Column | int) -> Column:
     return (F.floor((rank - 1) * n_bins / n) + 1).cast("int")
 
 
-def with_groups(ranked: DataFrame, bins: list[int] = GROUP_BINS) -> DataFrame:
-    """Each row once per bin count, with its group; ``ranked`` carries ``rank`` and ``n``."""
-    return (ranked.withColumn("n_bins", F.explode(F.array(*[F.lit(b) for b in bins])))
-            .withColumn("group", strict_bin(F.col("rank"), F.col("n"), F.col("n_bins"))))
+def with_cells(ranked: DataFrame, bins: list[int]) -> DataFrame:
+    """Rows with their group under every bin count, as columns ``_g<bins>``.
+
+    The groups of all bin counts together cut a part into at most ``sum(bins)``
+    cells, so rows are summed once per cell and only cells are repeated per bin
+    count.
+    """
+    return ranked.withColumns({
+        f"_g{b}": strict_bin(F.col("rank"), F.col("n"), b) for b in bins})
+
+
+def _cell_columns(bins: list[int]) -> list[str]:
+    return [f"_g{b}" for b in bins]
+
+
+def cells_to_groups(cells: DataFrame, bins: list[int]) -> DataFrame:
+    """One row per cell and bin count, with ``n_bins`` and ``group``."""
+    pairs = F.array(*[F.struct(F.lit(b).alias("n_bins"), F.col(f"_g{b}").alias("group"))
+                      for b in bins])
+    rest = [c for c in cells.columns if c not in _cell_columns(bins)]
+    return cells.select(*rest, F.explode(pairs).alias("_g")).select(*rest, "_g.n_bins", "_g.group")
+
+
+def _cell_sums(rows: DataFrame, by: list[str], bins: list[int], y: str, x: str, w: str
+               ) -> DataFrame:
+    wt = F.col(w)
+    return rows.groupBy(*by, *_cell_columns(bins)).agg(
+        F.count(F.lit(1)).alias("n_obs"), F.sum(wt).alias("_w"),
+        F.sum(F.col(x) * wt).alias("_wx"), F.sum(F.col(y) * wt).alias("_wy"))
 
 
 def weighted_quantiles(df: DataFrame, by: list[str], value: str, w: str, probs: list[float],
@@ -37,12 +63,35 @@ def weighted_quantiles(df: DataFrame, by: list[str], value: str, w: str, probs:
     Rows of equal value only matter through the first and the last of them in
     tie order, so each distinct value is reduced to one row before ordering.
     """
-    tied = df.select(*by, plain_zero(F.col(value)).alias("_v"), F.col(w).alias("_w0"),
-                     tie_hash(key).alias("_t"))
-    per_value = derived(tied.groupBy(*by, "_v").agg(
-        F.sum("_w0").alias("_w"), F.min_by("_w0", "_t").alias("_wf"),
-        F.max_by("_w0", "_t").alias("_wl")), rows_per_bucket)
-    ranked = ordered_prefix(per_value, by, "_v", sums={"_cum": "_w"}, totals={"_tot": "_w"},
+    return run_quantiles(value_runs(df, by, value, w, key), by, probs, rows_per_bucket)
+
+
+def value_runs(df: DataFrame, by: list[str], value: str, w: str, key: str = "IDpol") -> DataFrame:
+    """Rows of equal value: their weight, and weight and place of the first and last one.
+
+    The place is the leading 60 bits of the tie hash, a number that hash
+    aggregation can compare in place.
+    """
+    tie = F.col("tie") if "tie" in df.columns else tie_hash(key)
+    place = F.conv(F.substring(tie, 1, 15), 16, 10).cast("long")
+    tied = df.select(*by, plain_zero(F.col(value)).alias("_v"), F.col(w).alias("_w"),
+                     place.alias("_t"))
+    return tied.groupBy(*by, "_v").agg(
+        F.sum("_w").alias("_w"), F.min_by("_w", "_t").alias("_wf"), F.min("_t").alias("_tf"),
+        F.max_by("_w", "_t").alias("_wl"), F.max("_t").alias("_tl"))
+
+
+def merge_runs(runs: DataFrame, by: list[str]) -> DataFrame:
+    return runs.groupBy(*by, "_v").agg(
+        F.sum("_w").alias("_w"), F.min_by("_wf", "_tf").alias("_wf"),
+        F.max_by("_wl", "_tl").alias("_wl"))
+
+
+def run_quantiles(runs: DataFrame, by: list[str], probs: list[float],
+                  rows_per_bucket: float | None = None) -> DataFrame:
+    """Weighted quantiles from runs of equal values."""
+    runs = derived(runs.select(*by, "_v", "_w", "_wf", "_wl"), rows_per_bucket)
+    ranked = ordered_prefix(runs, by, "_v", sums={"_cum": "_w"}, totals={"_tot": "_w"},
                             rank=None, rows_per_bucket=rows_per_bucket)
     placed = ranked.select(
         *by, "_v",
@@ -74,23 +123,35 @@ def group_statistics(ranked: DataFrame, by: list[str], bins: list[int] = GROUP_B
                      key: str = "IDpol", rows_per_bucket: float | None = None) -> DataFrame:
     """Statistics of each strict bin, for all bin counts from one ranked frame."""
     rows_per_bucket = bucket_size(ranked, rows_per_bucket, len(bins))
-    rows = with_groups(ranked.select(*by, key, y, x, w, "rank", "n"), bins)
-    if groups is not None:
-        rows = rows.where(F.col("group").isin(groups))
-    level = [*by, "n_bins", "group"]
+    tie = ["tie"] if "tie" in ranked.columns else []
+    rows = with_cells(ranked.select(*by, key, y, x, w, "rank", "n", *tie), bins)
+    level, cell = [*by, "n_bins", "group"], [*by, *_cell_columns(bins)]
+    sums = _cell_sums(rows, by, bins, y, x, w).withColumns({
+        "_mx": ratio(F.col("_wx"), F.col("_w")), "_my": ratio(F.col("_wy"), F.col("_w"))})
+    # second pass around the cell means, so that near-constant bins keep their digits
     wt = F.col(w)
-    means = rows.groupBy(*level).agg(
-        F.count(F.lit(1)).alias("n_obs"), F.sum(wt).alias("sum_w"),
-        weighted_mean(F.col(x), wt).alias("mean_pred"),
-        weighted_mean(F.col(y), wt).alias("mean_target"))
-    # second pass around the means, so that near-constant bins keep their digits
-    spread = rows.join(F.broadcast(means.select(*level, "mean_pred", "mean_target")), level) \
-        .groupBy(*level).agg(
-            F.sqrt(weighted_mean(F.pow(F.col(x) - F.col("mean_pred"), 2), wt))
-            .alias("std_pred"),
-            F.sqrt(weighted_mean(F.pow(F.col(y) - F.col("mean_target"), 2), wt))
-            .alias("std_target"))
-    quantiles = weighted_quantiles(rows, level, y, w, GROUP_QUANTILES, key, rows_per_bucket)
+    inside = rows.join(F.broadcast(sums.select(*cell, "_mx", "_my")), cell).groupBy(*cell).agg(
+        F.sum(wt * F.pow(F.col(x) - F.col("_mx"), 2)).alias("_sx"),
+        F.sum(wt * F.pow(F.col(y) - F.col("_my"), 2)).alias("_sy"))
+    parts = cells_to_groups(stage(sums.join(inside, cell), "cells"), bins)
+    if groups is not None:
+        parts = parts.where(F.col("group").isin(groups))
+    means = parts.groupBy(*level).agg(
+        F.sum("n_obs").alias("n_obs"), F.sum("_w").alias("sum_w"),
+        ratio(F.sum("_wx"), F.sum("_w")).alias("mean_pred"),
+        ratio(F.sum("_wy"), F.sum("_w")).alias("mean_target"))
+
+    def spread_of(within: str, own: str, mean: str) -> Column:
+        between = F.col("_w") * F.pow(F.col(own) - F.col(mean), 2)
+        return F.sqrt(ratio(F.sum(F.col(within) + between), F.sum("_w")))
+
+    spread = parts.join(F.broadcast(means.select(*level, "mean_pred", "mean_target")), level) \
+        .groupBy(*level).agg(spread_of("_sx", "_mx", "mean_pred").alias("std_pred"),
+                             spread_of("_sy", "_my", "mean_target").alias("std_target"))
+    runs = cells_to_groups(value_runs(rows, cell, y, w, key), bins)
+    if groups is not None:
+        runs = runs.where(F.col("group").isin(groups))
+    quantiles = run_quantiles(merge_runs(runs, level), level, GROUP_QUANTILES, rows_per_bucket)
     wide = quantiles.groupBy(*level).agg(
         *[F.max(F.when(F.col("prob") == q, F.col("quantile"))).alias(f"q_{int(q * 100):02d}")
           for q in GROUP_QUANTILES])
@@ -119,11 +180,11 @@ def with_bias(stats: DataFrame) -> DataFrame:
 def bin_bias(ranked: DataFrame, by: list[str], bins: list[int] = GROUP_BINS, y: str = "y",
              x: str = "pred", w: str = "w") -> DataFrame:
     """Only the means and bias columns of each strict bin."""
-    rows = with_groups(ranked.select(*by, y, x, w, "rank", "n"), bins)
-    wt = F.col(w)
-    return with_bias(rows.groupBy(*by, "n_bins", "group").agg(
-        weighted_mean(F.col(x), wt).alias("mean_pred"),
-        weighted_mean(F.col(y), wt).alias("mean_target")))
+    rows = with_cells(ranked.select(*by, y, x, w, "rank", "n"), bins)
+    parts = cells_to_groups(_cell_sums(rows, by, bins, y, x, w), bins)
+    return with_bias(parts.groupBy(*by, "n_bins", "group").agg(
+        ratio(F.sum("_wx"), F.sum("_w")).alias("mean_pred"),
+        ratio(F.sum("_wy"), F.sum("_w")).alias("mean_target")))
 
 
 def average_statistics(stats: DataFrame, labels: list[str]) -> DataFrame:

@@ -210,7 +210,7 @@ def evaluate(df: DataFrame, by: list[str], names: list[str], weighting: Weightin
     if "SC" in wanted:
         frames.append(weighted_spearman(df, by, y, x, w, rows_per_bucket))
     if wanted & {"ABC", "SDCL", "LCGI", "CCGI", "NCCGI"}:
-        pairs = pair_segments(df, by, y, x, w, rows_per_bucket)
+        pairs = derived(pair_segments(df, by, y, x, w, rows_per_bucket), rows_per_bucket)
         if wanted & {"ABC", "SDCL"}:
             frames.append(abc_sdcl(pairs, by))
         if wanted & {"LCGI", "CCGI", "NCCGI"}:
@@ -218,7 +218,9 @@ def evaluate(df: DataFrame, by: list[str], names: list[str], weighting: Weightin
     bins = sorted({int(n.split("_")[1][:-1]) for n in names if n[:4] in ("MAB_", "MOP_", "MUP_")})
     if bins or wanted & {"CCI", "COI", "CUI"}:
         if ranked is None:
-            ranked = ordered_rows(df, by, key, y, x, w, rows_per_bucket)
+            ranked = derived(ordered_rows(df, by, key, y, x, w, rows_per_bucket).select(
+                *by, y, x, w, "wy", "wx", "cum_wy", "cum_wx", "tot_wy", "tot_wx", "rank", "n"),
+                rows_per_bucket)
         if wanted & {"CCI", "COI", "CUI"}:
             frames.append(calibration_indices(ranked, by))
         if bins:

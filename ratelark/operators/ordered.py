@@ -107,7 +107,9 @@ def assign_bucket(df: DataFrame, value: str, tie: str | None, buckets: Buckets,
     shares = F.array(*[F.lit(s) for s in buckets.shares])
     share = F.coalesce(F.get(shares, F.col(bucket_col)), F.lit(1))
     lead = F.conv(F.substring(tie, 1, 8), 16, 10).cast("long")
-    return out.withColumn(sub_col, F.shiftright(lead * share, 32).cast("int"))
+    # the hash is only worked out for rows of a heavy value
+    return out.withColumn(sub_col, F.when(
+        share > 1, F.shiftright(lead * share, 32).cast("int")).otherwise(F.lit(0)))
 
 
 def derived(df: DataFrame, rows_per_bucket: float | None) -> DataFrame:
@@ -128,6 +130,7 @@ def ordered_prefix(
     rank: str | None = "rank",
     count: str | None = None,
     rows_per_bucket: float | None = None,
+    key: str | None = None,
 ) -> DataFrame:
     """Rank and running sums of each row inside ``by``, ascending in ``(value, tie)``.
 
@@ -135,10 +138,12 @@ def ordered_prefix(
     ``totals`` maps output name to a column summed over the whole of ``by``.
     ``tie`` is a hex hash column that makes the order total; leave it out only
     when ``value`` is unique inside ``by``.  ``value`` is a non-null double.
+    ``key`` names the column behind ``tie``, which is cheaper to sample by.
     """
     sums, totals = sums or {}, totals or {}
     order = [F.col(value)] + ([F.col(tie)] if tie else [])
-    buckets = plan_buckets(df, value, [*by, value] + ([tie] if tie else []), rows_per_bucket)
+    buckets = plan_buckets(df, value, [*by, value] + ([key or tie] if tie else []),
+                           rows_per_bucket)
 
     if buckets.single:
         run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -68,7 +68,7 @@ def balanced_labels(df: DataFrame, key: str, target: str, proportions: list[floa
     base = df.withColumns({"_t": plain_zero(amount), "_neg": plain_zero(-amount),
                            "_tie": tie_hash(key, seed)})
     ranked = stage(ordered_prefix(base, by, "_neg", "_tie", rank="_rank",
-                                  rows_per_bucket=rows_per_bucket), "balance")
+                                  rows_per_bucket=rows_per_bucket, key=key), "balance")
 
     cuts = F.array(*[F.lit(c) for c in _running(proportions)[:-1]])
     turn = F.col("_rank") * GOLDEN
@@ -188,7 +188,7 @@ def block_folds(df: DataFrame, key: str, target: str, k: int, seed: int = 1,
     base = df.select(key, plain_zero(-F.col(target).cast("double")).alias("_neg"),
                      tie_hash(key).alias("_tie"))
     ranked = ordered_prefix(base, [], "_neg", "_tie", rank="_rank",
-                            rows_per_bucket=rows_per_bucket)
+                            rows_per_bucket=rows_per_bucket, key=key)
     place = (F.col("_rank") - 1) % k
     if shuffle:
         blocks = ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / k))
@@ -310,7 +310,7 @@ def quantile_split(df: DataFrame, key: str, target: str, test_size: float, n_bin
     rows = quantile_bins(df, target, n_bins, rows_per_bucket=rows_per_bucket).select(
         key, "bin", F.lit(0.0).alias("_v"), tie_hash(key, seed).alias("_tie"))
     ranked = ordered_prefix(rows, ["bin"], "_v", "_tie", rank="_rank", count="_n",
-                            rows_per_bucket=rows_per_bucket)
+                            rows_per_bucket=rows_per_bucket, key=key)
     n_test = F.round(F.col("_n") * test_size)
     role = F.when(F.col("_rank") <= n_test, F.lit("test"))
     if calib_size is not None:
