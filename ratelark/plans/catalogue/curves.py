@@ -339,11 +339,11 @@ def rounded_all(df, keep, names, digits=6):
 
 @query("group_stats", f"""WITH {o.predictions('pred_signal')}, {STATS_SQL}
 SELECT part, n_bins, grp AS "group", n_obs, {o.r('sum_w', 4)} AS sum_w,
-       {', '.join(f'{o.r(k)} AS {k}' for k in STATS)} FROM stats""")
+       {', '.join(f'{o.r(k, 9)} AS {k}' for k in STATS)} FROM stats""")
 def group_stats(spark, sf):
     stats = g.group_statistics(staged_ranks(spark, sf, pred="pred_signal"), BY)
     return rounded_all(stats.withColumn("sum_w", rounded(F.col("sum_w"), 4)),
-                       ["part", "n_bins", "group", "n_obs", "sum_w"], STATS)
+                       ["part", "n_bins", "group", "n_obs", "sum_w"], STATS, 9)
 
 
 @query("group_stats_selected", f"""WITH {o.predictions('pred_signal')}, {STATS_SQL}
