@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import new_folder, stage
 
 U64 = np.uint64
 #: An odd multiplier; its powers modulo 2**64 are the weights of the polynomial hashes.
@@ -115,6 +115,31 @@ def shuffle_partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Scratch:
+    """Intermediate tables of one job in the shared folder, dropped when no longer read."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, new_folder(spark, name)
+        self.tables: dict[str, int] = {}
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back; the shuffle files behind it can go."""
+        self.tables[name] = self.tables.get(name, -1) + 1
+        path = f"{self.folder}/{name}-{self.tables[name]}"
+        df.write.parquet(path)
+        schema = df.schema
+        del df
+        self.spark.sparkContext._jvm.System.gc()      # Spark deletes files of collected shuffles
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        """Delete all tables staged under ``name``."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for number in range(self.tables.pop(name) + 1):
+            path = hadoop.Path(f"{self.folder}/{name}-{number}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Connected components of an undirected graph: (node, component = smallest node).
 
@@ -149,3 +174,38 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     return (stars.select(F.col("u").alias("node"), "component")
             .union(roots.select("node", F.col("node").alias("component")))
             .groupBy("node").agg(F.min("component").alias("component")))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Groups of equal integer ``keys`` of a partition sorted by them, also across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy() for k in keys], 1)
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            key = tuple(values[a])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def binary_spans(column: pa.ChunkedArray | pa.Array, width: type = U64
+                 ) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers packed in a binary column, laid end to end, and their offsets."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[
+        column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = memoryview(data)[offsets[0]:offsets[-1]] if data is not None else b""
+    size = np.dtype(width).itemsize
+    return np.frombuffer(raw, width), (offsets - offsets[0]) // size

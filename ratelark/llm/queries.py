@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import dedup_once
 from .language_id import fit, identify, learned_from
 from .line_dedup import line_dedup
+from .ngram_join import ngram_join
 from .packing import pack
 from .sentencepiece_wfst import decode, encode
+from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +60,17 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_once(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query("op3_ngram_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(read(spark, sf_dir, "documents", "doc_id", "text"), 4, 85, 100)
+
+
+@query("op4_suffix_dedup")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op5_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -65,6 +79,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score", "rejected")
 
 
+@query("op6_embedding_dedup")
+def similar_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 @query("op7_chat_formatting")
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
