@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ratelark.llm.language_id import fit, identify, learned_from
 from ratelark.llm.line_dedup import line_dedup
+from ratelark.llm.ngram_join import ngram_join
 from ratelark.llm.packing import pack
 from ratelark.llm.queries import BYTE_BPE
+from ratelark.llm.suffix_dedup import suffix_dedup
 from ratelark.session import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,12 +37,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(docs, line_dedup(docs))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of every group of near duplicates (five words, similarity 0.8) the smallest id."""
+    kept = ngram_join(docs).where("component_id = doc_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out every passage of 200 bytes or more that occurs again, and what is left of
+    characters cut in two."""
+    cut = suffix_dedup(docs, as_text=True)
+    return _with_text(docs, cut.select("doc_id", F.col("kept").alias("text")))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens."""
     return pack(docs, BYTE_BPE)
 
 
-STAGES = [("language_id", language), ("line_dedup", lines), ("packing", packing)]
+STAGES = [("language_id", language), ("line_dedup", lines), ("ngram_join", near_duplicates),
+          ("suffix_dedup", repeats), ("packing", packing)]
 
 #: Stages on language models, suffixes and packing have no SQL; the tests compare each stage
 #: with a brute-force version.
