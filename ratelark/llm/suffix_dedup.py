@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (U64, Scratch, binary_spans, digest16, mix, powers, prefix_hash, schema_of, span_hash,
+from .common import (BASE_INVERSE, U64, Scratch, binary_spans, digest16, mix, powers, prefix_hash, schema_of, span_hash,
                      text_blocks, text_bytes)
 
 #: Bytes of the gram by which suffixes are sampled.
@@ -26,25 +26,26 @@ _SECOND = mix(np.arange(1001, 1257, dtype=U64))
 
 
 def sample_suffixes(data: np.ndarray, offsets: np.ndarray, length: int
-                    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled places of documents laid end to end: row, place, gram, context.
+                    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sampled places of documents laid end to end: row, place, backs, gram, context.
 
     Of the grams of every ``length``-byte window that with the least hash (the leftmost of
     equals) is sampled.  Equal windows sample the same place, so a window occurs twice only if
     the gram sampled in it does.  The context is what windows around the place can reach: up to
     ``length - GRAM`` bytes before it and ``length`` from it on, within the document.  A place
-    is packed with these two margins: place << 32 | before << 16 | after.
+    is packed with these two margins: place << 32 | before << 16 | after.  The windows that
+    sample a place begin ``near`` to ``far`` bytes before it: near << 16 | far.
     """
     n = len(data)
     empty = np.zeros(0, np.int64)
     window = length - GRAM + 1
     if n < length:
-        return empty, empty, empty.view(U64), empty.view(U64)
+        return empty, empty, empty, empty.view(U64), empty.view(U64)
     prefix = prefix_hash(_FIRST[data])
-    at = np.arange(n - GRAM + 1)
-    grams = span_hash(prefix, at, at + GRAM)
+    at = np.arange(n - GRAM + 1, dtype=U64)
+    grams = (prefix[GRAM:] - prefix[:-GRAM]) * powers(n + 1, BASE_INVERSE)[:len(at)]
     # the least (hash, place) of every window, from running minima of blocks as long as one
-    ranks = ((grams >> U64(32)) << U64(32)) | at.astype(U64)
+    ranks = grams & U64(0xFFFFFFFF00000000) | at
     blocks = -(-len(ranks) // window)
     grid = np.full(blocks * window, np.iinfo(np.uint64).max, U64)
     grid[:len(ranks)] = ranks
@@ -52,26 +53,34 @@ def sample_suffixes(data: np.ndarray, offsets: np.ndarray, length: int
     ahead = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     behind = np.minimum.accumulate(grid, axis=1).ravel()
     least = np.minimum(ahead[:n - length + 1], behind[window - 1:window + n - length])
-    ends = np.repeat(offsets[1:], np.diff(offsets))[:n - length + 1]
-    whole = np.arange(n - length + 1) + length <= ends
-    places = np.unique((least[whole] & U64(0xFFFFFFFF)).astype(np.int64))
+    whole = np.ones(len(least), bool)
+    for end in offsets[1:-1].tolist():                 # windows that cross a document's end
+        whole[max(0, end - length + 1):end] = False
+    start = np.flatnonzero(whole)
+    least = least[whole]
+    new = np.flatnonzero(np.append(True, least[1:] != least[:-1])[:len(least)])
+    places = (least[new] & U64(0xFFFFFFFF)).astype(np.int64)
+    # the windows of a place are consecutive
+    far = places - start[new]
+    near = places - start[np.append(new[1:], len(least)) - 1] if len(new) else empty
     row = np.searchsorted(offsets, places, "right") - 1
     low = np.maximum(offsets[row], places - (length - GRAM))
     high = np.minimum(offsets[row + 1], places + length)
     margins = (places - low) << 16 | (high - places)
     context = mix(span_hash(prefix_hash(_SECOND[data]), low, high) ^ mix(margins.astype(U64)))
-    return row, (places - offsets[row]) << 32 | margins, grams[places], context
+    return row, (places - offsets[row]) << 32 | margins, near << 16 | far, grams[places], context
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in text_blocks(batch, "text"):
-            row, place, gram, context = sample_suffixes(data, offsets, length)
+            row, place, backs, gram, context = sample_suffixes(data, offsets, length)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id")[rows].take(take), batch.column("mark")[rows].take(take),
-                 pa.array(place), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))],
-                ["id", "mark", "place", "gram", "context"])
+                 pa.array(place), pa.array(backs.astype(np.int32)),
+                 pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))],
+                ["id", "mark", "place", "backs", "gram", "context"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -102,34 +111,46 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
 
 
 class Suffixes:
-    """Strings of equal length, compared through hashes of their prefixes."""
+    """Strings of equal length, compared through hashes of their prefixes.
+
+    Hashes are kept of prefixes of whole blocks; inside a block the bytes decide.
+    """
+
+    BLOCK = 16
 
     def __init__(self, rows: np.ndarray):
         self.rows = rows
         n, width = rows.shape
-        self.prefix = np.zeros((n, width + 1), U64)
-        np.cumsum(_FIRST[rows] * powers(width)[:width], axis=1, out=self.prefix[:, 1:])
-
-    def common(self, a: np.ndarray, b: np.ndarray, start: int, end: int) -> np.ndarray:
-        """How many bytes from ``start`` on strings a and b have in common, up to ``end``:
-        a binary search for the longest piece of equal hash."""
-        low = np.full(len(a), start)
-        high = np.full(len(a), end)
-        base = self.prefix[a, start] - self.prefix[b, start]
-        while True:
-            middle = (low + high + 1) // 2
-            if (low >= high).all():
-                return low - start
-            same = self.prefix[a, middle] - self.prefix[b, middle] == base
+        self.blocks = -(-width // self.BLOCK)
+        padded = np.full((n, self.blocks * self.BLOCK), END, np.uint8)
+        padded[:, :width] = rows
+        self.words = padded.view(">u8").astype(U64)
+        self.prefix = np.zeros((n, self.blocks + 1), U64)
+        weights = powers(padded.shape[1])[:padded.shape[1]]
+        for a in range(0, n, 1024):
+            sums = np.add.reduceat(_FIRST[padded[a:a + 1024]] * weights,
+                                   np.arange(0, padded.shape[1], self.BLOCK), axis=1)
+            np.cumsum(sums, axis=1, out=self.prefix[a:a + 1024, 1:])
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many blocks strings a and b begin with in common: a binary search for the
+        longest prefix of equal hash."""
+        low = np.zeros(len(a), np.int64)
+        high = np.full(len(a), self.blocks)
+        for _ in range(self.blocks.bit_length()):
+            middle = (low + high + 1) >> 1
+            same = self.prefix[a, middle] == self.prefix[b, middle]
             low = np.where(same, middle, low)
-            high = np.where(same, high, np.minimum(high, middle - 1))
+            high = np.where(same, high, np.maximum(middle - 1, low))
+        return low
 
     def before(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether string a sorts before string b (or is equal, where asked for)."""
-        width = self.rows.shape[1]
-        at = self.common(a, b, 0, width)
-        inside = np.minimum(at, width - 1)
-        return np.where(at == width, or_equal, self.rows[a, inside] < self.rows[b, inside])
+        at = self.common(a, b)
+        inside = np.minimum(at, self.blocks - 1) * 2
+        one, two = self.words[a, inside], self.words[b, inside]
+        less = np.where(one == two, self.words[a, inside + 1] < self.words[b, inside + 1], one < two)
+        return np.where(at == self.blocks, or_equal, less)
 
     def sort(self) -> np.ndarray:
         """Mergesort, all merges of a level at once: each string finds its place in the run it
@@ -320,15 +341,16 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("id"),
         F.xxhash64(F.col(text_col), F.col(id_col).isNull()).alias("mark"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).isNull().alias("no_id"))
-    places = source.select("id", "mark", "text").mapInArrow(
-        lambda b: _sampled(b, length), "id bigint, mark bigint, place bigint, gram bigint, "
-                                       "context bigint")
+    places = scratch.stage(source.select("id", "mark", "text").mapInArrow(
+        lambda b: _sampled(b, length), "id bigint, mark bigint, place bigint, backs int, "
+                                       "gram bigint, context bigint"), "places")
     several = scratch.stage(places.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
                             .select("gram"), "several")
     shared = scratch.stage(places.join(several, "gram"), "shared")
+    scratch.drop("places")
     groups = scratch.stage(shared.groupBy("gram", "context").agg(
         F.count("*").alias("n"), F.first("id").alias("id"), F.first("mark").alias("mark"),
-        F.first("place").alias("place")), "groups")
+        F.first("place").alias("place"), F.first("backs").alias("backs")), "groups")
     mixed = groups.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
     compared = scratch.stage(groups.join(mixed, "gram"), "compared")
 
@@ -344,14 +366,24 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     near = neighbours(scratch, suffixes, length, False).union(
         neighbours(scratch, by_left, length, True))
 
-    # the longest match to the right, that to the left, and the windows that neither decides
+    # a context's own windows between the longest matches to both sides; those that neither of
+    # the two decides are compared by digest with the same windows of the gram's other contexts
     best = near.groupBy("gram", "context").agg(
         F.max(F.struct("right", "left")).alias("r"), F.max(F.struct("left", "right")).alias("l"))
-    unsure = best.where((F.col("r.right") + F.col("l.left") >= length)
-                        & (F.col("l.right") + F.col("r.left") < length - 1)).groupBy("gram").agg(
-        F.min(F.col("r.left") + 1).alias("low"),
-        F.max(length - F.col("l.right") - 1).alias("high"))
-    windows = scratch.stage(suffixes.join(unsure, "gram").mapInArrow(
+    reach = best.join(compared.select("gram", "context", "backs"), ["gram", "context"]).select(
+        "gram", "context",
+        F.greatest(F.shiftright("backs", 16), length - F.col("r.right")).alias("low"),
+        F.least(F.col("backs").bitwiseAND(F.lit(0xFFFF)), F.col("l.left")).alias("high"),
+        (F.col("r.left") + 1).alias("open_low"), (length - F.col("l.right") - 1).alias("open_high"))
+    reach = scratch.stage(reach.where("low <= high"), "reach")
+    unsure = reach.select("gram", F.greatest("low", "open_low").alias("open_low"),
+                          F.least("high", "open_high").alias("open_high")).where(
+        "open_low <= open_high").groupBy("gram").agg(
+        F.min("open_low").alias("open_low"), F.max("open_high").alias("open_high"))
+    asked = reach.drop("open_low", "open_high").join(unsure, "gram").select(
+        "gram", "context", F.greatest("low", "open_low").alias("low"),
+        F.least("high", "open_high").alias("high")).where("low <= high")
+    windows = scratch.stage(suffixes.join(asked, ["gram", "context"]).mapInArrow(
         lambda b: _windows(b, length),
         "gram bigint, context bigint, back int, digest binary"), "windows")
     scratch.drop("suffixes")
@@ -376,7 +408,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
         "id", "mark", "start", (F.col("start") + length).alias("end"))
     spans = scratch.stage(whole.union(partly).union(one_by_one).groupBy("id", "mark").agg(
         F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    for name in ("several", "shared", "groups", "compared", "neighbours", "windows"):
+    for name in ("several", "shared", "groups", "compared", "neighbours", "reach", "windows"):
         scratch.drop(name)
 
     kind = "string" if as_text else "binary"

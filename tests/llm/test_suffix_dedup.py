@@ -95,24 +95,38 @@ def test_text_output_has_no_broken_characters(docs):
     assert {r["doc_id"]: r["kept"] for r in rows} == {1: "aéx", 2: "b¨"}
 
 
-def test_sort_and_extensions():
+@pytest.mark.parametrize("width", [12, 40])
+def test_sort(width):
     rng = np.random.default_rng(1)
-    rows = rng.integers(97, 99, (500, 12)).astype(np.uint8)
+    rows = rng.integers(97, 99, (500, width)).astype(np.uint8)
+    rows[100:300, :width - 3] = rows[0, :width - 3]
     found = Suffixes(rows)
     order = found.sort()
     assert [bytes(r) for r in rows[order]] == sorted(bytes(r) for r in rows)
     a, b = order[:-1], order[1:]
-    common = found.common(a, b, 0, 12)
-    for x, y, n in zip(a, b, common):
-        assert (rows[x][:n] == rows[y][:n]).all() and (n == 12 or rows[x][n] != rows[y][n])
+    for x, y, n in zip(a, b, found.common(a, b)):
+        assert (rows[x][:16 * n] == rows[y][:16 * n]).all()
+        assert n == found.blocks or (rows[x][16 * n:16 * n + 16] != rows[y][16 * n:16 * n + 16]).any()
+
+
+def test_wrong_hashes_do_not_change_the_order():
+    rows = np.random.default_rng(3).integers(97, 100, (200, 40)).astype(np.uint8)
+    found = Suffixes(rows)
+    found.prefix[:, 2:] = 7                            # as if all these prefixes collided
+    assert [bytes(r) for r in rows[found.sort()]] == sorted(bytes(r) for r in rows)
 
 
 def test_equal_windows_sample_equal_places():
     text = bytes(random.Random(2).choice(b"abcdef") for _ in range(600))
     other = b"zz" + text[100:400] + b"yy"
     data = np.frombuffer(text + other, np.uint8)
-    row, place, gram, _ = sample_suffixes(data, np.array([0, 600, 904]), 200)
+    row, place, backs, gram, _ = sample_suffixes(data, np.array([0, 600, 904]), 200)
     at = place >> 32
     one = {(p, g) for r, p, g in zip(row, at, gram) if r == 0 and 168 + 100 <= p <= 400 - 200}
     two = {(p + 98, g) for r, p, g in zip(row, at, gram) if r == 1}
     assert one <= two
+    # every window belongs to one place, and no place has windows out of its reach
+    near, far = backs >> 16, backs & 0xFFFF
+    assert (near <= far).all() and (far <= 168).all()
+    starts = sorted((r, p - b) for r, p, n, f in zip(row, at, near, far) for b in range(n, f + 1))
+    assert starts == [(0, s) for s in range(401)] + [(1, s) for s in range(105)]
