@@ -22,7 +22,7 @@ POWER = {"gaussian": 0.0, "poisson": 1.0, "gamma": 2.0}
 class GlmSpec:
     """A family (by variance power), a link and the penalty of one model.
 
-    ``link`` is 'log', 'identity', 'inverse' or 'power' (``1 - power``, the
+    ``link`` is 'log', 'identity', 'inverse' or 'power' (``1 / (1 - power)``, the
     canonical one).  ``l1``/``l2`` multiply the L1 and half the squared L2 norm
     of the coefficients; the loss is half the weighted mean deviance.
     """
@@ -48,7 +48,7 @@ class GlmSpec:
         if self.link == "power":
             if self.variance_power == 1:
                 raise ValueError("the power link needs a variance power other than 1")
-            return 1.0 - self.variance_power
+            return 1.0 / (1.0 - self.variance_power)
         return {"log": 0.0, "identity": 1.0, "inverse": -1.0}[self.link]
 
     @property

@@ -14,7 +14,8 @@ from ..functions.columns import weighted_mean
 from ..session import stage
 from .ordered import exact_quantiles, ordered_prefix, plain_zero, tie_hash
 
-HEAD_ROWS = 1000
+#: Rows above this share of their group's total are dealt one by one: 10,000 a group at most.
+TOLERANCE = 1e-4
 GOLDEN = 0.6180339887498949
 REPORT_QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.995, 0.999]
 TOP_VALUES = 6
@@ -52,14 +53,15 @@ def _deal_head(amounts: list[tuple[int, float]], sums: list[float],
 
 def balanced_labels(df: DataFrame, key: str, target: str, proportions: list[float],
                     w: str | None = None, seed: int = 0, by: list[str] | None = None,
-                    label: str = "label", head_rows: int = HEAD_ROWS,
+                    label: str = "label", tolerance: float = TOLERANCE,
                     rows_per_bucket: float | None = None) -> DataFrame:
     """Bin label per row so that bins share the sum of ``target*w`` in the given proportions.
 
-    Only the ``head_rows`` largest rows of each group decide the balance one by
-    one; they are dealt on the driver.  The many smaller positive rows follow a
-    golden-ratio sequence of their rank, and zero rows fill each bin up to the
-    same mean.  Returns ``df`` with an integer ``label``.
+    Rows with more than ``tolerance`` of their group's total (fewer than
+    ``1 / tolerance`` by arithmetic) decide the balance one by one; they are dealt
+    on the driver.  All smaller positive rows follow a golden-ratio sequence of
+    their rank, and zero rows fill each bin up to the same mean.  Returns ``df``
+    with an integer ``label``.
     """
     if abs(sum(proportions) - 1) > 1e-9 or min(proportions) <= 0:
         raise ValueError("proportions must be positive and sum to 1")
@@ -74,7 +76,10 @@ def balanced_labels(df: DataFrame, key: str, target: str, proportions: list[floa
     turn = F.col("_rank") * GOLDEN
     tail_bin = F.size(F.filter(cuts, lambda c: c <= turn - F.floor(turn)))
     positive = F.col("_t") > 0
-    in_head = F.col("_rank") <= head_rows
+    totals = ranked.groupBy(*by).agg((F.sum("_t") * tolerance).alias("_large"))
+    ranked = (ranked.join(F.broadcast(totals), by) if by
+              else ranked.crossJoin(F.broadcast(totals)))
+    in_head = F.col("_t") > F.col("_large")
     facts = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("n_pos"),
         F.sum("_t").alias("total"), F.min("_t").alias("lowest"),

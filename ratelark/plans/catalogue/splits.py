@@ -200,10 +200,10 @@ def column_concat(spark, sf):
 
 
 @query("part_concat", f"""WITH {o.PREPARED}
-SELECT IDpol, part FROM prep WHERE part IN ('0', '1')""")
+SELECT IDpol, part FROM prep""")
 def part_concat(spark, sf):
     rows = prepared_view(spark, sf)
-    return ks.stack_parts({p: rows.where(F.col("part") == p).select("IDpol") for p in "01"})
+    return ks.stack_parts({p: rows.where(F.col("part") == p).select("IDpol") for p in "01234"})
 
 
 @query("missing_keys", f"""WITH {o.PREPARED}

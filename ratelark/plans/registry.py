@@ -79,6 +79,12 @@ class ModelKind:
     fit: Callable[[DataFrame, list[str], dict], object]
     metric: str
 
+    def metric_of(self, params: dict) -> str:
+        """The tuning metric; a Tweedie deviance takes the power that the model has."""
+        if self.metric.startswith("MTD(") and params.get("power") is not None:
+            return f"MTD({float(params['power']):g})"
+        return self.metric
+
 
 def _known(spec, params: dict):
     names = {f.name for f in fields(spec)}

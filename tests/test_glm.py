@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratelark.operators import boost, glm
+from ratelark.operators.boost import BoostSpec
 from ratelark.operators import selection as sel
 from ratelark.operators.glm import GlmSpec, elastic_net_spec, fit_glm
+from ratelark.plans.registry import MODELS
 
 NAMES = ["x1", "x2", "x3"]
 
@@ -59,7 +61,7 @@ def newton(x, y, w, p, q, l2=0.0):
     (GlmSpec("gamma", "inverse"), "inv", ["ax", "x2"]),
     (GlmSpec("tweedie", "log", 1.5), "mixed", NAMES),
     (GlmSpec("tweedie", "log", 1.2, l2=0.1, tol=1e-14), "mixed", NAMES),
-    (GlmSpec("tweedie", "power", 1.5), "mixed", ["ax", "x2"]),
+    (GlmSpec("tweedie", "power", 1.5, tol=1e-14), "mixed", ["ax", "x2"]),
     (GlmSpec("gamma", "log", tol=1e-14), "mixed", NAMES),
 ])
 def test_coefficients(data, spec, y, names):
@@ -142,3 +144,20 @@ def test_boosting_rules():
     assert boost.BoostSpec(learning_rate=1.0).patience == 60
     assert boost.BoostSpec(learning_rate=5.0).patience == 30
     assert boost.BoostSpec(max_depth=6, num_leaves=8).depth == 3
+
+
+def test_power_link_on_a_continuous_feature(spark):
+    """The power link of a Tweedie model is 1 / (1 - p): exact data give the coefficients back."""
+    x = np.linspace(0.0, 1.0, 200)
+    rows = spark.createDataFrame([(float(v), float((2.0 + 3.0 * v) ** -0.5), 1.0) for v in x],
+                                 "x double, y double, w double")
+    spec = GlmSpec("tweedie", "power", 1.5)
+    assert spec.link_power == -2.0
+    fit = fit_glm(rows, ["x"], "y", "w", spec)
+    assert np.allclose([fit.intercept, *fit.coefficients], [2.0, 3.0], rtol=1e-4)
+
+
+def test_boosted_tweedie_has_a_default_power():
+    assert BoostSpec("tweedie").variance_power == 1.5
+    assert MODELS["boosted_tweedie"].metric_of({"power": 1.3}) == "MTD(1.3)"
+    assert MODELS["boosted_tweedie"].metric_of({}) == "MTD(1.5)"

@@ -32,13 +32,23 @@ def test_text_inputs(spark, tmp_path):
         "DrivAge": "4151", "Region": "Centre"}
 
 
-def test_store_replaces_only_written_partitions(spark, tmp_path):
+def test_store_keeps_nothing_of_an_earlier_run(spark, tmp_path):
     store = StageStore(spark, str(tmp_path))
+    role = "part string, role string, IDpol long"
+    store.write(spark.createDataFrame([("0", "train", 1), ("4", "calib", 2)], role), "a",
+                ["part", "role"])
+    store.write(spark.createDataFrame([("0", "train", 3)], role), "a", ["part", "role"])
+    assert [(r.part, r.IDpol) for r in store.read("a").collect()] == [("0", 3)]
+    data = "dataset string, part string, IDpol long"
+    store.write_predictions(spark.createDataFrame(
+        [("train", "0", 1), ("test", "0", 2), ("test", "1", 3)], data))
+    store.write_predictions(spark.createDataFrame([("test", "0", 9)], data))
+    assert sorted(r.IDpol for r in store.read_predictions().collect()) == [1, 9]
     first = spark.createDataFrame([("00", 1), ("1", 2)], "part string, IDpol long")
     store.write_parts(first, "t")
     store.write_parts(spark.createDataFrame([("1", 9)], "part string, IDpol long"), "t")
-    assert sorted((r.part, r.IDpol) for r in store.read("t").collect()) == [("00", 1), ("1", 9)]
-    assert store.read_part("t", "00").count() == 1
+    assert sorted((r.part, r.IDpol) for r in store.read("t").collect()) == [("1", 9)]
+    assert store.read_part("t", "00").count() == 0
     keys = spark.createDataFrame([(5,)], "IDpol long")
     store.write_parts(spark.createDataFrame([("2", 5), ("2", 6)], "part string, IDpol long"), "t",
                       keys)
@@ -63,7 +73,7 @@ def test_search(spark):
     assert all(1e-5 <= c["reg_alpha"] <= 10 for c in tried)
     with pytest.raises(ValueError):
         tn.Uniform(2, 1)
-    assert tn.repeated_split_seed(5, 2) == 105 * 201
+    assert len({tn.repeated_split_seed(s, f) for s in range(9) for f in range(9)}) == 81
 
     points = [{"x": v} for v in (3.0, 1.0, 1.0, 2.0)]
 

@@ -22,7 +22,7 @@ def skewed(spark):
 @pytest.mark.parametrize("shares", [[0.2] * 5, [0.6, 0.2, 0.2]])
 def test_sums_and_sizes_are_balanced(skewed, shares):
     pdf, df = skewed
-    out = sp.balanced_labels(df, "IDpol", "y", shares, "w", seed=4, head_rows=500,
+    out = sp.balanced_labels(df, "IDpol", "y", shares, "w", seed=4, tolerance=1 / 5000,
                              rows_per_bucket=3000).toPandas()
     assert len(out) == len(pdf) and out.IDpol.is_unique
     sums = out.assign(t=out.y * out.w).groupby("label").t.sum()
