@@ -73,7 +73,7 @@ def sample_suffixes(data: np.ndarray, offsets: np.ndarray, length: int
 
 def _sampled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, offsets in text_blocks(batch, "text"):
+        for rows, data, offsets in text_blocks(batch, "text", 1 << 20):
             row, place, backs, gram, context = sample_suffixes(data, offsets, length)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
