@@ -19,7 +19,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = (1 << 64) - 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text worked on at once (a longer document is a block of its own).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -69,6 +69,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``rows`` rows, for work that copies texts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES
                 ) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Rows of a batch in blocks of at most ``limit`` bytes: (rows, bytes, offsets from 0)."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import digest16, schema_of, text_bytes
+from .common import digest16, schema_of, slices, text_bytes
 
 STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -60,7 +60,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .groupBy("id").agg(F.collect_set("key").alias("drop")))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = text_bytes(batch.column(1))
             texts, n_lines, n_dropped = [], [], []
             for drop, a, b in zip(batch.column(2).to_pylist(), offsets[:-1], offsets[1:]):

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (BASE_INVERSE, U64, Scratch, binary_spans, digest16, mix, powers, prefix_hash, schema_of, span_hash,
+from .common import (BASE_INVERSE, U64, Scratch, binary_spans, digest16, mix, powers, prefix_hash, schema_of, slices, span_hash,
                      text_blocks, text_bytes)
 
 #: Bytes of the gram by which suffixes are sampled.
@@ -73,7 +73,7 @@ def sample_suffixes(data: np.ndarray, offsets: np.ndarray, length: int
 
 def _sampled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, offsets in text_blocks(batch, "text", 1 << 20):
+        for rows, data, offsets in text_blocks(batch, "text"):
             row, place, backs, gram, context = sample_suffixes(data, offsets, length)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -91,7 +91,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
     unpack = zstandard.ZstdDecompressor().decompress
     reach = length - GRAM
     seen = set()
-    for batch in batches:
+    for batch in slices(batches):
         for *key, text, places in zip(*(batch.column(c).to_pylist() for c in (
                 "id", "mark", "text", "places"))):
             if tuple(key) in seen:
@@ -281,7 +281,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     """Documents with their texts compressed, for a shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = text_bytes(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("mark"), batch.column("no_id"), pa.array(
@@ -292,7 +292,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in slices(batches):
         texts, rows = [], []
         for packed, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             text = unpack(packed)
