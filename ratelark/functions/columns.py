@@ -14,16 +14,34 @@ _ACCENTED = ("àáâãäåāăąÀÁÂÃÄÅĀĂĄçćĉċčÇĆĈĊČďđĎĐè
 _PLAIN = ("aaaaaaaaaAAAAAAAAAcccccCCCCCddDDeeeeeeeeeEEEEEEEEEggggGGGGhhHHiiiiiiiiiIIIIIIIII"
           "jJkKllllLLLLnnnnNNNNoooooooooOOOOOOOOOrrrRRRssssSSSStttTTTuuuuuuuuuuUUUUUUUUUU"
           "wWyyyYYYzzzZZZ")
+# Greek and Cyrillic letters and their ASCII forms, by position.
+_OTHER_SCRIPTS = "αβγδεζηικλμνξοπρσςτυωάέήίόύώабвгдезийклмнопрстуфыэіў"
+_OTHER_PLAIN = "abgdezeiklmnxoprsstuoaeeiouoabvgdeziiklmnoprstufyeiu"
 # Letters that become several ASCII letters.
 _EXPANDED = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th"}
+# The same of Greek and Cyrillic.
+_OTHER_EXPANDED = {"θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps", "ё": "io", "ж": "zh", "х": "kh",
+                   "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia",
+                   "є": "ie", "ї": "yi"}
 
 assert len(_ACCENTED) == len(_PLAIN)
+assert len(_OTHER_SCRIPTS) == len(_OTHER_PLAIN)
+
+
+def _two_cases(letters: str) -> str:
+    return letters + "".join(c.upper() for c in letters)
 
 
 def escape_name(name: Column) -> Column:
-    """ASCII letters, digits and single underscores; other characters disappear."""
-    text = F.translate(name, _ACCENTED, _PLAIN)
-    for letter, plain in _EXPANDED.items():
+    """ASCII letters, digits and single underscores; other characters disappear.
+
+    Latin, Greek and Cyrillic letters are written in ASCII first.
+    """
+    text = F.translate(name, _ACCENTED + _two_cases(_OTHER_SCRIPTS),
+                       _PLAIN + _two_cases(_OTHER_PLAIN))
+    expanded = _EXPANDED | _OTHER_EXPANDED | {
+        letter.upper(): plain.capitalize() for letter, plain in _OTHER_EXPANDED.items()}
+    for letter, plain in expanded.items():
         text = F.replace(text, F.lit(letter), F.lit(plain))
     text = F.regexp_replace(text, "[- ]", "_")
     text = F.regexp_replace(text, "[^a-zA-Z0-9_]", "")
@@ -56,6 +74,11 @@ def weighted_mean(value: Column, w: Column) -> Column:
     return ratio(F.sum(value * w), F.sum(w))
 
 
+def no_model() -> Column:
+    """The error of a row whose part has no fitted model."""
+    return F.raise_error(F.lit("no model was fitted for this part")).cast("double")
+
+
 def kernel_weight(distance: Column, bandwidth: Column, kernel: str) -> Column:
     """Weight of a row at ``distance``; 1 when every distance is zero."""
     u = distance / bandwidth

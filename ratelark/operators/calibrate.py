@@ -1,7 +1,8 @@
 """Recalibration of predictions and rebalancing of totals, for all parts at once.
 
 Frames carry ``(part, key, y, pred, w)``.  A fitted calibrator turns a frame
-into the same frame with a ``calibrated`` column.
+into the same frame with a ``calibrated`` column; a row of a part it was not
+fitted on is an error.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import kernel_weight, ratio, step_bin, weighted_mean
+from ..functions.columns import kernel_weight, no_model, ratio, step_bin, weighted_mean
 from ..functions.lookup import resolve
 from ..session import stage
 from .glm import GlmSpec, PartModels, fit_parts, for_parts
@@ -97,10 +98,11 @@ class EqualBinsMeans:
         return EqualBinsMeans(self.n_bins, stage(table, "bin_means"))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        rows = df.join(F.broadcast(self.table), "part")
+        rows = df.join(F.broadcast(self.table), "part", "left")
         value = F.coalesce(F.try_element_at("means", step_bin(F.col("pred"), F.col("inner"))),
                            F.col("overall"))
-        return rows.select(*df.columns, value.alias(OUT))
+        return rows.select(*df.columns, F.when(F.col("inner").isNull(), no_model())
+                           .otherwise(value).alias(OUT))
 
 
 def _by_value(df: DataFrame, y: str) -> DataFrame:
@@ -155,11 +157,12 @@ class Isotonic:
         return spark.createDataFrame(rows, "part string, x double, y double")
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = None
+        known = F.coalesce(F.col("part").isin(list(self.models)), F.lit(False))
+        out = df.where(~known).withColumn(OUT, no_model())
         for part, model in self.models.items():
             rows = model.transform(_vector(df.where(F.col("part") == part), "pred")).select(
                 *df.columns, F.col("_fit").alias(OUT))
-            out = rows if out is None else out.unionByName(rows)
+            out = out.unionByName(rows)
         return out
 
 
@@ -377,7 +380,7 @@ class LocalPolynomial:
         return {0: flat, 1: F.coalesce(line, flat), 2: F.coalesce(bow, line, flat)}[self.degree]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        rows = df.join(F.broadcast(self.table), "part")
+        rows = df.join(F.broadcast(self.table), "part", "left")
         n = F.size("knots")
         x = F.greatest(F.col("knots")[0]["c"], F.least(F.element_at("knots", -1)["c"],
                                                        F.col("pred")))
@@ -386,7 +389,8 @@ class LocalPolynomial:
         b = F.element_at("knots", F.least(i + 1, n))
         value = F.when(b["c"] > a["c"], a["v"] + (x - a["c"]) / (b["c"] - a["c"])
                        * (b["v"] - a["v"])).otherwise(a["v"])
-        return rows.select(*df.columns, value.alias(OUT))
+        return rows.select(*df.columns, F.when(F.col("knots").isNull(), no_model())
+                           .otherwise(value).alias(OUT))
 
 
 # --- totals ---------------------------------------------------------------------------
@@ -422,9 +426,10 @@ def balance(df: DataFrame, method: str, by: list[str] = ["part"], y: str = "y",
 
 def apply_balance(df: DataFrame, table: DataFrame, method: str, by: list[str] = ["part"],
                   x: str = OUT) -> DataFrame:
-    rows = df.join(F.broadcast(table), by)
+    rows = df.join(F.broadcast(table.withColumn("_fitted", F.lit(True))), by, "left")
     value = F.col(x) * F.col("_balance") if method == "scale" else F.col(x) + F.col("_balance")
-    return rows.withColumn(x, value).select(*df.columns)
+    return rows.withColumn(x, F.when(F.col("_fitted").isNull(), no_model()).otherwise(value)) \
+        .select(*df.columns)
 
 
 CALIBRATORS = {

@@ -11,7 +11,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import weighted_mean
+from ..functions.columns import no_model, weighted_mean
 
 MAX_ITER = 50
 TOLERANCE = 1e-8
@@ -145,8 +145,11 @@ def fit_glm(df: DataFrame, features: list[str], y: str, w: str | None = None,
     rows = rows.withColumn("_y", F.col("_y") / divisor)
     low_mean = facts["wmean"] / divisor
 
-    # Spark's GLM diverged on Tweedie amounts and on the inverse link, so those take the other way
-    built_in = (spec.l1 == 0 and spec.link in ("log", "identity") and (
+    # Spark's GLM diverged on Tweedie amounts and on the inverse link, so those take the other way,
+    # as do penalties whose scale is not known before the fit
+    known_scale = spec.l2 == 0 or (
+        spec.link == "log" and (spec.family == "gamma" or spec.fit_intercept))
+    built_in = (spec.l1 == 0 and known_scale and spec.link in ("log", "identity") and (
         spec.family in ("poisson", "gamma") or (spec.family == "gaussian" and spec.l2 == 0)))
     positive = spec.family != "gamma" or facts["low"] > 0
     if built_in and positive:
@@ -160,10 +163,10 @@ def fit_glm(df: DataFrame, features: list[str], y: str, w: str | None = None,
 def _built_in(rows: DataFrame, features: list[str], spec: GlmSpec, mean: float) -> GlmFit:
     """Spark's own GLM.  Its penalty is relative to the sum of working weights.
 
-    With a log link and an intercept that sum is the weighted mean target
-    (Poisson) or one (Gamma) times the sum of weights at the solution.
+    With a log link that sum is, at the solution, one (Gamma) or, given an intercept,
+    the weighted mean target (Poisson) times the sum of weights.
     """
-    scale = {"poisson": mean if spec.link == "log" else 1.0}.get(spec.family, 1.0)
+    scale = mean if spec.family == "poisson" and spec.l2 else 1.0
     glm = GeneralizedLinearRegression(
         featuresCol="_features", labelCol="_y", weightCol="_w", regParam=spec.l2 / scale,
         fitIntercept=spec.fit_intercept, maxIter=spec.max_iter, tol=spec.tol,
@@ -282,7 +285,7 @@ class PartModels:
         for part, fit in self.fits.items():
             hit = F.col("part") == part
             pred = F.when(hit, fit.predict()) if pred is None else pred.when(hit, fit.predict())
-        return df.withColumn(out, pred)
+        return df.withColumn(out, no_model() if pred is None else pred.otherwise(no_model()))
 
 
 def for_parts(parts: list[str], job, threads: int = 8) -> dict:

@@ -233,8 +233,8 @@ def split_assignment(df: DataFrame, key: str, target: str, settings, w: str | No
 def split_report(df: DataFrame, by: list[str], target: str, w: str) -> DataFrame:
     """Distribution of the target per dataset and part.
 
-    Values are rounded to whole numbers where the mean exceeds 1000; otherwise
-    only the top values are rounded, to two digits.
+    Values are rounded to whole numbers if the mean of the whole target exceeds
+    1000; otherwise only the top values are rounded, to two digits.
     """
     y, wt = F.col(target).cast("double"), F.col(w).cast("double")
     base = df.groupBy(*by).agg(
@@ -248,8 +248,9 @@ def split_report(df: DataFrame, by: list[str], target: str, w: str) -> DataFrame
            .where(F.col("_k") <= TOP_VALUES).groupBy(*by).agg(
         *[F.max(F.when(F.col("_k") == i, F.col("_y"))).alias(f"top_{i}")
           for i in range(1, TOP_VALUES + 1)]))
-    out = base.join(quantiles, by).join(top, by)
-    large = F.col("mean") > 1000
+    overall = df.agg(F.avg(y).alias("_overall"))
+    out = base.join(quantiles, by).join(top, by).crossJoin(F.broadcast(overall))
+    large = F.col("_overall") > 1000
     tops = [f"top_{i}" for i in range(1, TOP_VALUES + 1)]
     plain = ["weighted_mean", "min", *[_q_name(q) for q in REPORT_QUANTILES]]
     return out.select(

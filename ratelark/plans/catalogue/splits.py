@@ -69,11 +69,12 @@ b AS (SELECT part, count(*) AS n, avg(y) AS mean, sum(y * w) / sum(w) AS weighte
              min(y) AS min, {QS} FROM v GROUP BY part),
 k AS (SELECT part, y, row_number() OVER (PARTITION BY part ORDER BY y DESC) AS i FROM v),
 tp AS (SELECT part, {', '.join(f'max(y) FILTER (WHERE i = {i}) AS top_{i}' for i in range(1, 7))}
-       FROM k WHERE i <= 6 GROUP BY part)
-SELECT b.part, n, {', '.join(f'{o.r(f"CASE WHEN mean > 1000 THEN round({c}, 0) ELSE {c} END")} AS {c}'
+       FROM k WHERE i <= 6 GROUP BY part),
+al AS (SELECT avg(y) > 1000 AS large FROM v)
+SELECT b.part, n, {', '.join(f'{o.r(f"CASE WHEN large THEN round({c}, 0) ELSE {c} END")} AS {c}'
                              for c in ['mean', *REPORT_COLS])},
-       {', '.join(f'round({c}, CASE WHEN mean > 1000 THEN 0 ELSE 2 END) AS {c}' for c in TOPS)}
-FROM b JOIN tp ON b.part = tp.part""")
+       {', '.join(f'CASE WHEN large THEN round({c}, 0) ELSE round({c}, 2) END AS {c}' for c in TOPS)}
+FROM b JOIN tp ON b.part = tp.part CROSS JOIN al""")
 def split_distribution(spark, sf):
     out = sp.split_report(targets(spark, sf), ["part"], FREQ, "Exposure")
     return out.select("part", "n", *[rounded(F.col(c)).alias(c) for c in ["mean", *REPORT_COLS]],

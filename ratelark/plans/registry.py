@@ -8,6 +8,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import no_model
 from ..functions.lookup import resolve
 from ..operators.boost import Booster, BoostSpec, fit_booster
 from ..operators.glm import GlmFit, GlmSpec, elastic_net_spec, fit_glm
@@ -58,17 +59,21 @@ class BoostModel:
 
 
 def predict_parts(models: dict[str, object], rows: DataFrame, out: str = "pred") -> DataFrame:
-    """Scores of all parts: one pass when every model is an expression, else part by part."""
+    """Scores of all parts: one pass when every model is an expression, else part by part.
+
+    A row of a part without a model is an error.
+    """
     if all(hasattr(m, "expression") for m in models.values()):
-        pred = F.lit(None).cast("double")
+        pred = no_model()
         for part, model in models.items():
             pred = F.when(F.col("part") == part, model.expression()).otherwise(pred)
         return rows.withColumn(out, pred)
     rows = stage(rows, "score_rows", ["part"])
-    done = None
+    known = F.coalesce(F.col("part").isin(list(models)), F.lit(False))
+    done = rows.where(~known).withColumn(out, no_model())
     for part, model in models.items():
         mine = model.predict_frame(rows.where(F.col("part") == part), out)
-        done = mine if done is None else done.unionByName(mine)
+        done = done.unionByName(mine.select(*rows.columns, out))
     return done
 
 

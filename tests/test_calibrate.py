@@ -100,6 +100,18 @@ def test_rebalancing_restores_totals(data, name, method):
     assert all(abs(r.gap) < 1e-9 for r in gap.collect())
 
 
+@pytest.mark.parametrize("model", [
+    cal.EqualBinsMeans(4), cal.Isotonic(force_positive=False), cal.LocalPolynomial(0.5, 1),
+    cal.Rebalanced(cal.PureCalibration(), "scale")])
+def test_a_part_without_a_calibrator_is_an_error(data, model):
+    pdf, df = data
+    fitted = model.fit(df.where("part = '0'"), ["0"])
+    known = fitted.transform(df.where("part = '0'"))
+    assert known.where("calibrated >= 0").count() == (pdf.part == "0").sum()
+    with pytest.raises(Exception, match="no model was fitted"):
+        fitted.transform(df).where("calibrated >= 0").count()
+
+
 def test_constant_prediction_gets_the_mean(spark):
     df = spark.createDataFrame([("0", i, float(i % 2), 0.3, 1.0) for i in range(20)],
                                "part string, IDpol long, y double, pred double, w double")

@@ -45,6 +45,13 @@ def test_names_are_escaped(spark):
     assert out == "Cmon_Cma_Dziwna_chodzila_noca_po_lace_lacka_O_Matko"
 
 
+def test_names_in_other_scripts_stay_apart(spark):
+    names = ["Москва", "Киев", "Щука", "Αθήνα", "Ψυχή"]
+    df = spark.createDataFrame([(n,) for n in names], "t string")
+    out = [r[0] for r in df.select(escape_name(F.col("t"))).collect()]
+    assert out == ["Moskva", "Kiev", "Shchuka", "Athena", "Psukhe"]
+
+
 def test_bin_edges(spark):
     df = spark.createDataFrame([(17,), (18,), (70,), (71,), (50,), (51,), (200,)], "v long")
     age = [r[0] for r in df.select(ft.driver_age_bins("v")).collect()]

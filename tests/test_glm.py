@@ -88,6 +88,26 @@ def test_elastic_net_optimality(data):
     assert fit.coefficients[2] == 0.0
 
 
+def test_ridge_without_intercept(data):
+    """The penalty is relative to the sum of weights, with or without an intercept."""
+    pdf, df = data
+    spec = GlmSpec("poisson", l2=0.1, fit_intercept=False, tol=1e-13)
+    fit = fit_glm(df, NAMES, "count", "w", spec)
+    b = np.array(fit.coefficients)
+    x, w = pdf[NAMES].values, pdf.w.values
+    score = (x * (w * (pdf["count"] - np.exp(x @ b))).values[:, None]).sum(0) / w.sum()
+    assert fit.intercept == 0 and np.abs(score - spec.l2 * b).max() < 1e-5
+
+
+def test_a_part_without_a_model_is_an_error(data):
+    _, df = data
+    rows = df.withColumn("part", (F.col("IDpol") % 2).cast("string"))
+    models = glm.fit_parts(rows.where("part = '0'"), ["0"], NAMES, "count", "w", GlmSpec())
+    assert models.predict(rows.where("part = '0'")).where("pred > 0").count() == 2500
+    with pytest.raises(Exception, match="no model was fitted"):
+        models.predict(rows).where("pred > 0").count()
+
+
 def test_divisor_floor_and_constant(data):
     _, df = data
     plain = fit_glm(df, NAMES, "amount", "w", GlmSpec("gamma", "log"))
