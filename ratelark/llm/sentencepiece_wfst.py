@@ -21,8 +21,9 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: What an unknown character costs beyond the worst piece, in unigram models.
 UNKNOWN_PENALTY = 10.0
-#: Pairs of arcs whose weight a worker remembers.
-REMEMBERED_PAIRS = 500_000
+#: Pairs of arcs whose weight, and parts of texts whose ids, a worker remembers.
+REMEMBERED_PAIRS = 100_000
+REMEMBERED_PARTS = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:
@@ -228,7 +229,7 @@ def load(path: str) -> PieceTransducer:
 
 @lru_cache(maxsize=2)
 def _table(path: str) -> PieceTable:
-    return PieceTable()
+    return PieceTable(REMEMBERED_PARTS)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
