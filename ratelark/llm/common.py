@@ -76,19 +76,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES
-                ) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Rows of a batch in blocks of at most ``limit`` bytes: (rows, bytes, offsets from 0)."""
-    data, offsets = text_bytes(batch.column(column))
-    low, n = 0, batch.num_rows
+def row_blocks(offsets: np.ndarray, limit: int) -> Iterator[slice]:
+    """Rows with at most ``limit`` items together, or one row with more."""
+    low, n = 0, len(offsets) - 1
     while low < n:
         high = int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1
         high = min(n, max(low + 1, high))
-        yield (slice(low, high), data[offsets[low]:offsets[high]],
-               offsets[low:high + 1] - offsets[low])
+        yield slice(low, high)
         low = high
 
 
+def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES
+                ) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows of a batch in blocks of at most ``limit`` bytes: (rows, bytes, offsets from 0)."""
+    data, offsets = text_bytes(batch.column(column))
+    for rows in row_blocks(offsets, limit):
+        ends = offsets[rows.start:rows.stop + 1]
+        yield rows, data[ends[0]:ends[-1]], ends - ends[0]
+
+
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points, offsets counted in them, and the byte at which each one starts."""
     lead = np.flatnonzero((data & 0xC0) != 0x80)

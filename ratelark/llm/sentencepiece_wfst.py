@@ -13,7 +13,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, ragged, schema_of, text_blocks
+from .common import code_points, ragged, row_blocks, schema_of, text_blocks
 from .pretokens import PieceTable, span_ids
 
 SPACE = "▁"
@@ -24,6 +24,8 @@ UNKNOWN_PENALTY = 10.0
 #: Pairs of arcs whose weight, and parts of texts whose ids, a worker remembers.
 REMEMBERED_PAIRS = 100_000
 REMEMBERED_PARTS = 500_000
+#: Ids decoded at once.
+BLOCK_IDS = 1 << 16
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:
@@ -212,9 +214,10 @@ class PieceTransducer:
 
     def decode_block(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of id sequences laid end to end; unknown byte sequences become U+FFFD."""
-        sizes = self.out_size[ids]
-        data = self.out_bytes[ragged(self.out_start[ids], sizes)]
-        ends = np.append(0, np.cumsum(sizes))[offsets]
+        ends = np.append(0, np.cumsum(self.out_size[ids]))[offsets]
+        data = np.concatenate([np.zeros(0, np.uint8), *(
+            self.out_bytes[ragged(self.out_start[part], self.out_size[part])]
+            for part in (ids[a:a + BLOCK_IDS] for a in range(0, len(ids), BLOCK_IDS)))])
         out = []
         for a, b in zip(ends[:-1], ends[1:]):
             text = data[a:b].tobytes().decode("utf-8", "replace")
@@ -263,12 +266,15 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
             sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)
                                .to_numpy(zero_copy_only=False), np.int64)
             offsets = np.append(0, np.cumsum(sizes))
-            ids = column.flatten().to_numpy().astype("<u4")
-            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(model.decode_block(ids, offsets), pa.string()),
-                 pa.array(sizes), pa.array(crc, pa.int64())],
-                [id_col, "text", "n_pieces", "ids_crc32"])
+            flat = column.flatten().to_numpy()
+            for rows in row_blocks(offsets, BLOCK_IDS):
+                ends = offsets[rows.start:rows.stop + 1]
+                ids, ends = flat[ends[0]:ends[-1]].astype("<u4"), ends - ends[0]
+                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id")[rows], pa.array(model.decode_block(ids, ends), pa.string()),
+                     pa.array(sizes[rows]), pa.array(crc, pa.int64())],
+                    [id_col, "text", "n_pieces", "ids_crc32"])
 
     return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(
         run, f"`{id_col}` {schema_of(encoded, id_col)}, text string, n_pieces bigint, "

@@ -76,3 +76,17 @@ def test_unigram_model_takes_the_lightest_path(tmp_path):
     assert loaded.shortest_path("▁ab") == [1, 2]          # -3 beats ▁ + ab at -4.5
     assert loaded.shortest_path("ab") == [4]
     assert loaded.shortest_path("az") == [5, 0]
+
+
+def test_decoding_goes_block_by_block(library, monkeypatch):
+    """Rows longer than a block of ids, shorter ones, and several blocks in one row."""
+    from ratelark.llm import sentencepiece_wfst
+    monkeypatch.setattr(sentencepiece_wfst, "BLOCK_IDS", 3)
+    model = load(PIECES)
+    texts = ["Release 日本 é 😀 of the day", "", "a", "b", "one two three four five six"]
+    ids = [library.encode(t) for t in texts]
+    offsets = np.append(0, np.cumsum([len(i) for i in ids]))
+    flat = np.array([x for i in ids for x in i], np.uint32)
+    assert model.decode_block(flat, offsets) == texts
+    assert list(sentencepiece_wfst.row_blocks(np.array([0, 2, 2, 3, 9, 10]), 3)) == [
+        slice(0, 3), slice(3, 4), slice(4, 5)]
