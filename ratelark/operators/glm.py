@@ -257,6 +257,34 @@ def _least_squares(rows: DataFrame, features: list[str], spec: GlmSpec,
     return [float(c) for c in model.coefficients], float(model.intercept)
 
 
+def score_residuals(df: DataFrame, fit: GlmFit, spec: GlmSpec, y: str, w: str | None = None
+                    ) -> dict[str, float]:
+    """What is left of the optimality condition of each coefficient, 0 at the optimum.
+
+    The slope of the penalised loss (with an L1 part, its distance from 0 over all
+    subgradients), relative to the mean size of the terms that it sums.
+    """
+    mu = inverse_link(fit.linear(), fit.link_power)
+    wt = F.col(w).cast("double") if w else F.lit(1.0)
+    term = wt * (mu - F.col(y).cast("double") / fit.divisor) / (
+        F.pow(mu, F.lit(spec.variance_power)) * _link_slope(mu, fit.link_power))
+    of = {f: F.col(f"`{f}`").cast("double") for f in fit.features}
+    if spec.fit_intercept:
+        of["(constant)"] = F.lit(1.0)
+    row = df.agg(F.sum(wt), *[s for x in of.values()
+                              for s in (F.sum(term * x), F.sum(F.abs(term * x)))]).first()
+    penalised = dict(zip(fit.features, fit.coefficients))
+    out = {}
+    for i, name in enumerate(of):
+        slope, size = row[2 * i + 1] / row[0], row[2 * i + 2] / row[0]
+        coef = penalised.get(name, 0.0)
+        l1 = spec.l1 if name in penalised else 0.0
+        slope += spec.l2 * coef
+        left = abs(slope + math.copysign(l1, coef)) if coef else max(0.0, abs(slope) - l1)
+        out[name] = left / size if size else left
+    return out
+
+
 def elastic_net_spec(family: str, alpha: float, reg_lambda: float, **kw) -> GlmSpec:
     """``alpha`` is the L1 share of the penalty ``reg_lambda``."""
     kw.setdefault("floor_at_min", False)
@@ -279,6 +307,14 @@ class PartModels:
         rows = [(p, k, float(v)) for p, f in self.fits.items() for k, v in f.importance().items()]
         return spark.createDataFrame(rows, "part string, feature string, importance double")
 
+    def score_residuals(self, df: DataFrame, spec: GlmSpec, y: str, w: str | None = None
+                        ) -> DataFrame:
+        """``score_residuals`` of every part and feature."""
+        left = for_parts(list(self.fits), lambda p: score_residuals(
+            df.where(F.col("part") == p), self.fits[p], spec, y, w))
+        rows = [(p, f, float(v)) for p, own in left.items() for f, v in own.items()]
+        return df.sparkSession.createDataFrame(rows, "part string, feature string, residual double")
+
     def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
         """Scores of all parts as one expression; parts may use different features."""
         pred = None

@@ -181,3 +181,21 @@ def calib_glm_poisson(spark, sf):
 @query("calib_glm_tweedie")
 def calib_glm_tweedie(spark, sf):
     return calibrated(spark, sf, cal.GlmCalibration(GlmSpec("tweedie", "log", 1.5)), **SIGNAL)
+
+
+def optimality_query(name, model):
+    @query(f"{name}_optimality", f"""WITH {o.predictions('pred_signal')}
+SELECT DISTINCT part, feature, CAST(0 AS DOUBLE) AS residual
+FROM t, (VALUES ('(constant)'), ('pred')) fe(feature)""")
+    def run(spark, sf):
+        """The score equations hold at the fitted coefficients, to a thousandth of their terms."""
+        rows = staged_predictions(spark, sf, **SIGNAL)
+        left = model.fit(rows, PARTS).models.score_residuals(
+            rows, model.spec, "y", "w" if model.weighted else None)
+        return left.withColumn("residual", rounded(F.col("residual"), 3))
+    return run
+
+
+optimality_query("calib_glm_gamma", cal.make_calibrator("gamma_glm"))
+optimality_query("calib_glm_poisson", cal.make_calibrator("poisson_glm"))
+optimality_query("calib_glm_tweedie", cal.make_calibrator("tweedie_glm", {"power": 1.5}))

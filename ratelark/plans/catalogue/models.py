@@ -59,6 +59,19 @@ def glm_query(name, spec, target=Target.FREQUENCY, scored=False):
         if scored:
             return models.predict(rows).select("part", "IDpol", rounded(F.col("pred")).alias("pred"))
         return models.coefficients(spark)
+
+    features = ", ".join(f"('{f}')" for f in ["(constant)", *NUMERIC])
+    keep = " WHERE ClaimSeverity_TRG > 0" if target is Target.SEVERITY else ""
+
+    @query(f"{name}_optimality", f"""WITH {o.PREPARED}
+SELECT DISTINCT part, feature, CAST(0 AS DOUBLE) AS residual
+FROM prep, (VALUES {features}) fe(feature){keep}""")
+    def optimality(spark, sf):
+        """The score equations hold at the fitted coefficients, to a thousandth of their terms."""
+        rows = model_rows(spark, sf, target)
+        models = glm.fit_parts(rows, PARTS, NUMERIC, "y", "w", spec)
+        return models.score_residuals(rows, spec, "y", "w").withColumn(
+            "residual", rounded(F.col("residual"), 3))
     return run
 
 

@@ -9,6 +9,7 @@ from .. import oracle as o
 from ...config import Outliers, OutlierPolicy, Target, Weighting
 from ...functions.columns import rounded
 from ...operators import prep
+from ...operators.sampling import event_ratio
 from ...sources.portfolio_views import claims_view, policies_view, prepared_view
 
 @query("portfolio_prep", f"""WITH {o.PREPARED}
@@ -93,8 +94,7 @@ SELECT part, round(avg(CASE WHEN ClaimFreq_TRG > 0 THEN CAST(1 AS DOUBLE)
        ELSE CAST(0 AS DOUBLE) END), 4) AS event_ratio FROM prep GROUP BY part""")
 def event_rate(spark, sf):
     event = prep.event_condition(Target.FREQUENCY)
-    return prepared_view(spark, sf).groupBy("part").agg(
-        F.round(F.avg(event.cast("double")), 4).alias("event_ratio"))
+    return event_ratio(prepared_view(spark, sf), event, ("part",))
 
 
 CLIP = Outliers(OutlierPolicy.CLIP, 200.0, 9000.0)

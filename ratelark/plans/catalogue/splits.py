@@ -137,9 +137,11 @@ FROM f""")
 def target_ratio_counts(spark, sf):
     facts = prepared_view(spark, sf).groupBy("part").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(FREQ) > 0).alias("e"))
-    n_obs = F.bround(F.col("e") / 0.8)
-    return facts.select("part", F.col("e").alias("n_events"), n_obs.cast("long").alias("n_obs"),
-                        F.bround(n_obs * 0.8).cast("long").alias("events"))
+    rows = []
+    for part, n, events in facts.collect():
+        counts = smp.ratio_counts(n, events, 0.8)
+        rows.append((part, events, counts.n_obs, counts.n_events))
+    return spark.createDataFrame(rows, "part string, n_events long, n_obs long, events long")
 
 
 @query("sample_target_ratio")
