@@ -1,7 +1,8 @@
 """The corpus pipeline over ``documents``.
 
 Every stage takes (spark, docs, sf_dir) and returns what the next one reads from Parquet.  All
-but the last return the columns of ``documents``; a changed text gets its new ``n_chars``.
+but the last return the columns of ``documents``; a changed text gets its new ``n_chars``.  Every
+row is a document of its own, also where ids repeat or lack.
 """
 
 from __future__ import annotations
@@ -20,34 +21,49 @@ from ratelark.session import stage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``row`` of its own for each row, as ids may repeat or lack.  Written
+    once, so that whoever reads it finds the same numbers."""
+    return stage(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``docs`` with the texts of ``texts`` (doc_id, text), and their lengths."""
-    return (docs.drop("text", "n_chars").join(texts.select("doc_id", "text"), "doc_id")
+    """``docs`` with the texts of ``texts`` (row, text), and their lengths."""
+    return (docs.drop("text", "n_chars").join(texts.select("row", "text"), "row")
             .withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those unlike every learned language."""
-    kept = identify(docs, fit(docs.where(learned_from()))).where(~F.col("rejected"))
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    whole = docs.select(F.struct(*COLUMNS).alias("whole"), "text")
+    kept = identify(whole, fit(docs.where(learned_from())), id_col="whole")
+    return kept.where(~F.col("rejected")).select("whole.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that three or more documents share, but for one of them."""
-    return _with_text(docs, line_dedup(docs))
+    """Drops lines that three or more documents share, but for the one with the largest id (of
+    those that share an id or have none, any one)."""
+    docs = _keyed(docs)
+    left = line_dedup(docs.select(F.struct("doc_id", "row").alias("key"), "text"), id_col="key")
+    return _with_text(docs, left.select("key.row", "text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of every group of near duplicates (five words, similarity 0.8) the smallest id."""
-    kept = ngram_join(docs).where("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps of every group of near duplicates (five words, similarity 0.8) the one row with the
+    smallest id; rows without an id come last."""
+    docs = _keyed(docs)
+    found = docs.select("row", "doc_id").join(ngram_join(docs, id_col="row"), "row")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least"))
+    return docs.join(kept.select("least.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out every passage of 200 bytes or more that occurs again, and what is left of
     characters cut in two."""
-    cut = suffix_dedup(docs, as_text=True)
-    return _with_text(docs, cut.select("doc_id", F.col("kept").alias("text")))
+    docs = _keyed(docs)
+    cut = suffix_dedup(docs, id_col="row", as_text=True)
+    return _with_text(docs, cut.select("row", F.col("kept").alias("text")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,57 @@ def test_nothing_left(spark, tmp_path):
     schema = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_null_and_repeated_ids(spark):
+    """Every row is a document of its own in each stage, whatever its id."""
+    schema = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
+
+    def written(rows):
+        return stage(spark.createDataFrame([(i, t, "en", s, len(t)) for i, s, t in rows], schema)
+                     .select(*pipeline.COLUMNS), "documents")
+
+    def texts(df):
+        assert df.columns == pipeline.COLUMNS
+        rows = df.collect()
+        assert all(r["n_chars"] == len(r["text"]) and r["lang"] == "en" for r in rows)
+        return sorted(((r["doc_id"], r["source"], r["text"]) for r in rows), key=str)
+
+    def ordered(rows):
+        return sorted(rows, key=str)
+
+    def words(seed, n=60):
+        return " ".join(f"{seed}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+
+    own = {c: words(c) for c in "klmnopq"}
+    mixed = [(None, "a", own["k"]), (None, "b", own["l"]), (3, "c", own["m"]), (3, "d", own["n"]),
+             (4, "e", own["o"]), (4, "e", own["o"])]
+
+    # language: clean rows stay as they are, those without letters go
+    docs = written(mixed + [(None, "x", "12 34"), (3, "x", "56")])
+    assert texts(pipeline.language(spark, docs, "")) == ordered(mixed)
+
+    # lines: the shared line stays once, at the largest id; rows without an id count too
+    line = "a line that several of the documents share"
+    rows = [(i, s, f"{t}\n{line}") for i, s, t in mixed[:4]] + [(9, "z", f"{own['p']}\n{line}")]
+    assert texts(pipeline.lines(spark, written(rows), "")) == ordered(mixed[:4] + rows[4:])
+    same = [(i, "s", f"{own['q']} {i}\n{line}") for i in (None, None, None)]
+    got = texts(pipeline.lines(spark, written(
+        [(i, s, t.replace("None", c)) for (i, s, t), c in zip(same, "abc")]), ""))
+    assert len(got) == 3 and sum(line in t for _, _, t in got) == 1
+
+    # near duplicates: one row of each group, the smallest id first, also among equal rows
+    rows = mixed + [(None, "f", own["p"]), (7, "g", own["p"]), (8, "h", own["p"] + " more"),
+                    (None, "i", own["q"]), (None, "i", own["q"])]
+    assert texts(pipeline.near_duplicates(spark, written(rows), "")) == ordered(
+        mixed[:5] + [(7, "g", own["p"]), (None, "i", own["q"])])
+
+    # repeats: passages that occur again go, and no row is lost or multiplied
+    passage = words("x", 80)
+    rows = mixed[:4] + [(3, "y", f"1{passage}2"), (None, "z", f"3{passage}4")]
+    assert texts(pipeline.repeats(spark, written(rows), "")) == ordered(
+        mixed[:4] + [(3, "y", "12"), (None, "z", "34")])
+
+    # packing: one document per row
+    packed = pipeline.packing(spark, written(mixed), "").collect()
+    assert len(packed) == len(mixed)
