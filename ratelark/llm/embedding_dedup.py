@@ -27,6 +27,10 @@ BLOCK = 8192
 #: Queries of a block that are audited against all vectors of the shard, and the recall asked for.
 AUDITED = 64
 RECALL = 0.99
+#: What single precision may take from a similarity.
+SLACK = 1e-3
+#: Similarities held at once where queries meet all vectors of a shard.
+CELLS = 1 << 22
 
 
 def _top(sims: np.ndarray, n: int) -> np.ndarray:
@@ -214,21 +218,41 @@ class Shard:
               ) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) with other ids whose cosine, in double precision, is at least
         ``least``.  Some queries are audited against all vectors; the beam doubles until the
-        recall is met."""
+        recall is met.  If the widest beam fails too, all queries meet all vectors."""
         queries = exact.astype(np.float32)
-        loose, beam = least - 1e-3, BEAM
+        beam = BEAM
         while True:
-            row, node = self.graph.within(queries, loose, beam)
-            ok = np.empty(len(row), bool)
-            for a in range(0, len(row), 1 << 16):
-                b = slice(a, a + (1 << 16))
-                ok[b] = np.einsum("nd,nd->n", exact[row[b]], self.exact[node[b]]) >= least
-            ok &= ids[row] != self.ids[node]
-            row, node = row[ok], node[ok]
-            if beam >= len(self.ids) or self._recall(ids, exact, least, row) >= RECALL:
+            row, node = self._linked(
+                ids, exact, least, *self.graph.within(queries, least - SLACK, beam))
+            if self._recall(ids, exact, least, row) >= RECALL:
                 return row, node
+            if beam >= len(self.ids):
+                return self._compared(ids, exact, least)
             beam *= 2
 
+    def _linked(self, ids: np.ndarray, exact: np.ndarray, least: float, row: np.ndarray,
+                node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs that link."""
+        ok = np.empty(len(row), bool)
+        for a in range(0, len(row), 1 << 16):
+            b = slice(a, a + (1 << 16))
+            ok[b] = np.einsum("nd,nd->n", exact[row[b]], self.exact[node[b]]) >= least
+        ok &= ids[row] != self.ids[node]
+        return row[ok], node[ok]
+
+    def _compared(self, ids: np.ndarray, exact: np.ndarray, least: float
+                  ) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs that link, by comparing every query with every vector, CELLS at a time."""
+        rows, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        size = max(1, CELLS // len(self.exact))
+        for a in range(0, len(exact), size):
+            part = exact[a:a + size].astype(np.float32)
+            row, node = np.nonzero(part @ self.graph.vectors.T >= least - SLACK)
+            row, node = self._linked(ids, exact, least, row + a, node)
+            rows.append(row)
+            nodes.append(node)
+        return np.concatenate(rows), np.concatenate(nodes)
+
     def _recall(self, ids, exact, least, row) -> float:
         linked = np.unique(row)
         audited = np.unique(np.concatenate([

@@ -102,3 +102,18 @@ def test_audit_widens_the_beam(monkeypatch):
         beams.append(beam), inner(self, q, least, beam))[1])
     shard.links(np.arange(300), x, 0.9)
     assert beams[0] == 1 and beams[-1] >= 300
+
+
+def test_parts_the_graph_does_not_reach(monkeypatch):
+    """Links come back whole where no beam reaches them."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, order = SmallWorld.build(x)
+    x = x[order]
+    graph.layers[-1][:, 1:] = -1
+    monkeypatch.setattr(module, "CELLS", 1000)
+    q, node = Shard(np.arange(300), x, graph, np.arange(300)).links(np.arange(300), x, 0.9)
+    want = x @ x.T >= 0.9
+    np.fill_diagonal(want, False)
+    assert sorted(zip(q, node)) == sorted(zip(*np.nonzero(want)))
