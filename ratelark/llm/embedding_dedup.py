@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, schema_of
+from .common import Scratch, components, ragged, schema_of
 
 #: Links of a node in upper layers; the lowest layer has twice as many.
 LINKS = 16
@@ -24,9 +24,11 @@ SHARD_BYTES = 32 << 20
 SHARDS = 8
 #: Queries that meet a shard in one go.
 BLOCK = 8192
-#: Queries of a block that are audited against all vectors of the shard, and the recall asked for.
-AUDITED = 64
+#: Queries with links, and as many without, that are audited against all vectors of the shard; the
+#: recall asked for, and the chance that a bound on it does not hold.
+AUDITED = 1024
 RECALL = 0.99
+DOUBT = 0.05
 #: What single precision may take from a similarity.
 SLACK = 1e-3
 #: Similarities held at once where queries meet all vectors of a shard.
@@ -208,73 +210,135 @@ class SmallWorld:
         return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(nodes or [np.zeros(0, int)])
 
 
+def most_lost(lost: np.ndarray, of: int) -> float:
+    """An upper bound of the mean of ``of`` values in [0, 1] of which ``lost`` is a uniform sample
+    (Chernoff's, but with probability DOUBT; their mean if the sample is all of them)."""
+    if len(lost) == of:
+        return float(lost.mean()) if of else 0.0
+    mean, low, high = float(lost.mean()), float(lost.mean()), 1.0
+    for _ in range(50):
+        p = (low + high) / 2
+        apart = sum(a * math.log(a / b) for a, b in ((mean, p), (1 - mean, 1 - p)) if a > 0 and b > 0)
+        low, high = (p, high) if len(lost) * apart < -math.log(DOUBT) else (low, p)
+    return high
+
+
+def merged(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and for each row its place among them."""
+    bits = np.ascontiguousarray(exact + 0.0)                 # no negative zeros
+    _, first, at = np.unique(bits.view(f"V{bits.dtype.itemsize * bits.shape[1]}").ravel(),
+                             return_index=True, return_inverse=True)
+    return exact[first], at
+
+
 class Shard:
-    """Vectors of one shard with their graph."""
+    """Rows of one shard; their distinct vectors, with the graph over these.  ``at`` is the place
+    of each row's vector (by default, every row has its own)."""
 
-    def __init__(self, ids: np.ndarray, exact: np.ndarray, graph: SmallWorld, labels: np.ndarray):
+    def __init__(self, ids: np.ndarray, exact: np.ndarray, graph: SmallWorld, labels: np.ndarray,
+                 at: np.ndarray | None = None):
         self.ids, self.exact, self.graph, self.labels = ids, exact, graph, labels
+        self.at = np.arange(len(ids)) if at is None else at
+        self.only = only_ids(ids, self.at, len(exact))
 
-    def links(self, ids: np.ndarray, exact: np.ndarray, least: float
+    def links(self, ids: np.ndarray, exact: np.ndarray, least: float, at: np.ndarray | None = None
               ) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) with other ids whose cosine, in double precision, is at least
-        ``least``.  Some queries are audited against all vectors; the beam doubles until the
-        recall is met.  If the widest beam fails too, all queries meet all vectors."""
+        """Pairs (query, vector) that have rows with different ids and whose cosine, in double
+        precision, is at least ``least``.  ``at`` is the query of each of ``ids``.
+
+        Some queries are audited against all vectors.  The beam doubles until the recall is met;
+        if the widest beam fails too, or the sample is too small to tell, all queries meet all
+        vectors."""
+        only = only_ids(ids, np.arange(len(ids)) if at is None else at, len(exact))
         queries = exact.astype(np.float32)
         beam = BEAM
         while True:
             row, node = self._linked(
-                ids, exact, least, *self.graph.within(queries, least - SLACK, beam))
-            if self._recall(ids, exact, least, row) >= RECALL:
+                only, exact, least, *self.graph.within(queries, least - SLACK, beam))
+            recall, sure = self._recall(only, exact, least, row)
+            if sure >= RECALL:
                 return row, node
-            if beam >= len(self.ids):
-                return self._compared(ids, exact, least)
+            if recall >= RECALL or beam >= len(self.exact):
+                rows, nodes = zip(*self._compared(only, exact, least))
+                return np.concatenate(rows), np.concatenate(nodes)
             beam *= 2
 
-    def _linked(self, ids: np.ndarray, exact: np.ndarray, least: float, row: np.ndarray,
+    def counts(self, ids: np.ndarray, at: np.ndarray, row: np.ndarray, node: np.ndarray
+               ) -> np.ndarray:
+        """How many rows with other ids each query row links to, through the pairs found."""
+        n = len(self.exact)
+        weight = np.bincount(self.at, minlength=n)
+        total = np.bincount(row, weight[node], int(at.max(initial=-1)) + 1).astype(np.int64)
+        own, own_at, times = _repeats(self.ids, self.at)
+        low, high = np.searchsorted(own, ids, "left"), np.searchsorted(own, ids, "right")
+        which = np.repeat(np.arange(len(ids)), high - low)
+        other = ragged(low, high - low)
+        cells, cell = np.unique(at[which] * n + own_at[other], return_inverse=True)
+        linked = np.zeros(len(cells) + 1, bool)
+        for a in range(0, len(row) if len(cells) else 0, 1 << 20):
+            pair = row[a:a + (1 << 20)] * n + node[a:a + (1 << 20)]
+            place = np.searchsorted(cells, pair)
+            linked[place[cells[np.minimum(place, len(cells) - 1)] == pair]] = True
+        same = linked[cell]
+        out = total[at]
+        np.subtract.at(out, which[same], times[other[same]])
+        return out
+
+    def _linked(self, only: tuple, exact: np.ndarray, least: float, row: np.ndarray,
                 node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the pairs that link."""
         ok = np.empty(len(row), bool)
         for a in range(0, len(row), 1 << 16):
             b = slice(a, a + (1 << 16))
             ok[b] = np.einsum("nd,nd->n", exact[row[b]], self.exact[node[b]]) >= least
-        ok &= ids[row] != self.ids[node]
+        (low, high), (own_low, own_high) = only, self.only
+        ok &= (low[row] != own_high[node]) | (high[row] != own_low[node])
         return row[ok], node[ok]
 
-    def _compared(self, ids: np.ndarray, exact: np.ndarray, least: float
-                  ) -> tuple[np.ndarray, np.ndarray]:
+    def _compared(self, only: tuple, exact: np.ndarray, least: float
+                  ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs that link, by comparing every query with every vector, CELLS at a time."""
-        rows, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         size = max(1, CELLS // len(self.exact))
         for a in range(0, len(exact), size):
             part = exact[a:a + size].astype(np.float32)
             row, node = np.nonzero(part @ self.graph.vectors.T >= least - SLACK)
-            row, node = self._linked(ids, exact, least, row + a, node)
-            rows.append(row)
-            nodes.append(node)
-        return np.concatenate(rows), np.concatenate(nodes)
-
-    def _recall(self, ids, exact, least, row) -> float:
-        linked = np.unique(row)
-        audited = np.unique(np.concatenate([
-            np.linspace(0, len(ids) - 1, AUDITED).astype(np.int64),
-            linked[np.linspace(0, len(linked) - 1, AUDITED).astype(np.int64)] if len(linked)
-            else linked]))
-        there = ((exact[audited] @ self.exact.T >= least)
-                 & (ids[audited][:, None] != self.ids)).sum()
-        return np.isin(row, audited).sum() / there if there else 1.0
+            yield self._linked(only, exact, least, row + a, node)
+
+    def _recall(self, only: tuple, exact: np.ndarray, least: float, row: np.ndarray
+                ) -> tuple[float, float]:
+        """The mean share of its links that a query with links found, and a bound that it keeps
+        above.  Queries that found links and those without are sampled apart."""
+        found = np.bincount(row, minlength=len(exact))
+        draw = np.random.default_rng(0)
+        lost, most, n = [], [], []
+        for stratum in (np.flatnonzero(found), np.flatnonzero(found == 0)):
+            some = np.sort(draw.choice(stratum, min(AUDITED, len(stratum)), replace=False))
+            there = np.zeros(len(some), np.int64)
+            for at, _ in self._compared(tuple(x[some] for x in only), exact[some], least):
+                there += np.bincount(at, minlength=len(some))
+            share = np.where(there > 0, 1 - found[some] / np.maximum(there, 1), 0.0)
+            n.append(len(stratum))
+            lost.append(float(share.mean()) if len(share) else 0.0)
+            most.append(most_lost(share, len(stratum)))
+
+        def recall(part, rest):
+            """Of the queries without links, the share ``rest`` has lost all of its own."""
+            there = n[0] + n[1] * rest
+            return n[0] * (1 - part) / there if there else 1.0
+        return recall(*lost), recall(*most)
 
     def pack(self) -> bytes:
         layers = self.graph.layers
-        head = np.array([len(self.ids), self.exact.shape[1], len(layers),
+        head = np.array([len(self.ids), *self.exact.shape, len(layers),
                          *(x for g in layers for x in g.shape)], "<i8")
-        parts = [np.array([len(head)], "<i8"), head, self.ids, self.labels, self.exact.ravel(),
+        parts = [np.array([len(head)], "<i8"), head, self.ids, self.labels, self.at, self.exact.ravel(),
                  *(g.astype("<i4").ravel() for g in layers)]
         return b"".join(p.tobytes() for p in parts)
 
     @classmethod
     def unpack(cls, raw: bytes) -> "Shard":
         size = int(np.frombuffer(raw, "<i8", 1)[0])
-        n, width, count, *shapes = np.frombuffer(raw, "<i8", size, 8).tolist()
+        rows, n, width, count, *shapes = np.frombuffer(raw, "<i8", size, 8).tolist()
         at = 8 + 8 * size
 
         def take(kind: str, items: int) -> np.ndarray:
@@ -282,11 +346,27 @@ class Shard:
             out = np.frombuffer(raw, kind, items, at)
             at += out.nbytes
             return out
-        ids, labels = take("<i8", n), take("<i8", n)
+        ids, labels, place = take("<i8", rows), take("<i8", rows), take("<i8", rows)
         exact = take("<f8", n * width).reshape(n, width)
         layers = [take("<i4", a * b).reshape(a, b).astype(np.int64)
                   for a, b in zip(shapes[::2], shapes[1::2])]
-        return cls(ids, exact, SmallWorld(exact.astype(np.float32), layers), labels)
+        return cls(ids, exact, SmallWorld(exact.astype(np.float32), layers), labels, place)
+
+
+def only_ids(ids: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest id of the rows at each of ``n`` places."""
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(low, at, ids)
+    np.maximum.at(high, at, ids)
+    return low, high
+
+
+def _repeats(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of an id and a place, sorted, and how often each occurs."""
+    order = np.lexsort((at, ids))
+    ids, at = ids[order], at[order]
+    first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (at[1:] != at[:-1])))
+    return ids[first], at[first], np.diff(np.append(first, len(ids)))
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -311,15 +391,18 @@ def unit_rows(column: pa.Array, width: int) -> np.ndarray:
 def _build(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Graph of each shard of a partition sorted by shard, and its vectors' links inside it."""
     for (shard, width), ids, exact, row in _shards(batches):
+        exact, at = merged(exact)
         graph, order = SmallWorld.build(exact)
-        ids, exact, row = ids[order], exact[order], row[order]
-        built = Shard(ids, exact, graph, ids)
-        q, node = built.links(ids, exact, least)
-        built.labels = local_components(len(ids), q, node, ids)
-        count = np.bincount(q, minlength=len(ids))
+        exact, at = exact[order], np.argsort(order)[at]
+        built = Shard(ids, exact, graph, ids, at)
+        q, node = built.links(ids, exact, least, at)
+        copies = np.setdiff1d(np.flatnonzero(built.only[0] != built.only[1]), q[q == node])
+        q, node = np.append(q, copies), np.append(node, copies)
+        built.labels = local_components(len(exact), q, node, built.only[0])[at]
         nodes = [{"row": r, "id": i, "label": v, "links": c} for r, i, v, c in zip(
-            row.tolist(), ids.tolist(), built.labels.tolist(), count.tolist())]
-        blocks = [_pack_block(row, built, slice(a, a + BLOCK)) for a in range(0, len(ids), BLOCK)]
+            row.tolist(), ids.tolist(), built.labels.tolist(),
+            built.counts(ids, at, q, node).tolist())]
+        blocks = [_pack_block(row, built, a, a + BLOCK) for a in range(0, len(exact), BLOCK)]
         yield pa.RecordBatch.from_pydict({
             "shard": pa.array([shard], pa.int64()), "width": pa.array([width], pa.int32()),
             "graph": pa.array([built.pack()], pa.binary()),
@@ -354,33 +437,41 @@ def _shards(batches: Iterator[pa.RecordBatch]):
         yield whole()
 
 
-def _pack_block(row: np.ndarray, shard: Shard, part: slice) -> bytes:
-    exact = shard.exact[part]
+def _pack_block(row: np.ndarray, shard: Shard, start: int, end: int) -> bytes:
+    """The vectors from ``start`` to ``end`` of a shard, and their rows."""
+    exact = shard.exact[start:end]
+    own = (shard.at >= start) & (shard.at < end)
     return b"".join(x.tobytes() for x in (
-        np.array(exact.shape, "<i8"), row[part], shard.ids[part], shard.labels[part], exact))
+        np.array([own.sum(), *exact.shape], "<i8"), row[own], shard.ids[own], shard.labels[own],
+        shard.at[own] - start, exact))
 
 
-def _unpack_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, width = np.frombuffer(raw, "<i8", 2).tolist()
-    row, ids, labels = np.frombuffer(raw, "<i8", 3 * n, 16).reshape(3, n)
-    return row, ids, labels, np.frombuffer(raw, "<f8", n * width, 16 + 24 * n).reshape(n, width)
+def _unpack_block(raw: bytes) -> tuple[np.ndarray, ...]:
+    rows, n, width = np.frombuffer(raw, "<i8", 3).tolist()
+    row, ids, labels, at = np.frombuffer(raw, "<i8", 4 * rows, 24).reshape(4, rows)
+    return row, ids, labels, at, np.frombuffer(raw, "<f8", n * width, 24 + 32 * rows).reshape(n, width)
 
 
 def _ask(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Links of blocks of vectors to vectors of other shards: per vector and part of the shard
-    that links join, one row; the first counts the links."""
+    """Links of blocks of vectors to vectors of other shards: the number of each row, and which
+    parts of the two shards they join."""
     for batch in batches:
         for graph, block in zip(batch.column("graph"), batch.column("block")):
             shard = Shard.unpack(graph.as_buffer().to_pybytes())
-            row, ids, labels, exact = _unpack_block(block.as_buffer().to_pybytes())
-            q, node = shard.links(ids, exact, least)
-            total = np.bincount(q, minlength=len(ids))
-            pairs = np.unique(np.stack([q, shard.labels[node]], 1), axis=0)
-            new = np.ones(len(pairs), bool)
-            new[1:] = pairs[1:, 0] != pairs[:-1, 0]
+            row, ids, labels, at, exact = _unpack_block(block.as_buffer().to_pybytes())
+            q, node = shard.links(ids, exact, least, at)
+            count = shard.counts(ids, at, q, node)
+            some = np.flatnonzero(count)
+            u, _ = only_ids(labels, at, len(exact))
+            v, _ = only_ids(shard.labels, shard.at, len(shard.exact))
+            pairs = np.unique(np.stack([u[q], v[node]], 1), axis=0)
+            gone, none = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[some]), none, none, pa.array(count[some])],
+                ["row", "u", "v", "links"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row[pairs[:, 0]]), pa.array(labels[pairs[:, 0]]), pa.array(pairs[:, 1]),
-                 pa.array(np.where(new, total[pairs[:, 0]], 0))], ["row", "u", "v", "links"])
+                [gone, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), gone],
+                ["row", "u", "v", "links"])
 
 
 def embedding_dedup(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
@@ -391,8 +482,8 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     ``n_links`` counts the other vectors found to link directly, ``component_id`` is the
     smallest id that links reach, ``kept`` marks the vector with that id.
 
-    Vectors are dealt to shards by a hash.  Each shard's graph is built by one task; then every
-    block of vectors is asked against every other shard.  Only counts and, for each vector, the
+    Vectors are dealt to shards by a hash.  Each shard's graph, over its distinct vectors, is built
+    by one task; then every block of them is asked against every other shard.  Only counts and, for each vector, the
     parts of a shard it links to leave a task, never the pairs of a dense group.
 
     Ids are integers.  Vectors that are null, empty or zero or hold null or non-finite components
@@ -434,7 +525,7 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
 
     nodes = built.select(F.explode("nodes").alias("node")).select("node.*")
     joined = components(answers.select("u", "v").union(nodes.select("id", "label")))
-    more = answers.groupBy("row").agg(F.sum("links").alias("more"))
+    more = answers.where("row is not null").groupBy("row").agg(F.sum("links").alias("more"))
     counted = nodes.join(more, "row", "left").groupBy("id").agg(
         F.max(F.col("links") + F.coalesce("more", F.lit(0))).alias("n"))
     found = counted.join(joined, counted["id"] == joined["node"], "left").select(

@@ -117,3 +117,61 @@ def test_parts_the_graph_does_not_reach(monkeypatch):
     want = x @ x.T >= 0.9
     np.fill_diagonal(want, False)
     assert sorted(zip(q, node)) == sorted(zip(*np.nonzero(want)))
+
+
+def test_audit_sees_lost_links_beside_a_dense_group(monkeypatch):
+    """A group with nearly all of the pairs does not hide that others lost their few."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(300, 32))
+    x = np.concatenate([base, base + 0.02 * rng.normal(size=base.shape),
+                        rng.normal(size=32) + 0.02 * rng.normal(size=(300, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = x @ x.T >= 0.9
+    np.fill_diagonal(want, False)
+    seen = want.copy()
+    seen[:600] = False
+    monkeypatch.setattr(SmallWorld, "within", lambda self, q, least, beam: np.nonzero(seen))
+    monkeypatch.setattr(module, "AUDITED", 64)
+    names = np.arange(900)
+    q, node = Shard(names, x, SmallWorld(x.astype(np.float32), []), names).links(names, x, 0.9)
+    assert sorted(zip(q, node)) == sorted(zip(*np.nonzero(want)))
+
+
+def test_bound_of_the_audit():
+    from ratelark.llm.embedding_dedup import most_lost
+    assert most_lost(np.zeros(0), 0) == 0.0 and most_lost(np.array([0.0, 1.0]), 2) == 0.5
+    assert 0.0028 < most_lost(np.zeros(1024), 10_000) < 0.003      # 1 - 0.05 ** (1 / 1024)
+    assert most_lost(np.array([0.0] * 1020 + [1.0] * 4), 10_000) > 0.009
+    assert most_lost(np.ones(10), 100) > 0.99
+
+
+def test_equal_vectors_are_one_node():
+    """Rows of a vector count one by one, those of the same id not at all."""
+    from ratelark.llm.embedding_dedup import merged
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 4))
+    x = np.concatenate([x, np.repeat(x[:1], 80, 0), x[:20]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.concatenate([np.arange(100), np.arange(40)])
+    distinct, at = merged(x)
+    assert len(distinct) == 40 and (distinct[at] == x).all()
+    graph, order = SmallWorld.build(distinct)
+    exact, at = distinct[order], np.argsort(order)[at]
+    shard = Shard.unpack(Shard(ids, exact, graph, ids, at).pack())
+    want = ((x @ x.T >= 0.9) & (ids[:, None] != ids)).sum(1)
+    for some in (np.arange(140), np.arange(0, 140, 3)):
+        places, mine = np.unique(at[some], return_inverse=True)
+        q, node = shard.links(ids[some], exact[places], 0.9, mine)
+        assert (shard.counts(ids[some], mine, q, node) == want[some]).all()
+    q, node = shard.links(ids, exact, 0.9, at)
+    assert (shard.counts(ids, at, q, node) == want).all()
+
+
+def test_copies_and_skew(table):
+    rng = np.random.default_rng(6)
+    copy = rng.normal(size=8)
+    rows = [(i, copy.tolist()) for i in range(150)]
+    for i in range(150, 350, 2):
+        one = rng.normal(size=8)
+        rows += [(i, one.tolist()), (i + 1, (one + 0.01 * rng.normal(size=8)).tolist())]
+    assert run(table(rows)) == brute(rows)
