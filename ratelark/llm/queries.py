@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
+from .conversation_repair import repair, report
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import dedup_once
 from .language_id import fit, identify, learned_from
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
 from .packing import pack
+from .secret_scan import digests, scan_secrets
 from .sentencepiece_wfst import decode, encode
+from .spelling_variants import spelling_variants, words_of
 from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
 
@@ -24,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(name: str, sql: str | None = None):
@@ -122,3 +126,145 @@ from m group by doc_id""")
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: CRC-32 of the characters of a string below U+0100; ``tbl`` comes from the table ``crc``.
+_CRC_TABLE = """crc as (select list_transform(range(256), lambda n: list_reduce(
+  list_prepend(n, range(8)),
+  lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tbl)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({}, ''),
+  lambda c: case when unicode(c) < 128 then [unicode(c)] else [195, unicode(c) - 64] end))),
+  lambda c, b: xor(c >> 8, tbl[xor(c & 255, b) + 1])), 4294967295)"""
+
+
+def damage(conversations: DataFrame) -> DataFrame:
+    """Conversations with a fault in a quarter of their rows, dealt by a checksum: dropped (``live``
+    is false), emptied, without sentence ends, repeated, or said by the user."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" "))
+                             for c in ("conv_id", "turn")))
+    fault = F.crc32(key) % 20
+    text = F.coalesce("text", F.lit(" "))
+    return (conversations.withColumn("fault", fault)
+            .withColumn("copy", F.explode(F.expr("sequence(1, if(fault = 3, 2, 1))")))
+            .select("conv_id", "turn",
+                    F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+                    F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate(text, ".!?", ""))
+                    .otherwise(text).alias("text"), (F.col("fault") != 0).alias("live")))
+
+
+@query("op11_conversation_repair", f"""
+with recursive {_CRC_TABLE},
+raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+               {_CRC.format("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")}
+                 % 20 as fault
+        from conversations, crc),
+rows as (select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+                case fault when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+         from raw, range(2) c(copy) where fault <> 0 and (copy = 0 or fault = 3)),
+placed as (select *, row_number() over w as i,
+                  row_number() over (partition by conv_id, role, text order by turn nulls first) as nth,
+                  lag(left(role, 1)) over w || left(role, 1) as follows
+           from rows window w as (partition by conv_id order by turn nulls first, role, text)),
+marked as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+                          when nth > 1 then 'duplicate'
+                          when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated'
+                     end as fault
+           from placed),
+grammar(state, letter, initial, goal, cost, said) as (values
+  (0, 'D', '', 0, 2, ''), (1, 'D', '', 1, 2, ''), (2, 'D', '', 2, 2, ''), (3, 'D', '', 3, 2, ''),
+  (0, 'K', 's', 1, 0, ''), (0, 'K', 'u', 2, 0, ''), (1, 'K', 'u', 2, 0, ''),
+  (3, 'K', 'u', 2, 0, ''), (2, 'K', 'a', 3, 0, ''),
+  (0, 'R', '', 2, 1, 'user'), (1, 'R', '', 2, 1, 'user'), (3, 'R', '', 2, 1, 'user'),
+  (2, 'R', '', 3, 1, 'assistant')),
+inserts(state, goal, letters, cost, said) as (values
+  (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''),
+  (0, 2, 'I', 5, chr(10) || 'user:'), (1, 2, 'I', 5, chr(10) || 'user:'),
+  (3, 2, 'I', 5, chr(10) || 'user:'), (2, 3, 'I', 5, chr(10) || 'assistant:'),
+  (0, 3, 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, 3, 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:')),
+search as (
+  select distinct conv_id, 0::bigint as i, s.goal as state, s.cost::bigint as cost,
+         s.letters as audit, s.said as said
+  from rows, inserts s where s.state = 0
+  union all
+  select p.conv_id, p.i + 1, s.goal,
+         min((p.cost + g.cost + s.cost
+              + case when m.fault = 'truncated' and g.letter <> 'D' then 5 else 0 end)::bigint),
+         arg_min(p.audit || g.letter || s.letters, row(p.cost + g.cost + s.cost
+              + case when m.fault = 'truncated' and g.letter <> 'D' then 5 else 0 end,
+              p.audit || g.letter || s.letters)),
+         arg_min(p.said || case g.letter when 'D' then ''
+                   else chr(10) || case g.letter when 'K' then m.role else g.said end || ':' || m.text
+                   end || s.said, row(p.cost + g.cost + s.cost
+              + case when m.fault = 'truncated' and g.letter <> 'D' then 5 else 0 end,
+              p.audit || g.letter || s.letters))
+  from search p
+  join marked m on m.conv_id is not distinct from p.conv_id and m.i = p.i + 1
+  join grammar g on g.state = p.state and (g.initial = '' or g.initial = left(m.role, 1))
+                and (g.letter = 'D' or m.fault is null or m.fault = 'truncated')
+  join inserts s on s.state = g.goal
+  group by p.conv_id, p.i, s.goal),
+figures as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (where fault = 'blank') as blank,
+         count(*) filter (where fault = 'duplicate') as duplicate,
+         count(*) filter (where fault = 'truncated') as truncated,
+         count(*) filter (where follows not in ('su', 'ua', 'au')) as illegal
+  from marked group by conv_id),
+cheapest as (
+  select s.conv_id, min(s.cost) as cost, arg_min(s.audit, row(s.cost, s.audit)) as audit,
+         arg_min(s.said, row(s.cost, s.audit)) as said
+  from search s join figures f on s.conv_id is not distinct from f.conv_id and s.i = f.n
+  where s.state in (0, 3) group by s.conv_id)
+select o.conv_id, coalesce(f.gaps, 0)::bigint as gaps, coalesce(f.blank, 0) as blank,
+       coalesce(f.duplicate, 0) as duplicate, coalesce(f.truncated, 0) as truncated,
+       coalesce(f.illegal, 0) as illegal, coalesce(c.cost, 0) as cost, coalesce(c.audit, '') as audit,
+       sha256(coalesce(substr(c.said, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join figures f on o.conv_id is not distinct from f.conv_id
+left join cheapest c on o.conv_id is not distinct from c.conv_id""")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return report(repair(damage(rows), live_col="live"))
+
+
+@query("op12_spelling_variants", f"""
+with recursive {_CRC_TABLE},
+runs as (select doc_id, {LOWER.format("r")} as r, count(*) as times
+         from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as r from documents)
+         where length(r) >= 7 group by all),
+hashed as (select *, {_CRC.format("coalesce(doc_id::varchar, '') || ':' || r")} as h from runs, crc),
+words as (select case when h % 31 = 0 then left(r, (h % length(r))::int) || substr(r, (h % length(r))::int + 2)
+                      else r end as word, sum(times)::bigint as n
+          from hashed group by 1 having sum(times) >= 2),
+w as (select * from words where length(word) >= 7),
+cut as (select word, n, i, left(word, i::int - 1) || substr(word, i::int + 1) as rest
+        from w, lateral (select unnest(range(1, length(word) + 1)) as i)),
+pairs as (select a.word, b.word as other, b.n as other_n from cut a join cut b using (i, rest)
+          where a.word <> b.word
+          union
+          select a.word, b.word, b.n from w a join cut b on b.rest = a.word
+          union
+          select a.word, b.word, b.n from cut a join w b on a.rest = b.word),
+best as (select word, count(*) as n_near, arg_min(other, row(-other_n, other)) as other,
+                max(other_n) as other_n
+         from pairs group by word),
+found as (select w.word, w.n, coalesce(n_near, 0) as n_near,
+                 case when other_n >= 10 * w.n then other end as form,
+                 case when other_n >= 10 * w.n then other_n end as form_n
+          from w left join best using (word)),
+chain as (select word, form as at from found where form is not null
+          union all
+          select c.word, f.form from chain c join found f on f.word = c.at where f.form is not null),
+roots as (select c.word, c.at as root from chain c join found f on f.word = c.at where f.form is null)
+select found.word, form, coalesce(root, found.word) as root, n, n_near, form_n
+from found left join roots using (word)""")
+def word_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return spelling_variants(words_of(docs, typos_every=31))
+
+
+@query("op13_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return digests(scan_secrets(docs, RANKS, public_tokenizers.PATTERN))

@@ -9,9 +9,9 @@ from ratelark.llm.queries import ORACLES, QUERIES
 def test_query_matches_sql(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
-    got = sorted(tuple(r) for r in df.select(*columns).collect())
+    got = sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
     cur = duck.execute(ORACLES[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
-    assert got == sorted(tuple(r[i] for i in at) for r in cur.fetchall())
+    assert got == sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=repr)
