@@ -24,6 +24,10 @@ REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 START, SYSTEM, USER, ASSISTANT = range(4)
 ACCEPTED = (START, ASSISTANT)
 ROLES = {USER: "user", ASSISTANT: "assistant"}
+#: A state is of no more use once another one costs less by so much: from there its whole future
+#: can be had by deleting a system turn, or inserting an assistant turn, at this price.
+HOPELESS = ((START, ASSISTANT, DELETE), (START, USER, INSERT + DELETE),
+            (SYSTEM, ASSISTANT, 0), (SYSTEM, USER, INSERT))
 #: What a turn with this initial leads to, and from which states it may come.
 KEEP = {"s": (SYSTEM, (START,)), "u": (USER, (START, SYSTEM, ASSISTANT)), "a": (ASSISTANT, (USER,))}
 INITIALS = {"Keep": "K", "Rerole": "R", "Delete": "D", "Insert": "I"}
@@ -98,6 +102,9 @@ class Survivors:
         for node in old:
             self._release(node)
         self._inserts()
+        for state, other, price in HOPELESS:
+            if state in self.at and other in self.at and self.at[other][0] + price < self.at[state][0]:
+                self._release(self.at.pop(state)[1])
         return self._settled()
 
     def finish(self) -> list[str]:
