@@ -27,8 +27,9 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """One row per input row: the id column, ``text`` (what is left), ``n_lines``, ``n_dropped``.
+               min_chars: int = 20, min_docs: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: the id column, ``text`` (what is left), ``n_lines``, ``n_dropped``
+    and the columns named in ``carry``.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased.  Keys of
     at least ``min_chars`` code points that occur in at least ``min_docs`` documents lose all
@@ -36,7 +37,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line and becomes the empty text.  Rows that share an id count as one document; a row
     without an id is neither counted nor changed.  Other columns are not read.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                         F.struct(*carry).alias("carried") if carry else F.lit(None).alias("carried"))
     id_type = schema_of(docs, id_col)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +53,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [batch.column(0).take(pa.array(at, pa.int32())), pa.array(keys, pa.binary())],
                 ["id", "key"])
 
-    lines = stage(source.where("id is not null").mapInArrow(
+    lines = stage(source.where("id is not null").select("id", "text").mapInArrow(
         explode, f"id {id_type}, key binary"), "lines")
     common = stage(lines.groupBy("key").agg(
         F.countDistinct("id").alias("docs"), F.max("id").alias("keep_id"))
@@ -75,7 +77,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 texts.append(b"\n".join(left).decode("utf-8"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()),
-                 pa.array(n_dropped, pa.int64())], [id_col, "text", "n_lines", "n_dropped"])
+                 pa.array(n_dropped, pa.int64()), batch.column(3)],
+                ["id", "text", "n_lines", "n_dropped", "carried"])
 
-    return source.join(drops, "id", "left").select("id", "text", "drop").mapInArrow(
-        rebuild, f"`{id_col}` {id_type}, text string, n_lines bigint, n_dropped bigint")
+    rebuilt = source.join(drops, "id", "left").select("id", "text", "drop", "carried").mapInArrow(
+        rebuild, f"id {id_type}, text string, n_lines bigint, n_dropped bigint, "
+                 f"carried {schema_of(source, 'carried')}")
+    return rebuilt.select(F.col("id").alias(id_col), "text", "n_lines", "n_dropped",
+                          *(F.col("carried")[c].alias(c) for c in carry))

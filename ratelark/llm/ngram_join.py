@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
-from .common import (U64, binary_spans, components, digest16, mix, prefix_hash, ragged, schema_of,
-                     segment_sums, sorted_groups, span_hash, text_blocks)
+from .common import (U64, Scratch, binary_spans, components, digest16, mix, prefix_hash, ragged,
+                     schema_of, segment_sums, sorted_groups, span_hash, text_blocks)
 
 #: Documents of a group, and queries worked on at once against one, on average.
 GROUP = 128
@@ -123,9 +122,9 @@ def _padded(id=None, n=None, digest=None, token=None, times=None) -> pa.RecordBa
         if isinstance(v, np.ndarray) else v for c, v in columns.items()})
 
 
-def _frequent(seen: DataFrame) -> np.ndarray:
+def _frequent(scratch: Scratch, seen: DataFrame) -> np.ndarray:
     """The most frequent tokens, FREQUENT at most, sorted."""
-    totals = stage(seen.groupBy("token").agg(F.sum("times").alias("times")), "repeated")
+    totals = scratch.stage(seen.groupBy("token").agg(F.sum("times").alias("times")), "repeated")
     level = F.floor(F.log2("times") * 4).cast("int")
     steps = {r["level"]: r["n"] for r in
              totals.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
@@ -263,43 +262,49 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     read.
     """
     limit = _Threshold(num, den)
+    scratch = Scratch(docs.sparkSession, "ngram-join")
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    scanned = stage(source.mapInArrow(
+    scanned = scratch.stage(source.mapInArrow(
         lambda b: _signatures(b, words),
         "id bigint, n bigint, digest binary, token bigint, times bigint"), "signatures")
     rows = scanned.where("digest is not null").select("id", "n", "digest")
-    classes = stage(rows.where("n > 0 and id is not null").groupBy("digest").agg(
+    classes = scratch.stage(rows.where("n > 0 and id is not null").groupBy("digest").agg(
         F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
-    frequent = _frequent(scanned.where("token is not null").select("token", "times"))
+    frequent = _frequent(scratch, scanned.where("token is not null").select("token", "times"))
 
+    scratch.drop("repeated")
     reps = classes.groupBy(F.col("rep").alias("id")).agg(F.max("weight").alias("weight"))
-    sets = stage(_prefixes(source.where("id is not null"), words, limit, frequent).join(
+    sets = scratch.stage(_prefixes(source.where("id is not null"), words, limit, frequent).join(
         reps, "id"), "prefixes")
     tokens = sets.select("id", F.explode("tokens").alias("token"))
     repeated = tokens.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(
         "lo < hi").select("token")
-    matched = stage(tokens.join(repeated, "token").distinct(), "matched")
+    matched = scratch.stage(tokens.join(repeated, "token").distinct(), "matched")
     enough = matched.groupBy("id").agg(F.count("*").alias("n")).join(
         sets.groupBy("id").agg(F.min("need").alias("need"), F.min("key").alias("key"),
                                F.max("weight").alias("weight")), "id").where("n >= need")
-    enough = stage(enough.select("id", "need", "key", "weight"), "candidates")
+    enough = scratch.stage(enough.select("id", "need", "key", "weight"), "candidates")
+    scratch.drop("prefixes")
     parts = enough.groupBy("key").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    grouped = stage(enough.join(parts, "key").select(
+    grouped = scratch.stage(enough.join(parts, "key").select(
         "id", "need", "weight",
         F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("gid")), "groups")
 
     cells = matched.join(grouped, "id").select("token", "id", "need", "gid")
-    cells = stage(cells, "cells")
+    cells = scratch.stage(cells, "cells")
+    scratch.drop("candidates")
+    scratch.drop("matched")
     matrix = cells.groupBy("token").agg(F.collect_set("gid").alias("groups"))
     bounds = cells.select("token", "id", "need").join(matrix, "token").groupBy("id").agg(
         F.min("need").alias("need"), F.collect_list("groups").alias("groups"))
     opened = bounds.mapInArrow(_qualifying, "id bigint, gid bigint")
     sizes = grouped.groupBy("gid").agg(F.count("*").alias("members"))
-    opened = stage(opened.join(grouped.select("id", F.col("gid").alias("own")), "id")
+    opened = scratch.stage(opened.join(grouped.select("id", F.col("gid").alias("own")), "id")
                    .join(sizes, "gid").where("gid != own or members > 1")
                    .select("id", "gid"), "opened")
+    scratch.drop("cells")
     blocks = opened.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
-    blocks = stage(blocks, "blocks")
+    blocks = scratch.stage(blocks, "blocks")
 
     wanted = opened.select("id").union(
         grouped.join(blocks, "gid", "left_semi").select("id")).distinct()
@@ -312,7 +317,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
                     [batch.column("id")[part],
                      pa.array([s.tobytes() for s in found], pa.binary())], ["id", "tokens"])
 
-    full = stage(source.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(
+    full = scratch.stage(source.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(
         whole, "id bigint, tokens binary").distinct(), "sets")
     asked = opened.join(blocks, "gid").select(
         "id", "gid", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
@@ -322,16 +327,20 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
         F.lit(False).alias("query"), "weight")
     work = asked.unionByName(held).join(full, "id").select(
         "gid", "block", "query", "id", "weight", "tokens")
-    links = stage(work.repartition("gid", "block").sortWithinPartitions("gid", "block").mapInArrow(
+    links = scratch.stage(work.repartition("gid", "block").sortWithinPartitions("gid", "block").mapInArrow(
         lambda b: _open_groups(b, limit), "u bigint, v bigint, links bigint"), "links")
 
+    for name in ("sets", "blocks", "opened", "groups"):
+        scratch.drop(name)
     joined = components(links.where("v is not null"))
     counts = links.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     known = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(
         counts, "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    known = stage(known, "class-components")
+    known = scratch.stage(known, "class-components")
+    scratch.drop("links")
+    scratch.drop("classes")
     alone = F.col("id").isNull() | (F.col("n") == 0)
     return rows.join(known, "digest", "left").select(
         F.col("id").cast(schema_of(docs, id_col)).alias(id_col), F.col("n").alias("n_shingles"),
