@@ -7,6 +7,7 @@ row is a document of its own, also where ids repeat or lack.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +22,26 @@ from ratelark.session import stage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number ``row`` of its own for each row, as ids may repeat or lack.  Written
-    once, so that whoever reads it finds the same numbers."""
-    return stage(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+#: Files of a table up to which their paths are sent to every task.
+MAX_FILES = 1 << 16
 
 
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``docs`` with the texts of ``texts`` (row, text), and their lengths."""
-    return (docs.drop("text", "n_chars").join(texts.select("row", "text"), "row")
-            .withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``row`` of its own for each row, as ids may repeat or lack: the file
+    and the row's place in it, so whoever reads it finds the same numbers.  Frames that are not
+    read from Parquet files, or from more than MAX_FILES, are written once."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("file"),
+                             F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:
+        placed = None
+    files = [] if placed is None else placed.select("file").distinct().limit(MAX_FILES + 1).collect()
+    if not files or len(files) > MAX_FILES:
+        return stage(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    numbers = docs.sparkSession.createDataFrame(
+        list(enumerate(sorted(f["file"] for f in files))), "number bigint, file string")
+    return placed.join(F.broadcast(numbers), "file").select(
+        *docs.columns, (F.shiftleft("number", 40) + F.col("place")).alias("row"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +54,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that three or more documents share, but for the one with the largest id (of
     those that share an id or have none, any one)."""
-    docs = _keyed(docs)
-    left = line_dedup(docs.select(F.struct("doc_id", "row").alias("key"), "text"), id_col="key")
-    return _with_text(docs, left.select("key.row", "text"))
+    left = line_dedup(_keyed(docs).withColumn("key", F.struct("doc_id", "row")), id_col="key",
+                      carry=("lang", "source"))
+    return left.select("key.doc_id", "text", "lang", "source",
+                       F.length("text").cast("bigint").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +74,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out every passage of 200 bytes or more that occurs again, and what is left of
     characters cut in two."""
     docs = _keyed(docs)
-    cut = suffix_dedup(docs, id_col="row", as_text=True)
-    return _with_text(docs, cut.select("row", F.col("kept").alias("text")))
+    cut = suffix_dedup(docs, id_col="row", as_text=True).select("row", F.col("kept").alias("text"))
+    return (docs.drop("text", "n_chars").join(cut, "row")
+            .withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
