@@ -284,9 +284,10 @@ def _calibrate(held: DataFrame, fitted: Identifier) -> tuple[np.ndarray, np.ndar
     return usual, most
 
 
-def identify(docs: DataFrame, fitted: Identifier, id_col: str = "doc_id", text_col: str = "text"
-             ) -> DataFrame:
-    """One row per input row: the id column, ``lang_pred``, ``score`` (0 to 1) and ``rejected``.
+def identify(docs: DataFrame, fitted: Identifier, id_col: str = "doc_id", text_col: str = "text",
+             carry_text: bool = False) -> DataFrame:
+    """One row per input row: the id column, ``lang_pred``, ``score`` (0 to 1) and ``rejected``;
+    with ``carry_text`` the text column too.
 
     The language whose model has the lowest cross-entropy per character of the whole text;
     ``und`` with score 0, and rejected, if the text is null or has no letters, or if no language
@@ -301,13 +302,15 @@ def identify(docs: DataFrame, fitted: Identifier, id_col: str = "doc_id", text_c
         for batch in batches:
             for rows, data, offsets in text_blocks(batch, "text"):
                 names, score, rejected = known.identify(grams_of(data, offsets))
+                text = [batch.column("text")[rows]] if carry_text else []
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id")[rows], pa.array(names, pa.string()), pa.array(score),
-                     pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
+                     pa.array(rejected), *text], [*names_out])
 
+    names_out = [id_col, "lang_pred", "score", "rejected", *([text_col] if carry_text else [])]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"`{id_col}` {schema_of(docs, id_col)}, lang_pred string, score double, "
-             "rejected boolean")
+             "rejected boolean" + (f", `{text_col}` string" if carry_text else ""))
 
 
 def learned_from(id_col: str = "doc_id"):

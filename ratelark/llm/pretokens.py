@@ -17,6 +17,8 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _APOSTROPHE = 0x27
 #: No later plane has letters or numbers.
 _LAST_PLANE = 0x40000
+#: Code points tried out at once.
+_TRIED = 4096
 
 
 @lru_cache(maxsize=4)
@@ -27,18 +29,23 @@ def classes(path: str) -> np.ndarray:
     meaning in them are then tried out next to an ``a`` and a ``1``, since the tokenizer may
     know another Unicode version.
     """
-    names = [unicodedata.category(chr(point)) for point in range(sys.maxunicode + 1)]
-    kinds = {"L": LETTER, "N": NUMBER, "Z": SPACE}
-    table = np.array([kinds.get(name[0], OTHER) for name in names], np.uint8)
+    letters = "".join(unicodedata.category(chr(point))[0] for point in range(sys.maxunicode + 1))
+    major = np.frombuffer(letters.encode(), np.uint8)
+    table = np.full(len(major), OTHER, np.uint8)
+    for name, kind in (("L", LETTER), ("N", NUMBER), ("Z", SPACE)):
+        table[major == ord(name)] = kind
     table[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85]] = SPACE
-    free = np.flatnonzero(np.array(names[:_LAST_PLANE]) == "Cn")
+    others = np.flatnonzero(major[:_LAST_PLANE] == ord("C"))
+    free = np.array([p for p in others.tolist() if unicodedata.category(chr(p)) == "Cn"], np.int64)
     split = load_tokenizer(path).pre_tokenizer.pre_tokenize_str
     for kind, before in ((LETTER, "a"), (NUMBER, "1")):
         points = np.append(np.flatnonzero(table == kind), free)
         joined = np.zeros(len(points), bool)
-        for _, (start, end) in split("".join(f"{before}{chr(p)}\n" for p in points)):
-            if start % 3 == 0 and end - start == 2:
-                joined[start // 3] = True
+        for low in range(0, len(points), _TRIED):
+            some = points[low:low + _TRIED].tolist()
+            for _, (start, end) in split("".join(f"{before}{chr(p)}\n" for p in some)):
+                if start % 3 == 0 and end - start == 2:
+                    joined[low + start // 3] = True
         table[points] = OTHER
         table[points[joined]] = kind
         free = np.setdiff1d(free, points[joined])
