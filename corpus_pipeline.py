@@ -46,9 +46,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those unlike every learned language."""
-    whole = docs.select(F.struct(*COLUMNS).alias("whole"), "text")
-    kept = identify(whole, fit(docs.where(learned_from())), id_col="whole")
-    return kept.where(~F.col("rejected")).select("whole.*")
+    others = [c for c in COLUMNS if c != "text"]
+    found = identify(docs.select(F.struct(*others).alias("others"), "text"),
+                     fit(docs.where(learned_from())), id_col="others", carry_text=True)
+    return found.where(~F.col("rejected")).select("others.*", "text").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
