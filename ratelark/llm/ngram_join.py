@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (U64, Scratch, binary_spans, components, digest16, mix, prefix_hash, ragged,
-                     schema_of, segment_sums, sorted_groups, span_hash, text_blocks)
+from .common import (BLOCK_BYTES, U64, Scratch, components, digest16, mix, prefix_hash, ragged,
+                     schema_of, segment_sums, slices, sorted_groups, span_hash, text_blocks,
+                     text_bytes)
 
 #: Documents of a group, and queries worked on at once against one, on average.
 GROUP = 128
@@ -191,18 +193,56 @@ def _qualifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["id", "gid"])
 
 
-def _open_groups(batches: Iterator[pa.RecordBatch], limit: _Threshold) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the shuffles: they are smaller than the sets made of them."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in slices(batches):
+        data, offsets = text_bytes(batch.column("text"))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array([pack(data[a:b].tobytes()) for a, b in
+                                           zip(offsets[:-1], offsets[1:])], pa.binary())], ["id", "text"])
+
+
+def _unpacked(column: pa.ChunkedArray, words: int) -> Iterator[np.ndarray]:
+    """The sets of compressed texts, made from about BLOCK_BYTES of text at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    held: list[bytes] = []
+    size = 0
+    for packed in column:
+        held.append(unpack(packed.as_buffer()))
+        size += len(held[-1])
+        if size > BLOCK_BYTES:
+            yield from _sets_of(held, words)
+            held, size = [], 0
+    yield from _sets_of(held, words)
+
+
+def _sets_of(texts: list[bytes], words: int) -> list[np.ndarray]:
+    return shingle_sets(np.frombuffer(b"".join(texts), np.uint8),
+                        np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64)), words)
+
+
+def _open_groups(batches: Iterator[pa.RecordBatch], words: int, limit: _Threshold
+                 ) -> Iterator[pa.RecordBatch]:
     """Compare the queries of each opened group with all its members.
 
     Gives every query's links (in documents) and, of the links, only those that join parts of
-    the group not yet joined by others.
+    the group not yet joined by others.  Rows with the same id and set count once.
     """
     for table in sorted_groups(batches, "gid", "block"):
         member = ~table.column("query").to_numpy()
         ids, weight = table.column("id").to_numpy(), table.column("weight").to_numpy()
-        tokens, offsets = binary_spans(table.column("tokens"))
         if not member.any():
             continue
+        sets = list(_unpacked(table.column("text"), words))
+        if len(np.unique(ids * 2 + member)) < len(ids):
+            first = {(i, m, s.tobytes()): n for n, (i, m, s) in reversed(list(enumerate(
+                zip(ids.tolist(), member.tolist(), sets))))}
+            kept = np.sort(list(first.values()))
+            member, ids, weight = member[kept], ids[kept], weight[kept]
+            sets = [sets[n] for n in kept.tolist()]
+        tokens = np.concatenate(sets)
+        offsets = np.append(0, np.cumsum([len(s) for s in sets], dtype=np.int64))
         rows = np.flatnonzero(member)
         sizes = offsets[rows + 1] - offsets[rows]
         flat = tokens[ragged(offsets[rows], sizes)]
@@ -306,31 +346,19 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     blocks = opened.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
     blocks = scratch.stage(blocks, "blocks")
 
-    wanted = opened.select("id").union(
-        grouped.join(blocks, "gid", "left_semi").select("id")).distinct()
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in text_blocks(batch, "text"):
-                found = shingle_sets(data, offsets, words)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id")[part],
-                     pa.array([s.tobytes() for s in found], pa.binary())], ["id", "tokens"])
-
-    full = scratch.stage(source.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(
-        whole, "id bigint, tokens binary").distinct(), "sets")
     asked = opened.join(blocks, "gid").select(
         "id", "gid", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
         F.lit(True).alias("query"), F.lit(0).cast("bigint").alias("weight"))
     held = grouped.join(blocks, "gid").select(
         "id", "gid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.lit(False).alias("query"), "weight")
-    work = asked.unionByName(held).join(full, "id").select(
-        "gid", "block", "query", "id", "weight", "tokens")
+    packed = source.where("id is not null").mapInArrow(_packed, "id bigint, text binary")
+    work = asked.unionByName(held).join(packed, "id").select(
+        "gid", "block", "query", "id", "weight", "text")
     links = scratch.stage(work.repartition("gid", "block").sortWithinPartitions("gid", "block").mapInArrow(
-        lambda b: _open_groups(b, limit), "u bigint, v bigint, links bigint"), "links")
+        lambda b: _open_groups(b, words, limit), "u bigint, v bigint, links bigint"), "links")
 
-    for name in ("sets", "blocks", "opened", "groups"):
+    for name in ("blocks", "opened", "groups"):
         scratch.drop(name)
     joined = components(links.where("v is not null"))
     counts = links.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
