@@ -138,6 +138,13 @@ def interval_label(value: Column, edges: list[float], right_closed: bool = False
     return reduce(lambda acc, br: acc.when(*br), rest, F.when(*first))
 
 
+def sorted_place(value: Column, edges: Column, most: int) -> Column:
+    """Number of ``edges`` (a sorted array of at most ``most``) that are <= ``value``, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(edges)) & (F.get(edges, at + step - 1) <= value), at + step).otherwise(at))
+
+
 def step_bin(value: Column, edges: Column) -> Column:
     """Number of ``edges`` (a short sorted array) that are <= ``value``."""
     return F.size(F.filter(edges, lambda e: e <= value))

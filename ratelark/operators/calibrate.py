@@ -7,21 +7,24 @@ fitted on is an error.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import kernel_weight, no_model, ratio, step_bin, weighted_mean
+from ..functions.columns import (kernel_weight, no_model, ratio, sorted_place, step_bin,
+                                 weighted_mean)
 from ..functions.lookup import resolve
 from ..session import stage
-from .glm import GlmSpec, PartModels, fit_parts, for_parts
+from .glm import GlmSpec, PartModels, fit_parts
 from .groups import quantile_edges
-from .ordered import derived, hot_join, nearest_value, ordered_prefix, plain_zero, tie_hash
+from .isotonic import interpolated, isotonic_blocks
+from .ordered import (derived, hot_join, nearest_value, ordered_prefix, plain_zero, tie_hash,
+                      value_neighbours)
 
 OUT = "calibrated"
+#: Knots of all parts up to which a curve is sent to every task as arrays.
+KNOTS_SENT = 1 << 17
 
 
 # --- tail pooling ---------------------------------------------------------------------
@@ -113,10 +116,11 @@ def _by_value(df: DataFrame, y: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Isotonic:
-    """Weighted isotonic regression, clipped outside the fitted range.
+    """Weighted isotonic regression, linear between blocks and clipped outside the fitted range.
 
     ``centered`` replaces each flat block by its weighted centre and
-    interpolates between centres.
+    interpolates between centres.  The fitted curve is a table of knots
+    ``(part, pred, calibrated)``.
     """
 
     centered: bool = False
@@ -124,50 +128,44 @@ class Isotonic:
     low: float = 0.0
     high: float = 0.0
     force_positive: bool = True
-    models: dict = field(default_factory=dict)
+    rows_per_bucket: float | None = None
+    table: DataFrame | None = None
 
     def fit(self, df: DataFrame, parts: list[str]) -> "Isotonic":
         if self.low or self.high or self.force_positive:
-            pooled = pool_tails(df, ["part"], self.low, self.high, self.force_positive)
+            pooled = pool_tails(df, ["part"], self.low, self.high, self.force_positive,
+                                rows_per_bucket=self.rows_per_bucket)
             points = _by_value(pooled, "y_pooled")
         else:
             points = _by_value(df, "y")
-        points = stage(points.where("w > 0"), "isotonic", ["part"])
-
-        def fit_one(part: str):
-            rows = points.where(F.col("part") == part)
-            model = self._regression(rows)
-            if self.centered:
-                blocks = model.transform(_vector(rows)).groupBy("_fit").agg(
-                    (F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"), F.sum("w").alias("w"))
-                model = self._regression(blocks.withColumnRenamed("_fit", "y"))
-            return model
-
-        return Isotonic(self.centered, self.increasing, self.low, self.high,
-                        self.force_positive, for_parts(parts, fit_one))
-
-    def _regression(self, rows: DataFrame):
-        return IsotonicRegression(featuresCol="_vec", labelCol="y", weightCol="w",
-                                  predictionCol="_fit", isotonic=self.increasing).fit(_vector(rows))
-
-    def curve(self, spark) -> DataFrame:
-        """Knots of every part's fitted curve."""
-        rows = [(p, float(a), float(b)) for p, m in self.models.items()
-                for a, b in zip(m.boundaries, m.predictions)]
-        return spark.createDataFrame(rows, "part string, x double, y double")
+        blocks = isotonic_blocks(points.where("w > 0"), ["part"], self.increasing,
+                                 self.rows_per_bucket)
+        if self.centered:
+            knots = blocks.groupBy("part", F.col("value").alias(OUT)).agg(
+                (F.sum("wx") / F.sum("w")).alias("pred"))
+        else:
+            ends = F.array_distinct(F.array("x_lo", "x_hi"))
+            knots = blocks.select("part", F.explode(ends).alias("pred"), F.col("value").alias(OUT))
+        return replace(self, table=stage(knots.select("part", "pred", OUT), "isotonic"))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        known = F.coalesce(F.col("part").isin(list(self.models)), F.lit(False))
-        out = df.where(~known).withColumn(OUT, no_model())
-        for part, model in self.models.items():
-            rows = model.transform(_vector(df.where(F.col("part") == part), "pred")).select(
-                *df.columns, F.col("_fit").alias(OUT))
-            out = out.unionByName(rows)
-        return out
-
-
-def _vector(df: DataFrame, column: str = "x") -> DataFrame:
-    return VectorAssembler(inputCols=[column], outputCol="_vec").transform(df)
+        n = self.table.count()
+        x = plain_zero(F.col("pred"))
+        if n <= KNOTS_SENT:
+            knot = F.struct(F.col("pred").alias("at"), F.col(OUT).alias("v"))
+            curves = self.table.groupBy("part").agg(F.sort_array(F.collect_list(knot)).alias("_knots"))
+            rows = df.join(F.broadcast(curves), "part", "left").withColumn(
+                "_at", sorted_place(x, F.col("_knots.at"), n))
+            value = interpolated(x, F.get("_knots", F.col("_at") - 1), F.get("_knots", F.col("_at")))
+            return rows.select(*df.columns, F.when(F.col("_knots").isNull(), no_model())
+                               .otherwise(value).alias(OUT))
+        rows = df.withColumn("_p", x)
+        found = value_neighbours(rows.select("part", F.col("_p").alias("pred")), self.table, ["part"],
+                                 "pred", OUT, self.rows_per_bucket)
+        value = F.when(F.col("prev").isNull() & F.col("next").isNull(), no_model()).otherwise(
+            interpolated(F.col("pred"), F.col("prev"), F.col("next")))
+        looked = stage(found.select("part", F.col("pred").alias("_p"), value.alias(OUT)), "isotonic_at")
+        return hot_join(rows, looked, ["part", "_p"]).select(*df.columns, OUT)
 
 
 @dataclass(frozen=True)

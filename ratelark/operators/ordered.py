@@ -250,12 +250,12 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], max_hot: int =
     return rows.join(hot_table, keys).unionByName(cold)
 
 
-def nearest_value(queries: DataFrame, table: DataFrame, by: list[str], at: str, value: str,
-                  rows_per_bucket: float | None = None) -> DataFrame:
-    """For each distinct ``at`` of ``queries`` the ``value`` of the nearest ``at`` in ``table``.
+def value_neighbours(queries: DataFrame, table: DataFrame, by: list[str], at: str, value: str,
+                     rows_per_bucket: float | None = None) -> DataFrame:
+    """For each distinct ``at`` of ``queries`` the entries (at, v) of ``table`` on both sides.
 
-    Both sides are merged in value order; the nearest table row is either the
-    last one before or the first one after.  The smaller ``at`` wins a draw.
+    Both frames are merged in value order: ``prev`` is the last table row up to ``at``, ``next`` the
+    first one from it on (null beyond the ends).
     """
     entry = F.struct(F.col(at).alias("at"), F.col(value).alias("v"))
     merged = (table.select(*by, F.col(at).alias("_at"), entry.alias("_e"), F.lit(False).alias("_q"))
@@ -279,11 +279,22 @@ def nearest_value(queries: DataFrame, table: DataFrame, by: list[str], at: str,
     ends = ends.select(*by, "_bkt", F.max("_hi").over(earlier).alias("_before"),
                        F.min("_lo").over(later).alias("_after"))
     found = keyed.where("_q").join(ends, [*by, "_bkt"])
-    prev = F.coalesce(F.col("_prev"), F.col("_before"))
-    nxt = F.coalesce(F.col("_next"), F.col("_after"))
+    return found.select(*by, F.col("_at").alias(at),
+                        F.coalesce(F.col("_prev"), F.col("_before")).alias("prev"),
+                        F.coalesce(F.col("_next"), F.col("_after")).alias("next"))
+
+
+def nearest_value(queries: DataFrame, table: DataFrame, by: list[str], at: str, value: str,
+                  rows_per_bucket: float | None = None) -> DataFrame:
+    """For each distinct ``at`` of ``queries`` the ``value`` of the nearest ``at`` in ``table``.
+
+    The smaller ``at`` wins a draw.
+    """
+    found = value_neighbours(queries, table, by, at, value, rows_per_bucket)
+    prev, nxt = F.col("prev"), F.col("next")
     pick = F.when(prev.isNull(), nxt["v"]).when(nxt.isNull(), prev["v"]).when(
-        F.col("_at") - prev["at"] <= nxt["at"] - F.col("_at"), prev["v"]).otherwise(nxt["v"])
-    return found.select(*by, F.col("_at").alias(at), pick.alias(value))
+        F.col(at) - prev["at"] <= nxt["at"] - F.col(at), prev["v"]).otherwise(nxt["v"])
+    return found.select(*by, at, pick.alias(value))
 
 
 def _entry_type(table: DataFrame, at: str, value: str):

@@ -55,7 +55,7 @@ rebalance_query("scale", "pred * (ey / ep)")
 rebalance_query("shift", "pred + (ey - ep)")
 
 
-@query("calib_tail_pool", f"""WITH {o.predictions('pred_signal')}, {RANKED},
+POOL_SQL = f"""{RANKED},
 f AS (SELECT part, max(CAST(floor(n * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS lo,
              max(CAST(floor(n * CAST(0.05 AS DOUBLE)) AS BIGINT)) AS hi,
              max(CASE WHEN rank <= floor(n * CAST(0.1 AS DOUBLE)) THEN y END) AS top,
@@ -64,9 +64,13 @@ g AS (SELECT rk.*, CASE WHEN lo = 0 OR top <= 0 THEN coalesce(fp, lo) ELSE lo EN
       FROM rk JOIN f ON rk.part = f.part),
 m AS (SELECT part, sum(CASE WHEN rank <= lo THEN w * y END) / sum(CASE WHEN rank <= lo THEN w END) AS ml,
              sum(CASE WHEN rank > n - hi THEN w * y END) / sum(CASE WHEN rank > n - hi THEN w END) AS mh
-      FROM g GROUP BY part)
-SELECT g.part, IDpol, round(CASE WHEN rank > n - hi THEN mh WHEN rank <= lo THEN ml ELSE y END, 6)
-       AS y_pooled FROM g JOIN m ON g.part = m.part""")
+      FROM g GROUP BY part),
+pooled AS (SELECT g.part, IDpol, CASE WHEN rank > n - hi THEN mh WHEN rank <= lo THEN ml ELSE y END AS y,
+                  pred, w FROM g JOIN m ON g.part = m.part)"""
+
+
+@query("calib_tail_pool", f"""WITH {o.predictions('pred_signal')}, {POOL_SQL}
+SELECT part, IDpol, round(y, 6) AS y_pooled FROM pooled""")
 def calib_tail_pool(spark, sf):
     out = cal.pool_tails(staged_predictions(spark, sf, **SIGNAL), ["part"], 0.1, 0.05)
     return out.select("part", "IDpol", rounded(F.col("y_pooled")).alias("y_pooled"))
@@ -131,8 +135,10 @@ def loess(spark, sf):
     return calibrated(spark, sf, cal.LocalPolynomial(0.5, 2, nodes=200))
 
 
-ISOTONIC_SQL = """p AS (SELECT part, pred AS x, sum(w) AS gw, sum(w * y) AS gy,
-        row_number() OVER (PARTITION BY part ORDER BY pred) AS i FROM t GROUP BY part, pred),
+def isotonic_sql(rows: str = "t") -> str:
+    """CTEs up to ``fit(part, i, x, gw, v)``: the max-min formula over all runs of predictions."""
+    return f"""p AS (SELECT part, pred AS x, sum(w) AS gw, sum(w * y) AS gy,
+        row_number() OVER (PARTITION BY part ORDER BY pred) AS i FROM {rows} GROUP BY part, pred),
 cu AS (SELECT *, sum(gw) OVER q AS cw, sum(gy) OVER q AS cy FROM p
        WINDOW q AS (PARTITION BY part ORDER BY i)),
 ab AS (SELECT a.part, a.i AS a, b.i AS b,
@@ -140,32 +146,41 @@ ab AS (SELECT a.part, a.i AS a, b.i AS b,
        FROM cu a JOIN cu b ON a.part = b.part AND a.i <= b.i),
 mn AS (SELECT part, a, b, min(v) OVER (PARTITION BY part, a ORDER BY b DESC) AS v FROM ab),
 iso AS (SELECT part, b AS i, max(v) AS v FROM mn GROUP BY part, b),
-fit AS (SELECT cu.part, x, gw, v FROM cu JOIN iso ON cu.part = iso.part AND cu.i = iso.i)"""
-
-
-@query("isotonic", f"""WITH {o.predictions('pred_tied')}, {ISOTONIC_SQL}
-SELECT t.part, IDpol, round(v, 6) AS calibrated
-FROM t JOIN fit ON t.part = fit.part AND t.pred = fit.x""")
-def isotonic(spark, sf):
-    return calibrated(spark, sf, cal.Isotonic(force_positive=False))
+fit AS (SELECT cu.part, cu.i, x, gw, v FROM cu JOIN iso ON cu.part = iso.part AND cu.i = iso.i)"""
 
 
-@query("centered_isotonic", f"""WITH {o.predictions('pred_tied')}, {ISOTONIC_SQL},
-ce AS (SELECT part, sum(gw * x) / sum(gw) AS x, round(v, 10) AS k, max(v) AS v
+CENTERED_SQL = """ce AS (SELECT part, sum(gw * x) / sum(gw) AS x, round(v, 10) AS k, max(v) AS v
        FROM fit GROUP BY part, round(v, 10)),
 sg AS (SELECT part, x AS x0, v AS y0, lead(x) OVER p AS x1, lead(v) OVER p AS y1,
               row_number() OVER p AS i FROM ce WINDOW p AS (PARTITION BY part ORDER BY x)),
 ev AS (SELECT t.part, IDpol, CASE WHEN x1 IS NULL OR pred <= x0 THEN y0
               ELSE y0 + (pred - x0) / (x1 - x0) * (y1 - y0) END AS v
-       FROM t JOIN sg ON t.part = sg.part AND (pred >= x0 OR i = 1) AND (pred < x1 OR x1 IS NULL))
-SELECT part, IDpol, round(v, 6) AS calibrated FROM ev""")
-def centered_isotonic(spark, sf):
-    return calibrated(spark, sf, cal.Isotonic(centered=True, force_positive=False))
+       FROM t JOIN sg ON t.part = sg.part AND (pred >= x0 OR i = 1) AND (pred < x1 OR x1 IS NULL))"""
+
+
+def isotonic_query(name, model, rows, pool=False, centered=False):
+    """The calibrated prediction of every row; ``pool``: 0.1 and 0.05 of the tails are pooled."""
+    found = ("SELECT part, IDpol, round(v, 6) AS calibrated FROM ev" if centered else
+             "SELECT t.part, IDpol, round(v, 6) AS calibrated\n"
+             "FROM t JOIN fit ON t.part = fit.part AND t.pred = fit.x")
+    steps = [o.predictions(rows), *([POOL_SQL] if pool else []),
+             isotonic_sql("pooled" if pool else "t"), *([CENTERED_SQL] if centered else [])]
+
+    @query(name, f"WITH {', '.join(steps)}\n{found}")
+    def run(spark, sf):
+        return calibrated(spark, sf, model, pred=rows)
+    return run
 
 
-@query("isotonic_tails")
-def isotonic_tails(spark, sf):
-    return calibrated(spark, sf, cal.Isotonic(low=0.1, high=0.05), **SIGNAL)
+TAILS = cal.Isotonic(low=0.1, high=0.05)
+isotonic_query("isotonic", cal.Isotonic(force_positive=False), "pred_tied")
+isotonic_query("centered_isotonic", cal.Isotonic(centered=True, force_positive=False), "pred_tied",
+               centered=True)
+isotonic_query("isotonic_tails", TAILS, "pred_signal", pool=True)
+isotonic_query("isotonic_unique", cal.Isotonic(force_positive=False), "pred_unique")
+isotonic_query("centered_isotonic_unique", cal.Isotonic(centered=True, force_positive=False),
+               "pred_unique", centered=True)
+isotonic_query("isotonic_tails_unique", TAILS, "pred_unique", pool=True)
 
 
 @query("calib_glm_gamma")
