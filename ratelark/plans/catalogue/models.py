@@ -139,6 +139,16 @@ def boosted_tweedie(spark, sf):
     return model.predict(rows).select("part", "IDpol", rounded(F.col("pred")).alias("pred"))
 
 
+@query("boosted_parts")
+def boosted_parts(spark, sf):
+    """All parts in the same passes, scored in one scan."""
+    rows = model_rows(spark, sf)
+    spec = boost.BoostSpec(n_estimators=5, max_depth=4, num_leaves=8, learning_rate=0.3)
+    fits = boost.fit_boosters(rows, dict.fromkeys(PARTS, NUMERIC), dict.fromkeys(PARTS, spec))
+    return rows.withColumn("pred", boost.score_expression(fits)).select(
+        "part", "IDpol", rounded(F.col("pred")).alias("pred"))
+
+
 @query("lasso_selection")
 def lasso_selection(spark, sf):
     rows = model_rows(spark, sf)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import no_model
 from ..functions.lookup import resolve
-from ..operators.boost import Booster, BoostSpec, fit_booster
+from ..operators.boost import Booster, BoostSpec, fit_booster, fit_boosters, score_expression
 from ..operators.glm import GlmFit, GlmSpec, elastic_net_spec, fit_glm
 from ..session import stage
 
@@ -47,7 +47,7 @@ class GlmModel:
 
 @dataclass(frozen=True)
 class BoostModel:
-    """Trees have no column expression; they transform a frame."""
+    """Boosted trees; the models of all parts score together."""
 
     fit: Booster
 
@@ -68,6 +68,8 @@ def predict_parts(models: dict[str, object], rows: DataFrame, out: str = "pred")
         for part, model in models.items():
             pred = F.when(F.col("part") == part, model.expression()).otherwise(pred)
         return rows.withColumn(out, pred)
+    if all(isinstance(m, BoostModel) for m in models.values()):
+        return rows.withColumn(out, score_expression({p: m.fit for p, m in models.items()}))
     rows = stage(rows, "score_rows", ["part"])
     known = F.coalesce(F.col("part").isin(list(models)), F.lit(False))
     done = rows.where(~known).withColumn(out, no_model())
@@ -79,10 +81,15 @@ def predict_parts(models: dict[str, object], rows: DataFrame, out: str = "pred")
 
 @dataclass(frozen=True)
 class ModelKind:
-    """How to fit a model and which metric tunes it."""
+    """How to fit a model and which metric tunes it.
+
+    ``fit_all``, where there is one, fits all parts together: it takes their rows, and features and
+    parameters by part.
+    """
 
     fit: Callable[[DataFrame, list[str], dict], object]
     metric: str
+    fit_all: Callable[[DataFrame, dict, dict], dict] | None = None
 
     def metric_of(self, params: dict) -> str:
         """The tuning metric; a Tweedie deviance takes the power that the model has."""
@@ -122,15 +129,27 @@ def _elastic(family: str):
     return fit
 
 
-def _boost(loss: str):
+def _boost_spec(loss: str, params: dict) -> BoostSpec:
+    whole = {f.name: int(params[f.name]) for f in fields(BoostSpec)
+             if f.name in params and params[f.name] is not None and f.name in (
+                 "n_estimators", "max_depth", "num_leaves", "min_child_samples", "max_bin")}
+    return _known(BoostSpec(loss=loss), {**params, **whole})
+
+
+def _boost(loss: str) -> ModelKind:
+    def val_of(df: DataFrame, params: dict) -> str | None:
+        return "is_val" if "is_val" in df.columns and params.get("use_val", True) else None
+
     def fit(df: DataFrame, features: list[str], params: dict) -> BoostModel:
-        whole = {f.name: int(params[f.name]) for f in fields(BoostSpec)
-                 if f.name in params and f.name in (
-                     "n_estimators", "max_depth", "num_leaves", "min_child_samples", "max_bin")}
-        spec = _known(BoostSpec(loss=loss), {**params, **whole})
-        val = "is_val" if "is_val" in df.columns and params.get("use_val", True) else None
-        return BoostModel(fit_booster(df, features, spec, val=val))
-    return fit
+        return BoostModel(fit_booster(df, features, _boost_spec(loss, params), val=val_of(df, params)))
+
+    def fit_all(df: DataFrame, features: dict, params: dict) -> dict:
+        specs = {p: _boost_spec(loss, params[p]) for p in features}
+        val = val_of(df, next(iter(params.values()), {}))
+        return {p: BoostModel(m) for p, m in fit_boosters(df, features, specs, val=val).items()}
+
+    metric = {"poisson": "MPD", "gamma": "MGD", "tweedie": "MTD(1.5)"}[loss]
+    return ModelKind(fit, metric, fit_all)
 
 
 MODELS: dict[str, ModelKind] = {
@@ -144,9 +163,9 @@ MODELS: dict[str, ModelKind] = {
     "ridge_tweedie_glm": ModelKind(_ridge(GlmSpec("tweedie", "log", 1.5)), "MTD(1.5)"),
     "elastic_poisson_glm": ModelKind(_elastic("poisson"), "MPD"),
     "elastic_gamma_glm": ModelKind(_elastic("gamma"), "MGD"),
-    "boosted_poisson": ModelKind(_boost("poisson"), "MPD"),
-    "boosted_gamma": ModelKind(_boost("gamma"), "MGD"),
-    "boosted_tweedie": ModelKind(_boost("tweedie"), "MTD(1.5)"),
+    "boosted_poisson": _boost("poisson"),
+    "boosted_gamma": _boost("gamma"),
+    "boosted_tweedie": _boost("tweedie"),
 }
 
 

@@ -50,10 +50,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/ratelark/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder; frames built on its tables can no longer be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Delete the intermediate tables; frames built on them can no longer be read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/ratelark")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_root(spark)}/ratelark")
 
 
 def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = None) -> DataFrame:

@@ -163,7 +163,6 @@ def test_boosting_rules():
     assert boost.BoostSpec(learning_rate=0.1).patience == 200
     assert boost.BoostSpec(learning_rate=1.0).patience == 60
     assert boost.BoostSpec(learning_rate=5.0).patience == 30
-    assert boost.BoostSpec(max_depth=6, num_leaves=8).depth == 3
 
 
 def test_power_link_on_a_continuous_feature(spark):
