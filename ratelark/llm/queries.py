@@ -161,10 +161,11 @@ raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') a
 rows as (select conv_id, turn, case when fault = 4 then 'user' else role end as role,
                 case fault when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
          from raw, range(2) c(copy) where fault <> 0 and (copy = 0 or fault = 3)),
-placed as (select *, row_number() over w as i,
-                  row_number() over (partition by conv_id, role, text order by turn nulls first) as nth,
-                  lag(left(role, 1)) over w || left(role, 1) as follows
-           from rows window w as (partition by conv_id order by turn nulls first, role, text)),
+numbered as (select *, row_number() over (partition by conv_id
+                    order by turn nulls first, role, text) as i from rows),
+placed as (select *, row_number() over (partition by conv_id, role, text order by i) as nth,
+                  lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as follows
+           from numbered),
 marked as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
                           when nth > 1 then 'duplicate'
                           when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated'
