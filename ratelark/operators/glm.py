@@ -1,13 +1,14 @@
-"""Generalized linear models, one fit per part, scored for all parts in one pass."""
+"""Generalized linear models: all parts are fitted in the same passes and scored in one."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,14 +100,6 @@ def inverse_link(eta: Column, power: float) -> Column:
     return 1 / eta if power == -1 else F.pow(eta, F.lit(1 / power))
 
 
-def apply_link(mu: Column, power: float) -> Column:
-    if power == 0:
-        return F.log(mu)
-    if power == 1:
-        return mu
-    return 1 / mu if power == -1 else F.pow(mu, F.lit(power))
-
-
 def _link_slope(mu: Column, power: float) -> Column:
     """Derivative of the link at the mean."""
     if power == 0:
@@ -114,172 +107,265 @@ def _link_slope(mu: Column, power: float) -> Column:
     return F.lit(1.0) if power == 1 else power * F.pow(mu, F.lit(power - 1))
 
 
-def _quasi_loss(y: Column, mu: Column, power: float) -> Column:
+def _quasi_loss(y: np.ndarray, mu: np.ndarray, power: float) -> np.ndarray:
     """Half the unit deviance without the terms that depend on ``y`` alone; zeros are fine."""
     if power == 0:
-        return (y - mu) * (y - mu) / 2
+        return (y - mu) ** 2 / 2
     if power == 1:
-        return mu - y * F.log(mu)
+        return mu - y * np.log(mu)
     if power == 2:
-        return F.log(mu) + y / mu
-    a, b = 1 - power, 2 - power
-    return F.pow(mu, F.lit(b)) / b - y * F.pow(mu, F.lit(a)) / a
+        return np.log(mu) + y / mu
+    return mu ** (2 - power) / (2 - power) - y * mu ** (1 - power) / (1 - power)
 
 
-def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_features").transform(df)
+# --- fitting --------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Problem:
+    """A model to fit on the rows of one part, from some of the features."""
 
-def fit_glm(df: DataFrame, features: list[str], y: str, w: str | None = None,
-            spec: GlmSpec = GlmSpec()) -> GlmFit:
-    """Fit on the rows of ``df`` (read once per iteration, so pass a stage table)."""
-    wt = F.col(w).cast("double") if w else F.lit(1.0)
-    label = F.col(y).cast("double")
-    rows = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features],
-                     label.alias("_y"), wt.alias("_w"))
-    facts = rows.agg(F.avg("_y").alias("mean"), F.min("_y").alias("low"),
-                     weighted_mean(F.col("_y"), F.col("_w")).alias("wmean"),
-                     F.sum("_w").alias("sw")).first()
-    divisor = facts["mean"] if spec.target_divisor == "mean" else float(spec.target_divisor)
-    constant = facts["mean"] if spec.intercept_scale == "mean" else float(spec.intercept_scale)
-    rows = rows.withColumn("_y", F.col("_y") / divisor)
-    low_mean = facts["wmean"] / divisor
-
-    # Spark's GLM diverged on Tweedie amounts and on the inverse link, so those take the other way,
-    # as do penalties whose scale is not known before the fit
-    known_scale = spec.l2 == 0 or (
-        spec.link == "log" and (spec.family == "gamma" or spec.fit_intercept))
-    built_in = (spec.l1 == 0 and known_scale and spec.link in ("log", "identity") and (
-        spec.family in ("poisson", "gamma") or (spec.family == "gaussian" and spec.l2 == 0)))
-    positive = spec.family != "gamma" or facts["low"] > 0
-    if built_in and positive:
-        fit = _built_in(rows, features, spec, low_mean)
-    else:
-        fit = _reweighted(rows, features, spec, low_mean, facts["sw"])
-    return replace(fit, divisor=divisor, constant=constant,
-                   floor=facts["low"] if spec.floors else None)
-
-
-def _built_in(rows: DataFrame, features: list[str], spec: GlmSpec, mean: float) -> GlmFit:
-    """Spark's own GLM.  Its penalty is relative to the sum of working weights.
-
-    With a log link that sum is, at the solution, one (Gamma) or, given an intercept,
-    the weighted mean target (Poisson) times the sum of weights.
-    """
-    scale = mean if spec.family == "poisson" and spec.l2 else 1.0
-    glm = GeneralizedLinearRegression(
-        featuresCol="_features", labelCol="_y", weightCol="_w", regParam=spec.l2 / scale,
-        fitIntercept=spec.fit_intercept, maxIter=spec.max_iter, tol=spec.tol,
-        family=spec.family, link=spec.link)
-    model = glm.fit(_assembled(rows, features))
-    return GlmFit(features, [float(c) for c in model.coefficients], float(model.intercept),
-                  spec.link_power, iterations=model.summary.numIterations)
-
-
-def _reweighted(rows: DataFrame, features: list[str], spec: GlmSpec, mean: float,
-                sum_w: float) -> GlmFit:
-    """Iteratively reweighted least squares; each step is one Spark linear regression.
-
-    A step is halved while it leaves the domain of the link or raises the
-    penalised loss.
+    part: str
+    features: list[str]
+    spec: GlmSpec = GlmSpec()
+
+
+@dataclass(frozen=True)
+class _Trial:
+    """What a task needs to sum one model's equations; ``coefs`` is None before the first step."""
+
+    part: str
+    columns: np.ndarray
+    center: np.ndarray
+    coefs: np.ndarray | None
+    intercept: bool
+    divisor: float
+    mean: float
+    power: float
+    link: float
+
+    def sums(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Upper triangle of X'WX, the score, the loss and the rows outside the link's domain."""
+        x = x[:, self.columns] - self.center
+        if self.intercept:
+            x = np.column_stack([np.ones(len(x)), x])
+        y, p, q = y / self.divisor, self.power, self.link
+        if self.coefs is None:
+            mu = (y + self.mean) / 2
+            eta = np.log(mu) if q == 0 else mu ** q
+            outside = 0
+        else:
+            eta = x @ self.coefs
+            inside = eta > 0 if q not in (0, 1) or (q == 1 and p != 0) else np.isfinite(eta)
+            outside = len(eta) - np.count_nonzero(inside)
+            eta = np.where(inside, eta, 1.0)
+            mu = np.exp(eta) if q == 0 else eta ** (1 / q)
+        slope = 1 / mu if q == 0 else q * mu ** (q - 1)
+        weight = w / (mu ** p * slope ** 2)
+        pull = weight * (y - mu) * slope
+        if self.coefs is None:
+            pull = pull + weight * eta
+        hessian = x.T @ (x * weight[:, None])
+        loss = (w * _quasi_loss(y, mu, p)).sum()
+        return np.concatenate([hessian[np.triu_indices(x.shape[1])], x.T @ pull, [loss, outside]])
+
+
+class _Fitting:
+    """One model on the driver: where it stands and the step that the next pass tries.
+
+    Features are centred if there is an intercept, so the equations stay well conditioned.
     """
-    p, q = spec.variance_power, spec.link_power
-    y, w = F.col("_y"), F.col("_w")
-
-    def working(mu: Column) -> DataFrame:
-        slope = _link_slope(mu, q)
-        return rows.withColumns({
-            "_z": apply_link(mu, q) + (y - mu) * slope,
-            "_wt": w / (F.pow(mu, F.lit(p)) * slope * slope)})
-
-    def loss(coefs: list[float], const: float) -> float:
-        eta = _linear(features, coefs, const)
-        inside = F.lit(True) if q in (0.0, 1.0) and (p == 0 or q == 0) else eta > 0
-        mu = inverse_link(F.when(inside, eta), q)
-        row = rows.agg(F.bool_and(inside).alias("ok"),
-                       F.sum(w * _quasi_loss(y, mu, p)).alias("d")).first()
-        if not row["ok"] or row["d"] is None or math.isnan(row["d"]):
-            return math.inf
-        return (row["d"] / sum_w + spec.l1 * sum(map(abs, coefs))
-                + spec.l2 / 2 * sum(c * c for c in coefs))
-
-    start_const = {0.0: math.log(mean) if mean > 0 else 0.0, 1.0: mean}.get(
-        q, mean ** q if mean > 0 else 1.0)
-    if spec.fit_intercept:
-        coefs, const = [0.0] * len(features), start_const
-        current = loss(coefs, const)
-        step_rows = working(inverse_link(_linear(features, coefs, const), q))
-    else:
-        coefs, const, current = None, 0.0, math.inf
-        step_rows = working((y + mean) / 2)
-    iterations = 0
-    for iterations in range(1, spec.max_iter + 1):
-        new_coefs, new_const = _least_squares(step_rows, features, spec, sum_w)
-        new = loss(new_coefs, new_const)
-        halvings = 0
-        while coefs is not None and new > current * (1 + 1e-12) and halvings < 30:
-            new_coefs = [(a + b) / 2 for a, b in zip(coefs, new_coefs)]
-            new_const = (const + new_const) / 2
-            new, halvings = loss(new_coefs, new_const), halvings + 1
-        if math.isinf(new):
+
+    def __init__(self, name, problem: Problem, facts, columns: list[int]):
+        if facts is None:
+            raise ValueError(f"there are no rows to fit {name!r} on")
+        if facts["broken"]:
+            raise ValueError(f"{facts['broken']} rows of {name!r} hold a null or NaN")
+        spec = self.spec = problem.spec
+        self.problem, self.columns = problem, np.array(columns, dtype=int)
+        self.divisor = facts["mean"] if spec.target_divisor == "mean" else float(spec.target_divisor)
+        self.constant = facts["mean"] if spec.intercept_scale == "mean" else float(
+            spec.intercept_scale)
+        self.low, self.sum_w = facts["low"], facts["sw"]
+        self.mean = mean = facts["wmean"] / self.divisor
+        self.center = np.array([facts[f"m{i}"] if spec.fit_intercept else 0.0 for i in columns])
+        self.size = len(columns) + spec.fit_intercept
+        #: Intercepts are not penalised.
+        self.penalised = np.ones(self.size)
+        self.at, self.loss, self.trial = None, math.inf, None
+        self.iterations, self.halvings, self.done = 0, 0, False
+        if spec.fit_intercept:
+            self.penalised[0] = 0.0
+            q = spec.link_power
+            self.trial = np.zeros(self.size)
+            self.trial[0] = {0.0: math.log(mean) if mean > 0 else 0.0, 1.0: mean}.get(
+                q, mean ** q if mean > 0 else 1.0)
+            self.iterations = -1
+
+    def told(self) -> _Trial:
+        return _Trial(self.problem.part, self.columns, self.center, self.trial,
+                      self.spec.fit_intercept, self.divisor, self.mean, self.spec.variance_power,
+                      self.spec.link_power)
+
+    def advance(self, sums: np.ndarray) -> None:
+        """Accept, halve or end, from the sums of one pass."""
+        k, upper = self.size, np.triu_indices(self.size)
+        hessian = np.zeros((k, k))
+        hessian[upper] = sums[:len(upper[0])]
+        hessian = (hessian + np.triu(hessian, 1).T) / self.sum_w
+        score = sums[len(upper[0]):-2] / self.sum_w
+        if self.trial is None:
+            self.trial = self._minimum(np.zeros(k), hessian, score)
+            return
+        slopes = self.trial * self.penalised
+        value = (sums[-2] / self.sum_w + self.spec.l1 * np.abs(slopes).sum()
+                 + self.spec.l2 / 2 * (slopes ** 2).sum())
+        if sums[-1] or not np.isfinite(sums).all():
+            value = math.inf
+        slack = abs(self.loss) + 0.1
+        if value > self.loss + 1e-12 * slack or (math.isinf(value) and self.at is not None):
+            if self.halvings < 30:
+                self.trial, self.halvings = (self.at + self.trial) / 2, self.halvings + 1
+                return
+            if not math.isinf(value):
+                self.done = True
+                return
+        if math.isinf(value):
             raise ArithmeticError("the linear predictor left the domain of the link")
-        if coefs is not None and new > current:
-            break
-        change = abs(current - new)
-        coefs, const, current = new_coefs, new_const, new
-        if change <= spec.tol * (abs(new) + 0.1):
-            break
-        step_rows = working(inverse_link(_linear(features, coefs, const), q))
-    return GlmFit(features, coefs, const, q, iterations=iterations, loss=current)
-
-
-def _least_squares(rows: DataFrame, features: list[str], spec: GlmSpec,
-                   sum_w: float) -> tuple[list[float], float]:
-    """Weighted (elastic-net) least squares of the working response.
-
-    Spark divides the loss by the sum of working weights, so penalties are
-    rescaled.  ``LinearRegression`` also divides its L2 part by the label's
-    deviation, which is undone in the choice of its two parameters.
-    """
-    data = _assembled(rows, features)
-    if spec.l1 == 0 and spec.l2 == 0:
-        ratio = deviation = 1.0
-    else:
-        z, wt = F.col("_z"), F.col("_wt")
-        m = rows.agg(F.sum(wt).alias("s"), (F.sum(wt * z) / F.sum(wt)).alias("m"),
-                     (F.sum(wt * z * z) / F.sum(wt)).alias("m2")).first()
-        ratio, deviation = sum_w / m["s"], math.sqrt(max(m["m2"] - m["m"] ** 2, 0.0))
-    l1, l2 = spec.l1 * ratio, spec.l2 * ratio * (deviation or 1.0)
-    model = LinearRegression(
-        featuresCol="_features", labelCol="_z", weightCol="_wt", fitIntercept=spec.fit_intercept,
-        solver="normal", standardization=False, regParam=l1 + l2,
-        elasticNetParam=l1 / (l1 + l2) if l1 else 0.0, maxIter=500, tol=1e-12).fit(data)
-    return [float(c) for c in model.coefficients], float(model.intercept)
-
-
-def score_residuals(df: DataFrame, fit: GlmFit, spec: GlmSpec, y: str, w: str | None = None
-                    ) -> dict[str, float]:
-    """What is left of the optimality condition of each coefficient, 0 at the optimum.
-
-    The slope of the penalised loss (with an L1 part, its distance from 0 over all
-    subgradients), relative to the mean size of the terms that it sums.
+        self.at, self.loss, self.halvings = self.trial, value, 0
+        self.iterations += 1
+        self.trial = self._minimum(self.at, hessian, score)
+        move = self.trial - self.at
+        gain = move @ hessian @ move
+        if gain <= max(self.spec.tol ** 2, 1e-20) * (abs(value) + 0.1):
+            self.at, self.done = self.trial, True
+        elif self.iterations >= self.spec.max_iter:
+            self.done = True
+
+    def _minimum(self, at: np.ndarray, hessian: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Where the penalised quadratic around ``at`` is least.
+
+        Columns are brought to one scale.  Directions without information (a constant
+        column, collinear columns) get the shortest solution.
+        """
+        a = hessian + self.spec.l2 * np.diag(self.penalised)
+        target = hessian @ at + score
+        size = np.sqrt(np.diag(a))
+        scale = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
+        a, target = a * np.outer(scale, scale), target * scale
+        if self.spec.l1 == 0:
+            return scale * (np.linalg.pinv(a, rcond=1e-12, hermitian=True) @ target)
+        limit = self.spec.l1 * self.penalised * scale
+        b = at * size
+        rest = target - a @ b
+        for _ in range(20_000):
+            most = 0.0
+            for j in np.flatnonzero(scale):
+                free = rest[j] + b[j]
+                new = math.copysign(max(abs(free) - limit[j], 0.0), free)
+                if new != b[j]:
+                    rest -= a[:, j] * (new - b[j])
+                    most, b[j] = max(most, abs(new - b[j])), new
+            if most <= 1e-13 * (1e-3 + np.abs(b).max()):
+                break
+        return scale * b
+
+    def result(self) -> GlmFit:
+        slopes = self.at[1:] if self.spec.fit_intercept else self.at
+        intercept = self.at[0] - self.center @ slopes if self.spec.fit_intercept else 0.0
+        return GlmFit(list(self.problem.features), [float(c) for c in slopes], float(intercept),
+                      self.spec.link_power, self.divisor, self.low if self.spec.floors else None,
+                      self.constant, self.iterations, float(self.loss))
+
+
+def fit_glms(df: DataFrame, problems: dict, y: str, w: str | None = None,
+             part: str | None = "part") -> dict:
+    """Fit any number of models together; the keys of ``problems`` name the fits.
+
+    Reweighted least squares.  A pass reads the rows once, whatever the number of parts and
+    models: each task sums the normal equations, the loss and the rows outside the link's domain
+    of every model that is not done yet, at the step that it tries; the sums are added by Spark
+    and the driver solves them (models x features^2 numbers).  A step is halved while it leaves
+    the domain or raises the penalised loss.  One more pass finds means and lowest targets, so
+    pass a stage table.
+
+    A null or NaN in a feature, target or weight and a part without rows are errors.
+    Collinear features share their effect; a constant one gets 0.
     """
-    mu = inverse_link(fit.linear(), fit.link_power)
-    wt = F.col(w).cast("double") if w else F.lit(1.0)
-    term = wt * (mu - F.col(y).cast("double") / fit.divisor) / (
-        F.pow(mu, F.lit(spec.variance_power)) * _link_slope(mu, fit.link_power))
-    of = {f: F.col(f"`{f}`").cast("double") for f in fit.features}
-    if spec.fit_intercept:
-        of["(constant)"] = F.lit(1.0)
-    row = df.agg(F.sum(wt), *[s for x in of.values()
-                              for s in (F.sum(term * x), F.sum(F.abs(term * x)))]).first()
+    names = sorted({f for p in problems.values() for f in p.features})
+    place = {f: i for i, f in enumerate(names)}
+    rows = df.select(
+        (F.lit("") if part is None else F.col(part).cast("string")).alias("part"),
+        F.col(y).cast("double").alias("y"),
+        (F.col(w).cast("double") if w else F.lit(1.0)).alias("w"),
+        *[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(names)])
+    rows = rows.where(F.col("part").isin(sorted({p.part for p in problems.values()})))
+    broken = F.lit(False)
+    for c in rows.columns[1:]:
+        broken = broken | F.col(c).isNull() | F.isnan(c)
+    facts = {r["part"]: r for r in rows.groupBy("part").agg(
+        F.avg("y").alias("mean"), F.min("y").alias("low"), F.sum("w").alias("sw"),
+        weighted_mean(F.col("y"), F.col("w")).alias("wmean"),
+        F.count_if(broken).alias("broken"),
+        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(names))]).collect()}
+    fits = {k: _Fitting(k, p, facts.get(p.part), [place[f] for f in p.features])
+            for k, p in problems.items()}
+    while todo := [f for f in fits.values() if not f.done]:
+        for fit, sums in zip(todo, _pass(rows, [f.told() for f in todo])):
+            fit.advance(sums)
+    return {k: f.result() for k, f in fits.items()}
+
+
+def _pass(rows: DataFrame, trials: list[_Trial]) -> list[np.ndarray]:
+    """The sums of every trial, from one scan."""
+    mine: dict[str, list[int]] = {}
+    for i, t in enumerate(trials):
+        mine.setdefault(t.part, []).append(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                code = batch.column(0).dictionary_encode()
+                values = np.column_stack([c.to_numpy(zero_copy_only=False)
+                                          for c in batch.columns[1:]])
+                at = code.indices.to_numpy(zero_copy_only=False)
+                for i, part in enumerate(code.dictionary.to_pylist()):
+                    own = values[at == i]
+                    for t in mine[part]:
+                        sums = trials[t].sums(own[:, 2:], own[:, 0], own[:, 1])
+                        total[t] = total[t] + sums if t in total else sums
+        for t, sums in total.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(sums), t, dtype=np.int32)),
+                 pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)],
+                names=["trial", "slot", "value"])
+
+    needed = rows.where(F.col("part").isin(list(mine)))
+    found = needed.mapInArrow(run, "trial int, slot int, value double").groupBy(
+        "trial", "slot").agg(F.sum("value").alias("value")).toArrow()
+    trial, slot, value = (found.column(c).to_numpy() for c in ("trial", "slot", "value"))
+    out = []
+    for t in range(len(trials)):
+        sums = np.zeros(np.count_nonzero(trial == t))
+        sums[slot[trial == t]] = value[trial == t]
+        out.append(sums)
+    return out
+
+
+def fit_glm(df: DataFrame, features: list[str], y: str, w: str | None = None,
+            spec: GlmSpec = GlmSpec()) -> GlmFit:
+    """One model on all rows of ``df``."""
+    return fit_glms(df, {"": Problem("", features, spec)}, y, w, part=None)[""]
+
+
+def _residuals(row, fit: GlmFit, spec: GlmSpec, place: dict[str, int]) -> dict[str, float]:
     penalised = dict(zip(fit.features, fit.coefficients))
     out = {}
-    for i, name in enumerate(of):
-        slope, size = row[2 * i + 1] / row[0], row[2 * i + 2] / row[0]
+    for name in [*fit.features, *(["(constant)"] if spec.fit_intercept else [])]:
+        slope, size = (row[f"{c}{place[name]}"] / row["sw"] for c in "st")
         coef = penalised.get(name, 0.0)
         l1 = spec.l1 if name in penalised else 0.0
-        slope += spec.l2 * coef
+        slope += spec.l2 * coef if name in penalised else 0.0
         left = abs(slope + math.copysign(l1, coef)) if coef else max(0.0, abs(slope) - l1)
         out[name] = left / size if size else left
     return out
@@ -309,11 +395,33 @@ class PartModels:
 
     def score_residuals(self, df: DataFrame, spec: GlmSpec, y: str, w: str | None = None
                         ) -> DataFrame:
-        """``score_residuals`` of every part and feature."""
-        left = for_parts(list(self.fits), lambda p: score_residuals(
-            df.where(F.col("part") == p), self.fits[p], spec, y, w))
-        rows = [(p, f, float(v)) for p, own in left.items() for f, v in own.items()]
-        return df.sparkSession.createDataFrame(rows, "part string, feature string, residual double")
+        """What is left of the optimality condition of each part's coefficients, 0 at the optimum.
+
+        The slope of the penalised loss (with an L1 part, its distance from 0 over all
+        subgradients), relative to the mean size of the terms that it sums.  One scan.
+        """
+        names = ["(constant)", *sorted({f for fit in self.fits.values() for f in fit.features})]
+        place = {f: i for i, f in enumerate(names)}
+        mu, divisor = F.lit(None).cast("double"), F.lit(1.0)
+        for part, fit in self.fits.items():
+            hit = F.col("part") == part
+            mu = F.when(hit, inverse_link(fit.linear(), fit.link_power)).otherwise(mu)
+            divisor = F.when(hit, F.lit(float(fit.divisor))).otherwise(divisor)
+        wt = F.col(w).cast("double") if w else F.lit(1.0)
+        rows = df.where(F.col("part").isin(list(self.fits))).select(
+            "part", wt.alias("w"), (F.col(y).cast("double") / divisor).alias("y"), mu.alias("mu"),
+            *[(F.col(f"`{f}`").cast("double") if i else F.lit(1.0)).alias(f"x{i}")
+              for i, f in enumerate(names)])
+        mu = F.col("mu")
+        term = F.col("w") * (mu - F.col("y")) / (
+            F.pow(mu, F.lit(spec.variance_power)) * _link_slope(mu, spec.link_power))
+        table = rows.withColumn("term", term).groupBy("part").agg(
+            F.sum("w").alias("sw"), *[s for i in range(len(names)) for s in (
+                F.sum(F.col("term") * F.col(f"x{i}")).alias(f"s{i}"),
+                F.sum(F.abs(F.col("term") * F.col(f"x{i}"))).alias(f"t{i}"))])
+        left = [(r["part"], f, float(v)) for r in table.collect()
+                for f, v in _residuals(r, self.fits[r["part"]], spec, place).items()]
+        return df.sparkSession.createDataFrame(left, "part string, feature string, residual double")
 
     def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
         """Scores of all parts as one expression; parts may use different features."""
@@ -331,9 +439,8 @@ def for_parts(parts: list[str], job, threads: int = 8) -> dict:
 
 
 def fit_parts(df: DataFrame, parts: list[str], features: list[str], y: str, w: str | None,
-              spec: GlmSpec, threads: int = 8) -> PartModels:
-    return PartModels(for_parts(parts, lambda p: fit_glm(
-        df.where(F.col("part") == p), features, y, w, spec), threads))
+              spec: GlmSpec) -> PartModels:
+    return PartModels(fit_glms(df, {p: Problem(p, features, spec) for p in parts}, y, w))
 
 
 def mean_predictor(df: DataFrame, by: list[str], y: str, w: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import no_model
 from ..functions.lookup import resolve
 from ..operators.boost import Booster, BoostSpec, fit_booster, fit_boosters, score_expression
-from ..operators.glm import GlmFit, GlmSpec, elastic_net_spec, fit_glm
+from ..operators.glm import GlmFit, GlmSpec, Problem, elastic_net_spec, fit_glm, fit_glms
 from ..session import stage
 
 
@@ -84,12 +84,13 @@ class ModelKind:
     """How to fit a model and which metric tunes it.
 
     ``fit_all``, where there is one, fits all parts together: it takes their rows, and features and
-    parameters by part.
+    parameters by part.  ``glm_spec`` is the GLM of some parameters.
     """
 
     fit: Callable[[DataFrame, list[str], dict], object]
     metric: str
     fit_all: Callable[[DataFrame, dict, dict], dict] | None = None
+    glm_spec: Callable[[dict], GlmSpec] | None = None
 
     def metric_of(self, params: dict) -> str:
         """The tuning metric; a Tweedie deviance takes the power that the model has."""
@@ -108,25 +109,32 @@ def _mean(df: DataFrame, features: list[str], params: dict) -> MeanModel:
     return MeanModel(row["m"])
 
 
-def _glm(base: GlmSpec):
+def _glm_kind(spec_of: Callable[[dict], GlmSpec], metric: str) -> ModelKind:
     def fit(df: DataFrame, features: list[str], params: dict) -> GlmModel:
-        return GlmModel(fit_glm(df, features, "y", "w", _known(base, params)))
-    return fit
+        return GlmModel(fit_glm(df, features, "y", "w", spec_of(params)))
 
+    def fit_all(df: DataFrame, features: dict, params: dict) -> dict:
+        problems = {p: Problem(p, names, spec_of(params[p])) for p, names in features.items()}
+        return {p: GlmModel(f) for p, f in fit_glms(df, problems, "y", "w").items()}
 
-def _ridge(base: GlmSpec):
-    def fit(df: DataFrame, features: list[str], params: dict) -> GlmModel:
-        spec = _known(replace(base, floor_at_min=False), {**params, "l2": params.get("alpha", 1.0)})
-        return GlmModel(fit_glm(df, features, "y", "w", spec))
-    return fit
+    return ModelKind(fit, metric, fit_all, spec_of)
 
 
-def _elastic(family: str):
-    def fit(df: DataFrame, features: list[str], params: dict) -> GlmModel:
+def _glm(base: GlmSpec, metric: str) -> ModelKind:
+    return _glm_kind(lambda params: _known(base, params), metric)
+
+
+def _ridge(base: GlmSpec, metric: str) -> ModelKind:
+    return _glm_kind(lambda params: _known(
+        replace(base, floor_at_min=False), {**params, "l2": params.get("alpha", 1.0)}), metric)
+
+
+def _elastic(family: str, metric: str) -> ModelKind:
+    def spec_of(params: dict) -> GlmSpec:
         spec = elastic_net_spec(family, params.get("alpha", 0.5), params.get("reg_lambda", 1e-4))
-        extra = {k: v for k, v in params.items() if k in ("fit_intercept", "max_iter", "tol")}
-        return GlmModel(fit_glm(df, features, "y", "w", _known(spec, extra)))
-    return fit
+        return _known(spec, {k: v for k, v in params.items()
+                             if k in ("fit_intercept", "max_iter", "tol")})
+    return _glm_kind(spec_of, metric)
 
 
 def _boost_spec(loss: str, params: dict) -> BoostSpec:
@@ -154,15 +162,15 @@ def _boost(loss: str) -> ModelKind:
 
 MODELS: dict[str, ModelKind] = {
     "mean": ModelKind(_mean, "RMSE"),
-    "gaussian_glm": ModelKind(_glm(GlmSpec("gaussian", "identity")), "RMSE"),
-    "poisson_glm": ModelKind(_glm(GlmSpec("poisson", "log")), "MPD"),
-    "gamma_glm": ModelKind(_glm(GlmSpec("gamma", "inverse")), "MGD"),
-    "tweedie_glm": ModelKind(_glm(GlmSpec("tweedie", "log", 1.5)), "CCGI"),
-    "ridge_poisson_glm": ModelKind(_ridge(GlmSpec("poisson", "log")), "MPD"),
-    "ridge_gamma_glm": ModelKind(_ridge(GlmSpec("gamma", "log")), "MGD"),
-    "ridge_tweedie_glm": ModelKind(_ridge(GlmSpec("tweedie", "log", 1.5)), "MTD(1.5)"),
-    "elastic_poisson_glm": ModelKind(_elastic("poisson"), "MPD"),
-    "elastic_gamma_glm": ModelKind(_elastic("gamma"), "MGD"),
+    "gaussian_glm": _glm(GlmSpec("gaussian", "identity"), "RMSE"),
+    "poisson_glm": _glm(GlmSpec("poisson", "log"), "MPD"),
+    "gamma_glm": _glm(GlmSpec("gamma", "inverse"), "MGD"),
+    "tweedie_glm": _glm(GlmSpec("tweedie", "log", 1.5), "CCGI"),
+    "ridge_poisson_glm": _ridge(GlmSpec("poisson", "log"), "MPD"),
+    "ridge_gamma_glm": _ridge(GlmSpec("gamma", "log"), "MGD"),
+    "ridge_tweedie_glm": _ridge(GlmSpec("tweedie", "log", 1.5), "MTD(1.5)"),
+    "elastic_poisson_glm": _elastic("poisson", "MPD"),
+    "elastic_gamma_glm": _elastic("gamma", "MGD"),
     "boosted_poisson": _boost("poisson"),
     "boosted_gamma": _boost("gamma"),
     "boosted_tweedie": _boost("tweedie"),

@@ -1,5 +1,7 @@
 """Fits against Newton's method in numpy on the same objective."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -180,3 +182,71 @@ def test_boosted_tweedie_has_a_default_power():
     assert BoostSpec("tweedie").variance_power == 1.5
     assert MODELS["boosted_tweedie"].metric_of({"power": 1.3}) == "MTD(1.3)"
     assert MODELS["boosted_tweedie"].metric_of({}) == "MTD(1.5)"
+
+
+def test_passes_do_not_grow_with_parts_and_models(data, monkeypatch):
+    """Parts, families and feature lists of one call share their passes and do not mix."""
+    pdf, df = data
+    passes = []
+    plain = glm._pass
+    monkeypatch.setattr(glm, "_pass", lambda rows, trials: passes.append(1) or plain(rows, trials))
+    rows = df.withColumn("part", (F.col("IDpol") % 5).cast("string"))
+    specs = {"plain": GlmSpec(), "ridge": GlmSpec(l2=0.1), "net": elastic_net_spec("poisson", 0.5, 0.06)}
+    problems = {(p, s): glm.Problem(p, NAMES if s != "plain" else ["x2", "x1"], spec)
+                for p in "01234" for s, spec in specs.items()}
+    together = glm.fit_glms(rows, problems, "count", "w")
+    shared = len(passes)
+    for part, name in [("0", "plain"), ("3", "ridge"), ("4", "net")]:
+        passes.clear()
+        alone = glm.fit_glms(rows, {0: problems[part, name]}, "count", "w")[0]
+        assert len(passes) <= shared <= 12
+        mine = together[part, name]
+        assert mine.features == alone.features
+        assert np.allclose([mine.intercept, *mine.coefficients],
+                           [alone.intercept, *alone.coefficients], atol=1e-9)
+    own = pdf[pdf.IDpol % 5 == 0]
+    want = newton(own[["x2", "x1"]].values, own["count"].values, own.w.values, 1.0, 0.0)
+    got = together["0", "plain"]
+    assert np.allclose([got.intercept, *got.coefficients], want, atol=1e-8)
+
+
+def test_residuals_of_all_parts(data):
+    _, df = data
+    rows = df.withColumn("part", (F.col("IDpol") % 2).cast("string"))
+    spec = elastic_net_spec("poisson", 0.5, 0.06)
+    models = glm.fit_parts(rows, ["0", "1"], NAMES, "count", "w", spec)
+    left = models.score_residuals(rows, spec, "count", "w").collect()
+    assert len(left) == 8 and all(abs(r.residual) < 1e-8 for r in left)
+    off = glm.PartModels({p: replace(f, coefficients=[c + 0.05 for c in f.coefficients])
+                          for p, f in models.fits.items()})
+    assert all(r.residual > 1e-3 for r in off.score_residuals(rows, spec, "count", "w").collect()
+               if r.feature == "x1")
+
+
+def test_columns_without_information(data):
+    """A constant column gets 0, equal columns share one effect."""
+    _, df = data
+    rows = df.select("count", "w", "x1", F.col("x1").alias("twin"), F.lit(7.0).alias("same"))
+    fit = fit_glm(rows, ["x1", "twin", "same"], "count", "w")
+    one = fit_glm(rows, ["x1"], "count", "w")
+    assert np.allclose(fit.coefficients, [one.coefficients[0] / 2] * 2 + [0.0], atol=1e-9)
+    assert abs(fit.intercept - one.intercept) < 1e-9
+
+
+def test_rows_that_cannot_be_fitted(data):
+    _, df = data
+    rows = df.withColumn("part", F.lit("0"))
+    with pytest.raises(ValueError, match="no rows"):
+        glm.fit_parts(rows, ["0", "9"], NAMES, "count", "w", GlmSpec())
+    for column, value in [("x1", None), ("count", float("nan")), ("w", None)]:
+        bad = rows.withColumn(column, F.when(F.col("IDpol") > 2, F.col(column)).otherwise(value))
+        with pytest.raises(ValueError, match="3 rows"):
+            fit_glm(bad, NAMES, "count", "w")
+
+
+def test_large_offsets_keep_precision(data):
+    """Features far from zero are centred before their products are summed."""
+    _, df = data
+    near = fit_glm(df, ["x1", "x2"], "count", "w")
+    far = fit_glm(df.withColumn("x1", F.col("x1") + 1e6), ["x1", "x2"], "count", "w")
+    assert np.allclose(far.coefficients, near.coefficients, atol=1e-7)
