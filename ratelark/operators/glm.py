@@ -278,7 +278,7 @@ class _Fitting:
 
 
 def fit_glms(df: DataFrame, problems: dict, y: str, w: str | None = None,
-             part: str | None = "part") -> dict:
+             part: str | None = "part", failed: dict | None = None) -> dict:
     """Fit any number of models together; the keys of ``problems`` name the fits.
 
     Reweighted least squares.  A pass reads the rows once, whatever the number of parts and
@@ -289,7 +289,8 @@ def fit_glms(df: DataFrame, problems: dict, y: str, w: str | None = None,
     pass a stage table.
 
     A null or NaN in a feature, target or weight and a part without rows are errors.
-    Collinear features share their effect; a constant one gets 0.
+    Collinear features share their effect; a constant one gets 0.  With ``failed`` given, the
+    error of a model goes there by key and the others are still fitted.
     """
     names = sorted({f for p in problems.values() for f in p.features})
     place = {f: i for i, f in enumerate(names)}
@@ -307,11 +308,23 @@ def fit_glms(df: DataFrame, problems: dict, y: str, w: str | None = None,
         weighted_mean(F.col("y"), F.col("w")).alias("wmean"),
         F.count_if(broken).alias("broken"),
         *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(names))]).collect()}
-    fits = {k: _Fitting(k, p, facts.get(p.part), [place[f] for f in p.features])
-            for k, p in problems.items()}
-    while todo := [f for f in fits.values() if not f.done]:
-        for fit, sums in zip(todo, _pass(rows, [f.told() for f in todo])):
-            fit.advance(sums)
+    fits: dict = {}
+
+    def attempt(key, step) -> None:
+        try:
+            step()
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError) as why:
+            if failed is None:
+                raise
+            failed[key] = why
+            fits.pop(key, None)
+
+    for k, p in problems.items():
+        attempt(k, lambda: fits.update({k: _Fitting(
+            k, p, facts.get(p.part), [place[f] for f in p.features])}))
+    while todo := [k for k, f in fits.items() if not f.done]:
+        for k, sums in zip(todo, _pass(rows, [fits[k].told() for k in todo])):
+            attempt(k, lambda: fits[k].advance(sums))
     return {k: f.result() for k, f in fits.items()}
 
 

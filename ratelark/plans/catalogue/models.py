@@ -12,6 +12,7 @@ from ..jobs import Run
 from ...config import (Calibration, Features, Job, Sampling, Split, Target, Tuning, Weighting)
 from ...functions.columns import rounded
 from ...operators import boost, glm
+from ...operators import candidates as cd
 from ...operators import features as ft
 from ...operators import metrics as m
 from ...operators import selection as sel
@@ -239,15 +240,11 @@ def random_search(spark, sf):
     rows = model_rows(spark, sf).withColumn("is_val", F.col("IDpol") % 4 == 0)
     tried = tn.candidates(tn.SPACES["ridge_glm"], 3, 7)
 
-    def evaluate(part, params, fold):
-        mine = rows.where(F.col("part") == part)
-        fit = glm.fit_glm(mine.where("NOT is_val"), NUMERIC, "y", "w",
-                          glm.GlmSpec("poisson", l2=params["alpha"]))
-        out = m.pointwise_metrics(mine.withColumn("pred", fit.predict()), ["is_val"], ["MPD"])
-        scores = {r["is_val"]: r["MPD"] for r in out.collect()}
-        return scores[False], scores[True]
+    def together(tasks):
+        return cd.glm_trials(rows, {t: glm.Problem(t[0], NUMERIC, glm.GlmSpec(
+            "poisson", l2=tried[t[1]]["alpha"])) for t in tasks}, dict.fromkeys(tasks, "MPD"))
 
-    scores = tn.run_trials(spark, PARTS, tried, 1, evaluate, False)
+    scores = tn.run_trials(spark, PARTS, tried, 1, None, False, together=together)
     return tn.best_parameters(spark, tn.best_trials(tn.trial_losses(scores, False)), tried)
 
 
