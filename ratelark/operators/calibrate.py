@@ -19,6 +19,7 @@ from ..session import stage
 from .glm import GlmSpec, PartModels, fit_parts
 from .groups import quantile_edges
 from .isotonic import interpolated, isotonic_blocks
+from .local_moments import GAUSSIAN, TRICUBE, Kernel, kernel_moments
 from .ordered import (derived, hot_join, nearest_value, ordered_prefix, plain_zero, tie_hash,
                       value_neighbours)
 
@@ -149,23 +150,7 @@ class Isotonic:
         return replace(self, table=stage(knots.select("part", "pred", OUT), "isotonic"))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        n = self.table.count()
-        x = plain_zero(F.col("pred"))
-        if n <= KNOTS_SENT:
-            knot = F.struct(F.col("pred").alias("at"), F.col(OUT).alias("v"))
-            curves = self.table.groupBy("part").agg(F.sort_array(F.collect_list(knot)).alias("_knots"))
-            rows = df.join(F.broadcast(curves), "part", "left").withColumn(
-                "_at", sorted_place(x, F.col("_knots.at"), n))
-            value = interpolated(x, F.get("_knots", F.col("_at") - 1), F.get("_knots", F.col("_at")))
-            return rows.select(*df.columns, F.when(F.col("_knots").isNull(), no_model())
-                               .otherwise(value).alias(OUT))
-        rows = df.withColumn("_p", x)
-        found = value_neighbours(rows.select("part", F.col("_p").alias("pred")), self.table, ["part"],
-                                 "pred", OUT, self.rows_per_bucket)
-        value = F.when(F.col("prev").isNull() & F.col("next").isNull(), no_model()).otherwise(
-            interpolated(F.col("pred"), F.col("prev"), F.col("next")))
-        looked = stage(found.select("part", F.col("pred").alias("_p"), value.alias(OUT)), "isotonic_at")
-        return hot_join(rows, looked, ["part", "_p"]).select(*df.columns, OUT)
+        return on_knots(df, self.table, self.rows_per_bucket, KNOTS_SENT)
 
 
 @dataclass(frozen=True)
@@ -242,21 +227,22 @@ class LocalMean:
 
     A GLM with nothing but an intercept estimates its weighted mean, for every
     family and link, so no model is fitted.  Rectangular and triangular kernels
-    are differences of running sums, exact at every distinct prediction.  The
-    Gaussian one is evaluated at ``nodes`` quantile nodes (at every distinct
-    prediction when there are fewer).
+    are differences of running sums, the Gaussian one is summed from moments of
+    cells (its series ends below 2.7e-10 of a weight); all are evaluated at every
+    distinct prediction.  With ``nodes`` the Gaussian one is only evaluated at so
+    many evenly spaced ones, and a prediction takes the nearest.
     """
 
     frac: float = 0.2
     kernel: str = "gaussian"
-    nodes: int = 200
+    nodes: int | None = None
     rows_per_bucket: float | None = None
     table: DataFrame | None = None
 
     def fit(self, df: DataFrame, parts: list[str]) -> "LocalMean":
         ranked = stage(_ranked_xy(df, self.rows_per_bucket), "local")
         if self.kernel == "gaussian":
-            curve = self._by_nodes(df, ranked)
+            curve = self._by_moments(df, ranked)
         else:
             curve = self._by_sums(ranked)
         return LocalMean(self.frac, self.kernel, self.nodes, self.rows_per_bucket,
@@ -297,13 +283,10 @@ class LocalMean:
             value = F.coalesce(value, ratio(flat("cwy"), flat("cw")))
         return rows.select("part", F.col("c").alias("pred"), value.alias(OUT))
 
-    def _by_nodes(self, df: DataFrame, ranked: DataFrame) -> DataFrame:
-        nodes = quantile_nodes(df, self.nodes, self.rows_per_bucket)
-        win = nearest_windows(ranked, nodes, ["part"], self.frac, self.rows_per_bucket)
-        near = _rows_in_windows(ranked, win)
-        kernel = kernel_weight(F.abs(F.col("x") - F.col("c")), F.col("h"), self.kernel) * F.col("w")
-        return near.groupBy("part", F.col("c").alias("pred")).agg(
-            weighted_mean(F.col("y"), kernel).alias(OUT))
+    def _by_moments(self, df: DataFrame, ranked: DataFrame) -> DataFrame:
+        sums = windows_of(df, ranked, self.frac, self.nodes, GAUSSIAN, 0, self.rows_per_bucket)
+        return sums.select("part", F.col("c").alias("pred"),
+                           ratio(F.col("t0"), F.col("s0")).alias(OUT))
 
     def transform(self, df: DataFrame) -> DataFrame:
         rows = df.withColumn("_p", plain_zero(F.col("pred")))
@@ -325,22 +308,30 @@ def quantile_nodes(df: DataFrame, nodes: int, rows_per_bucket: float | None = No
     return ranked.where((F.col("r") == 1) | (here > before)).select("part", "c")
 
 
-def _rows_in_windows(ranked: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows inside each window; ``windows`` has one row per part and node (a few hundred)."""
-    small = F.broadcast(windows.select("part", "c", "lo", "hi", "h"))
-    return ranked.join(small, "part").where(F.col("rank").between(F.col("lo"), F.col("hi")))
+def windows_of(df: DataFrame, ranked: DataFrame, share: float, nodes: int | None, kernel: Kernel,
+               highest: int, rows_per_bucket: float | None = None) -> DataFrame:
+    """Kernel-weighted moments of the nearest ``share`` of rows, at every distinct prediction or
+    at ``nodes`` of them."""
+    centers = (ranked.select("part", F.col("x").alias("c")).distinct() if nodes is None
+               else quantile_nodes(df, nodes, rows_per_bucket))
+    before = {"cw_a": F.col("cw") - F.col("w"), "cwy_a": F.col("cwy") - F.col("wy")}
+    through = {"cw_b": F.col("cw"), "cwy_b": F.col("cwy")}
+    windows = nearest_windows(ranked, centers, ["part"], share, rows_per_bucket, before, through)
+    return kernel_moments(ranked, windows, kernel, highest, rows_per_bucket)
 
 
 @dataclass(frozen=True)
 class LocalPolynomial:
-    """Tricube-weighted local polynomial (degree 0 to 2) at quantile nodes, linear in between.
+    """Tricube-weighted local polynomial (degree 0 to 2), linear between the places of the fit.
 
-    Halving the node spacing bounds the interpolation error.
+    It is fitted at every distinct prediction, from moments of cells; with
+    ``nodes`` at so many evenly spaced ones.  The fitted curve is a table of
+    knots ``(part, pred, calibrated)``.
     """
 
     span: float = 0.5
     degree: int = 2
-    nodes: int = 101
+    nodes: int | None = None
     rows_per_bucket: float | None = None
     table: DataFrame | None = None
 
@@ -348,47 +339,56 @@ class LocalPolynomial:
         if self.degree not in (0, 1, 2) or not 0 < self.span <= 1:
             raise ValueError("degree must be 0, 1 or 2 and span in (0, 1]")
         ranked = stage(_ranked_xy(df, self.rows_per_bucket), "loess")
-        nodes = quantile_nodes(df, self.nodes, self.rows_per_bucket)
-        win = nearest_windows(ranked, nodes, ["part"], self.span, self.rows_per_bucket)
-        d = (F.col("x") - F.col("c")) / F.when(F.col("h") > 0, F.col("h")).otherwise(F.lit(1.0))
-        u = F.abs(d)
-        wt = F.when(F.col("h") > 0, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(1.0)) * F.col("w")
-        near = _rows_in_windows(ranked, win)
-        moments = near.groupBy("part", "c").agg(
-            *[F.sum(wt * F.pow(d, F.lit(i))).alias(f"s{i}") for i in range(5)],
-            *[F.sum(wt * F.pow(d, F.lit(i)) * F.col("y")).alias(f"t{i}") for i in range(3)])
-        curve = moments.select("part", "c", self._solve().alias("v"))
-        knots = curve.groupBy("part").agg(
-            F.array_sort(F.collect_list(F.struct("c", "v"))).alias("knots"))
-        return LocalPolynomial(self.span, self.degree, self.nodes, self.rows_per_bucket,
-                               stage(knots, "loess_knots"))
+        sums = windows_of(df, ranked, self.span, self.nodes, TRICUBE, self.degree,
+                          self.rows_per_bucket)
+        curve = sums.select("part", F.col("c").alias("pred"), self._solve().alias(OUT))
+        return replace(self, table=stage(curve, "loess_knots"))
 
     def _solve(self):
         """Value at the node: the constant term of the weighted normal equations."""
-        s = [F.col(f"s{i}") for i in range(5)]
-        t = [F.col(f"t{i}") for i in range(3)]
+        s = [F.col(f"s{i}") for i in range(2 * self.degree + 1)]
+        t = [F.col(f"t{i}") for i in range(self.degree + 1)]
         flat = ratio(t[0], s[0])
+        if self.degree == 0:
+            return flat
         det1 = s[0] * s[2] - s[1] * s[1]
         line = F.when(det1 > 1e-12 * s[0] * s[0], (t[0] * s[2] - t[1] * s[1]) / det1)
+        if self.degree == 1:
+            return F.coalesce(line, flat)
         det2 = (s[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (s[1] * s[4] - s[2] * s[3])
                 + s[2] * (s[1] * s[3] - s[2] * s[2]))
         top = (t[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (t[1] * s[4] - t[2] * s[3])
                + s[2] * (t[1] * s[3] - t[2] * s[2]))
         bow = F.when(det2 > 1e-12 * s[0] * s[0] * s[0], top / det2)
-        return {0: flat, 1: F.coalesce(line, flat), 2: F.coalesce(bow, line, flat)}[self.degree]
+        return F.coalesce(bow, line, flat)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        rows = df.join(F.broadcast(self.table), "part", "left")
-        n = F.size("knots")
-        x = F.greatest(F.col("knots")[0]["c"], F.least(F.element_at("knots", -1)["c"],
-                                                       F.col("pred")))
-        i = F.size(F.filter("knots", lambda k: k["c"] <= x))
-        a = F.element_at("knots", F.greatest(i, F.lit(1)))
-        b = F.element_at("knots", F.least(i + 1, n))
-        value = F.when(b["c"] > a["c"], a["v"] + (x - a["c"]) / (b["c"] - a["c"])
-                       * (b["v"] - a["v"])).otherwise(a["v"])
-        return rows.select(*df.columns, F.when(F.col("knots").isNull(), no_model())
+        return on_knots(df, self.table, self.rows_per_bucket)
+
+
+def on_knots(df: DataFrame, table: DataFrame, rows_per_bucket: float | None = None,
+             sent: int = 0) -> DataFrame:
+    """The curve through the knots ``(part, pred, calibrated)`` at each prediction, level beyond
+    its ends.  Up to ``sent`` knots are sent to every task, more are merged with the rows."""
+    n = table.count()
+    x = plain_zero(F.col("pred"))
+    if n <= sent:
+        knot = F.struct(F.col("pred").alias("at"), F.col(OUT).alias("v"))
+        curves = table.groupBy("part").agg(F.sort_array(F.collect_list(knot)).alias("_knots"))
+        # a column of its own, so that the places are not taken out of the knots for every row
+        curves = curves.withColumn("_places", F.col("_knots.at"))
+        rows = df.join(F.broadcast(curves), "part", "left").withColumn(
+            "_at", sorted_place(x, F.col("_places"), n))
+        value = interpolated(x, F.get("_knots", F.col("_at") - 1), F.get("_knots", F.col("_at")))
+        return rows.select(*df.columns, F.when(F.col("_knots").isNull(), no_model())
                            .otherwise(value).alias(OUT))
+    rows = df.withColumn("_p", x)
+    found = value_neighbours(rows.select("part", F.col("_p").alias("pred")), table, ["part"],
+                             "pred", OUT, rows_per_bucket)
+    value = F.when(F.col("prev").isNull() & F.col("next").isNull(), no_model()).otherwise(
+        interpolated(F.col("pred"), F.col("prev"), F.col("next")))
+    looked = stage(found.select("part", F.col("pred").alias("_p"), value.alias(OUT)), "knots_at")
+    return hot_join(rows, looked, ["part", "_p"]).select(*df.columns, OUT)
 
 
 # --- totals ---------------------------------------------------------------------------

@@ -103,14 +103,15 @@ wd AS (SELECT wi.part, c, lo, hi, abs(pred - c) AS d, pred - c AS sd, w, y,
 
 
 def local_mean_query(kernel, weight):
-    @query(f"calib_moving_mean_{kernel}", f"""WITH {o.predictions('pred_tied')}, {window_sql(0.2)},
+    for suffix, rows in (("", "pred_tied"), ("_unique", "pred_unique")):
+        @query(f"calib_moving_mean_{kernel}{suffix}",
+               f"""WITH {o.predictions(rows)}, {window_sql(0.2)},
 kw AS (SELECT *, w * CASE WHEN h > 0 THEN {weight} ELSE 1 END AS kw FROM wd),
 v AS (SELECT part, c, sum(kw * y) / sum(kw) AS v FROM kw GROUP BY part, c)
 SELECT t.part, IDpol, round(v, 6) AS calibrated
 FROM t JOIN v ON t.part = v.part AND t.pred = v.c""")
-    def run(spark, sf):
-        return calibrated(spark, sf, cal.LocalMean(0.2, kernel))
-    return run
+        def run(spark, sf, rows=rows):
+            return calibrated(spark, sf, cal.LocalMean(0.2, kernel), pred=rows)
 
 
 local_mean_query("rectangular", "1")
@@ -118,7 +119,8 @@ local_mean_query("triangular", "greatest(0, 1 - d / h)")
 local_mean_query("gaussian", "exp(-0.5 * (d / h) * (d / h))")
 
 
-@query("loess", f"""WITH {o.predictions('pred_tied')}, {window_sql(0.5)},
+def loess_query(name, rows, model, digits):
+    @query(name, f"""WITH {o.predictions(rows)}, {window_sql(0.5)},
 kw AS (SELECT part, c, y, sd / (CASE WHEN h > 0 THEN h ELSE 1 END) AS u,
          w * CASE WHEN h > 0 THEN pow(1 - pow(d / h, 3), 3) ELSE 1 END AS kw FROM wd),
 s AS (SELECT part, c, sum(kw) AS s0, sum(kw * u) AS s1, sum(kw * u * u) AS s2,
@@ -129,10 +131,16 @@ d AS (SELECT *, s0 * s2 - s1 * s1 AS d1, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s
 v AS (SELECT part, c, CASE WHEN d2 > 1e-12 * s0 * s0 * s0
           THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / d2
         WHEN d1 > 1e-12 * s0 * s0 THEN (t0 * s2 - t1 * s1) / d1 ELSE t0 / s0 END AS v FROM d)
-SELECT t.part, IDpol, round(v, 6) AS calibrated
+SELECT t.part, IDpol, round(v, {digits}) AS calibrated
 FROM t JOIN v ON t.part = v.part AND t.pred = v.c""")
-def loess(spark, sf):
-    return calibrated(spark, sf, cal.LocalPolynomial(0.5, 2, nodes=200))
+    def run(spark, sf):
+        return calibrated(spark, sf, model, digits, pred=rows)
+    return run
+
+
+loess_query("loess", "pred_tied", cal.LocalPolynomial(0.5, 2, nodes=200), 6)
+# many values: four digits, so that float noise (2e-8 at most here) does not decide ties of the last
+loess_query("loess_unique", "pred_unique", cal.LocalPolynomial(), 4)
 
 
 def isotonic_sql(rows: str = "t") -> str:

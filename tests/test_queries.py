@@ -9,7 +9,8 @@ SMALL = ["area_rating", "ordered_rows", "cc_segments", "cc_mean_curve", "cumul_c
          "spearman_weighted", "abc_sdcl", "group_stats", "auto_calibration", "fold_labels_block",
          "quantile_split", "split_distribution", "calib_tail_pool", "calib_bin_means", "scale_robust",
          "category_reduce", "one_hot", "best_trials", "glm_areas_gamma_inverse", "isotonic",
-         "isotonic_tails", "isotonic_unique", "centered_isotonic_unique", "isotonic_tails_unique"]
+         "isotonic_tails", "isotonic_unique", "centered_isotonic_unique", "isotonic_tails_unique",
+         "loess_unique", "calib_moving_mean_gaussian_unique"]
 
 
 def plain(value):
