@@ -139,7 +139,8 @@ FROM t JOIN v ON t.part = v.part AND t.pred = v.c""")
 
 
 loess_query("loess", "pred_tied", cal.LocalPolynomial(0.5, 2, nodes=200), 6)
-# many values: four digits, so that float noise (2e-8 at most here) does not decide ties of the last
+# many values, some of windows near the limit of det2: four digits, so that float noise there (2e-8
+# at sf0.01, 1e-5 at sf0.001) seldom decides the last
 loess_query("loess_unique", "pred_unique", cal.LocalPolynomial(), 4)
 
 
