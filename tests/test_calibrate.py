@@ -136,3 +136,28 @@ def test_glm_calibration(data, name, params):
     assert out.where("calibrated IS NULL OR calibrated < 0").count() == 0
     final = cal.prediction_columns(out)
     assert {"pure_pred", "calibrated_pred", "pred"} <= set(final.columns)
+
+
+@pytest.mark.parametrize("kernel", ["rectangular", "triangular"])
+def test_windows_come_from_the_merge(data, monkeypatch, kernel):
+    """No centre looks up the ends of its window by rank, however many centres share them."""
+    _, df = data
+
+    def refused(*args, **kw):
+        raise AssertionError("joined by rank")
+
+    monkeypatch.setattr(cal, "hot_join", refused)
+    assert cal.LocalMean(0.15, kernel, rows_per_bucket=40).fit(df, PARTS).table.count() > 0
+
+
+def test_predictions_between_the_entries(data, spark):
+    """Entries are met by value; the rest takes the nearest one."""
+    _, df = data
+    model = cal.LocalMean(0.2, "rectangular").fit(df, PARTS)
+    known = model.table.where("part = '0'").orderBy("pred").limit(2).collect()
+    low, high = known[0], known[1]
+    new = spark.createDataFrame(
+        [("0", 1, low.pred), ("0", 2, low.pred + 0.9 * (high.pred - low.pred))],
+        "part string, IDpol long, pred double")
+    assert {r.IDpol: r.calibrated for r in model.transform(new).collect()} == {
+        1: low.calibrated, 2: high.calibrated}

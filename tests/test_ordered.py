@@ -115,3 +115,15 @@ def test_splits_are_increasing(values):
     edges = sorted(values)
     assert [k for k, _ in groupby(edges)] == sorted(set(values))
     assert Buckets().single
+
+
+@pytest.mark.parametrize("size", [7, None])
+def test_following_value_crosses_buckets(spark, size):
+    import pyspark.sql.functions as F
+    df = spark.range(60).select((F.col("id") % 2).cast("string").alias("part"), "id",
+                                (F.col("id") % 19).cast("double").alias("x"),
+                                tie_hash("id").alias("tie"))
+    rows = ordered_prefix(df, ["part"], "x", "tie", rows_per_bucket=size, following="next").collect()
+    for part in "01":
+        mine = sorted((r.rank, r.x, r.next) for r in rows if r.part == part)
+        assert [r[2] for r in mine] == [r[1] for r in mine[1:]] + [None]
