@@ -149,3 +149,42 @@ def test_tuned_run_with_folds(spark, sf, tmp_path):
     assert store.read("trials").count() == 2 * 2 * 2 * 2
     assert store.read("hyper_parameters").where("param = 'alpha'").count() == 2
     assert set(run.fitted.models) == {"0", "1"}
+
+
+def test_sources_are_read_once_and_scores_need_two_joins(spark, tmp_path, capsys):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(key):
+        seen.add(1)
+        return key
+
+    n = 60
+    look = F.udf(look, "long").asNondeterministic()
+    policies = spark.range(n).select(
+        look("id").alias("IDpol"), (F.col("id") % 3).alias("ClaimNb"),
+        (F.col("id") % 4 / 4).alias("Exposure"), (20 + F.col("id") % 50).alias("DrivAge"))
+    claims = spark.range(n).select((F.col("id") % 20).alias("IDpol"),
+                                   F.lit(10.0).alias("ClaimAmount"))
+    job = Job(target=Target.FREQUENCY, model="poisson_glm",
+              split=Split(cv_folds=2, shared_train_calib=True),
+              features=Features(numeric_imputer="median", polynomial_degree=2),
+              calibration=Calibration(enabled=False))
+    run = Run(job, StageStore(spark, str(tmp_path)))
+    run.run(policies, claims, stop="preprocess")
+    assert seen.value == n
+    assert run.store.read("features").count() == run.store.read("targets").count() == 45
+    run.run(start="split", stop="model")
+    assert run.fitted.features.columns == ["DrivAge", "DrivAge^2"]
+    keys = spark.createDataFrame([("a", "0", 1), ("b", "0", 1), ("a", "1", 2), ("a", "1", 0)],
+                                 "dataset string, part string, IDpol long")
+    scored = run.predict(keys)
+    capsys.readouterr()
+    scored.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("HashJoin") + plan.count("SortMergeJoin") == 2
+    out = {(r.dataset, r.part, r.IDpol): r for r in scored.collect()}
+    assert set(out) == {("a", "0", 1), ("b", "0", 1), ("a", "1", 2)}
+    assert out["a", "0", 1].pred == out["b", "0", 1].pred and out["a", "1", 2].y == 4.0
+    twice = policies.where("IDpol < 5").union(policies.where("Exposure = 0"))
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        run.preprocess(twice, claims)

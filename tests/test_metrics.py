@@ -107,3 +107,41 @@ def test_crossings_lie_on_the_diagonal(data):
     cut = sides.where("piece = 1")
     assert cut.where("abs(x0 - y0) > 1e-12").count() == 0
     assert sides.where("side = 'under' AND y0 + y1 < x0 + x1").count() == 0
+
+
+@pytest.mark.parametrize("size", [40, None])
+def test_rank_correlation_shares_the_order_of_predictions(data, spark, monkeypatch, size):
+    pdf, df = data
+    sorts = []
+
+    def counted(frame, by, value, *args, _run=m.ordered_prefix, **kw):
+        sorts.append(value)
+        return _run(frame, by, value, *args, **kw)
+
+    monkeypatch.setattr(m, "ordered_prefix", counted)
+    monkeypatch.setattr(cv, "ordered_prefix", counted)
+    hole = F.col("IDpol") % 7 == 3
+    holes = df.withColumns({"y": F.when(~hole, F.col("y")),
+                            "part": F.when(F.col("IDpol") % 31 != 5, F.col("part"))})
+    got = {r.part: r.value for r in m.evaluate(holes, BY, ["SC", "CCGI"], rows_per_bucket=size)
+           .where("metric = 'SC' AND value IS NOT NULL").collect()}
+    # targets, predictions, and targets again for the best order
+    assert len(sorts) == 3
+    alone = {r.part: r.SC for r in m.weighted_spearman(holes, BY, rows_per_bucket=size).collect()}
+    assert alone == pytest.approx(got) and None not in alone
+
+    def mid_rank(v, w):
+        w = np.asarray(w)
+        n = np.array([(v == a).sum() for a in v])
+        below = np.array([w[v < a].sum() for a in v])
+        same = np.array([w[v == a].sum() for a in v])
+        return below + (n + 1) / 2 * same / n
+
+    for part, g in pdf[pdf.IDpol % 31 != 5].groupby("part"):
+        empty = (g.IDpol % 7 == 3).to_numpy()
+        # rows without a target come first in the order of targets and do not count in the sums
+        ry = mid_rank(np.where(empty, -1.0, g.y.to_numpy()), g.w)
+        rx = mid_rank(g.pred.to_numpy(), g.w)
+        rx, ry, w = rx[~empty], ry[~empty], g.w.to_numpy()[~empty]
+        cov = np.cov(rx, ry, aweights=w, ddof=0)
+        assert got[part] == pytest.approx(cov[0, 1] / np.sqrt(cov[0, 0] * cov[1, 1]))
