@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_folder, stage
+from ..session import new_folder
 
 U64 = np.uint64
 #: An odd multiplier; its powers modulo 2**64 are the weights of the polynomial hashes.
@@ -160,28 +160,31 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     nothing changes, so neither links nor components reach the driver or one task.  A
     node's smallest neighbour is a partial aggregate; the join that hands it to the
     neighbours is one that adaptive execution can split at a hot node.  Only nodes of
-    ``edges`` are returned.  Null ends and loops are ignored.
+    ``edges`` are returned.  Null ends and loops are ignored.  Only the last table is kept.
     """
-    now = stage(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
-                .where("u is not null and v is not null and u != v")
-                .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                .distinct(), "edges")
-    mark = None
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.stage(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
+                        .where("u is not null and v is not null and u != v")
+                        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                        .distinct(), "links-0")
+    mark, turn = None, 0
     while True:
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark or new[0] == 0:
             break
-        mark = new
+        mark, turn = new, turn + 1
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.where("v > u").join(least, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-        large = stage(large, "large-star")
+        large = scratch.stage(large, f"large-star-{turn}")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(down.select("u", F.col("m").alias("v")))
                  .where("u != v").distinct())
-        now = stage(small, "small-star")
+        scratch.drop(f"links-{turn - 1}")
+        now = scratch.stage(small, f"links-{turn}")
+        scratch.drop(f"large-star-{turn}")
     stars = now.groupBy("u").agg(F.min("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).distinct()
     return (stars.select(F.col("u").alias("node"), "component")

@@ -175,3 +175,74 @@ def test_copies_and_skew(table):
         one = rng.normal(size=8)
         rows += [(i, one.tolist()), (i + 1, (one + 0.01 * rng.normal(size=8)).tolist())]
     assert run(table(rows)) == brute(rows)
+
+
+def test_graphs_are_not_shuffled_and_tables_are_dropped(spark, table, monkeypatch):
+    """Pairs of shards are read from the files; of the tables only those of the result stay."""
+    plans, made = {}, []
+
+    class Watched(module.Scratch):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+        def stage(self, df, name):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().stage(df, name)
+
+    monkeypatch.setattr(module, "Scratch", Watched)
+    before = {k: spark.conf.get(k, None) for k in module.APART}
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(40, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + 0.01]))]
+    rows += [(100 + i, v[:3]) for i, v in rows]
+    assert run(table(rows)) == brute(rows)
+    assert "CartesianProduct" in plans["answers"] and "Exchange" not in plans["answers"]
+    assert set(made[0].tables) == {"nodes", "answers"}
+    assert {k: spark.conf.get(k, None) for k in module.APART} == before
+
+
+def test_shards_have_cells_of_their_own():
+    mb = 1 << 20
+    shards, first, cells = module.deal({64: mb, 32: 1000, 2: 1000})     # 512 MB and little more
+    assert shards == {64: 16, 32: 8, 2: 8} and cells == 17
+    assert first[64] == 0 and sorted(first.values()) == [0, 16, 24]
+    assert module.deal({64: 500}) == ({64: 8}, {64: 0}, 8)
+    assert module.deal({2: mb})[0] == {2: 8} and module.deal({1: 2 * mb})[0] == {1: 16}
+
+
+def test_shard_packs_single_precision_as_it_came():
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(500, 16)).astype(np.float32)
+    exact = module.unit(plain)
+    graph, order = SmallWorld.build(exact)
+    ids, row = np.arange(500) * 3, np.arange(500)[::-1].copy()
+    shard = Shard(ids, exact[order], graph, ids, np.argsort(order), row, plain[order])
+    raw = shard.pack()
+    assert len(raw) < len(Shard(ids, exact[order], graph, ids, np.argsort(order), row).pack())
+    again = Shard.unpack(raw)
+    assert (again.exact == exact[order]).all() and (again.row == row).all()
+    parts = list(again.blocks())
+    assert len(parts) == 1 and (parts[0][0] == row).all() and (parts[0][3] == again.at).all()
+
+
+def test_blocks_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(module, "BLOCK", 7)
+    rng = np.random.default_rng(9)
+    x = module.unit(rng.normal(size=(30, 4)))
+    at = rng.integers(0, 30, 90)
+    shard = Shard(np.arange(90), x, SmallWorld(x.astype(np.float32), []), np.arange(90), at)
+    parts = list(shard.blocks())
+    assert len(parts) == 5 and sorted(np.concatenate([p[0] for p in parts])) == list(range(90))
+    for row, ids, labels, place, exact in parts:
+        assert (row == ids).all() and (labels == ids).all()
+        assert (exact[place] == x[at[row]]).all()
+
+
+def test_components_keep_only_their_last_table(spark, tmp_path, monkeypatch):
+    from ratelark.llm import common
+    monkeypatch.setattr(common, "new_folder", lambda spark, name: str(tmp_path / name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 51)], "u long, v long")
+    got = {r["node"]: r["component"] for r in common.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 50: 50, 51: 50}
+    assert len(list((tmp_path / "components").iterdir())) == 1
