@@ -188,3 +188,48 @@ def test_sources_are_read_once_and_scores_need_two_joins(spark, tmp_path, capsys
     twice = policies.where("IDpol < 5").union(policies.where("Exposure = 0"))
     with pytest.raises(ValueError, match="occurs 2 times"):
         run.preprocess(twice, claims)
+
+
+def test_a_run_leaves_only_its_store_and_calibrator(spark, sf, tmp_path, monkeypatch):
+    from ratelark import session
+    from ratelark.operators import ordered
+    monkeypatch.setattr(session, "shared_root", lambda spark: str(tmp_path))
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 200)
+    job = Job(target=Target.FREQUENCY, model="poisson_glm",
+              split=Split(cv_folds=2, shared_train_calib=True),
+              features=Features(custom=("log_density",), scaler="standard", drop_first=True),
+              calibration=Calibration(model="equal_bins_means", rebalance="scale"))
+    run = Run(job, StageStore(spark, str(tmp_path / "store")))
+    run.run(policies_view(spark, sf).drop("part"), claims_view(spark, sf), stop="test")
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "ratelark").iterdir()}
+    assert left == {"bin_means", "rebalance"}
+    values = {(r.dataset, r.prefix, r.part, r.metric): r.value
+              for r in run.store.read_metrics()[0].collect()}
+    assert all(v is not None and math.isfinite(v) for k, v in values.items() if k[0] != "calib")
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 10 ** 9)
+    again, _ = recompute_metrics(run.store, job)
+    whole = {(r.dataset, r.prefix, r.part, r.metric): r.value for r in again.collect()}
+    assert whole.keys() == values.keys()
+    assert all(abs(whole[k] - v) < 1e-9 for k, v in values.items() if v is not None)
+
+
+def test_stage_tables_pass(spark, tmp_path, monkeypatch):
+    from ratelark import session
+    monkeypatch.setattr(session, "shared_root", lambda spark: str(tmp_path))
+
+    def left():
+        return {p.name.rsplit("-", 1)[0] for p in (tmp_path / "ratelark").iterdir()}
+    df = spark.range(3)
+    session.stage(df, "before")
+    with pytest.raises(ZeroDivisionError), session.passing(spark):
+        session.stage(df, "a")
+        with session.passing(spark):
+            session.stage(df, "b")
+            with session.outer():
+                session.stage(df, "c")
+            assert left() == {"before", "a", "b", "c"}
+        assert left() == {"before", "a", "c"}
+        with session.outer():
+            kept = session.stage(df, "d")
+        raise ZeroDivisionError
+    assert left() == {"before", "d"} and kept.count() == 3

@@ -127,3 +127,30 @@ def test_following_value_crosses_buckets(spark, size):
     for part in "01":
         mine = sorted((r.rank, r.x, r.next) for r in rows if r.part == part)
         assert [r[2] for r in mine] == [r[1] for r in mine[1:]] + [None]
+
+
+def test_late_columns_are_not_shuffled(spark, capsys):
+    """Rows meet one shuffle, which carries neither hash nor products; heavy values stay cut."""
+    from ratelark.operators.ordered import ordered_prefix, tie_hash
+    for share in (1, 3):                     # without and with a value that fills several buckets
+        df = spark.range(900).select(
+            F.col("id").alias("k"), (F.col("id") % 2).cast("string").alias("g"),
+            F.when(F.col("id") % 3 < share, F.col("id") / 7).otherwise(F.lit(5.0)).alias("v"),
+            (F.col("id") % 11).cast("double").alias("w"))
+        late = {"t": tie_hash("k"), "wv": F.col("w") * F.col("v")}
+        kw = dict(sums={"c": "wv"}, totals={"all": "wv"}, count="n", rows_per_bucket=50, key="k")
+        want = ordered_prefix(df.withColumns(late), ["g"], "v", "t", **kw)
+        got = ordered_prefix(df, ["g"], "v", "t", late=late, **kw)
+        assert got.columns == want.columns
+        rows = [{r.k: r for r in x.collect()} for x in (got, want)]
+        assert rows[0].keys() == rows[1].keys() and all(
+            r.t == rows[1][k].t and r["rank"] == rows[1][k]["rank"] and r.n == 450
+            and abs(r.c - rows[1][k].c) < 1e-6 and abs(r["all"] - rows[1][k]["all"]) < 1e-6
+            for k, r in rows[0].items())
+        capsys.readouterr()
+        got.drop("t").explain()
+        plan = capsys.readouterr().out.splitlines()
+        dealt = next(i for i, line in enumerate(plan) if "REPARTITION_BY_COL" in line)
+        window = next(i for i, line in enumerate(plan) if "Window" in line)
+        assert not any("Exchange" in line for line in plan[window:dealt])
+        assert "sha2" in "".join(plan[window:dealt])
