@@ -150,7 +150,7 @@ def test_late_columns_are_not_shuffled(spark, capsys):
         capsys.readouterr()
         got.drop("t").explain()
         plan = capsys.readouterr().out.splitlines()
-        dealt = next(i for i, line in enumerate(plan) if "REPARTITION_BY_COL" in line)
+        dealt = next(i for i, line in enumerate(plan) if "REPARTITION_BY_NUM" in line)
         window = next(i for i, line in enumerate(plan) if "Window" in line)
         assert not any("Exchange" in line for line in plan[window:dealt])
         assert "sha2" in "".join(plan[window:dealt])
